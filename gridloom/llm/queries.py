@@ -6,13 +6,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_counts, token_orc
+from . import exact_dedup, minhash, packing, quality, secret_scan, sentencepiece_nbest, simhash, token_counts, token_orc, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    """A doc_id that is null has no remainder and counts as not held out."""
+    out = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return _judged(toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir))), 0.5)
+
+
+def op2_sentencepiece(spark, sf_dir):
+    return sentencepiece_nbest.digest_nbest(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
+def op3_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return _judged(quality.score(docs, quality.train(docs, labels(spark, sf_dir))), 0.3)
+
+
+def op4_secrets(spark, sf_dir):
+    return secret_scan.scan(documents(spark, sf_dir), secret_scan.Scanner())
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(documents(spark, sf_dir))
 
@@ -21,6 +49,15 @@ def op6_token_orc(spark, sf_dir):
     return token_orc.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_simhash(spark, sf_dir):
+    found = simhash.components(documents(spark, sf_dir), words=4, bits=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_minhash(spark, sf_dir):
+    return minhash.fingerprints_beside_next(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -30,7 +67,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_token_orc, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality, op4_secrets, op5_exact_dedup, op6_token_orc, op7_simhash, op8_minhash, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
