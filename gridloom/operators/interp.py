@@ -57,14 +57,14 @@ def _sample(image: Image, points: DataFrame, keys: Sequence[str], at: Sequence[C
         x = F.col(f"x{k}")
         inner = inner.withColumn(f"i{k}", F.explode(F.sequence(spline_start(x, order), spline_start(x, order) + order)))
         weight = weight * spline_weight(x - F.col(f"i{k}"), order)
-    inner = inner.withColumn("w", weight)
     beyond = F.lit(False)
+    if mode == "grid-constant":
+        for k, size in enumerate(shape):
+            beyond = beyond | (F.col(f"i{k}") < 0) | (F.col(f"i{k}") >= size)
+    inner = inner.withColumns({"w": weight, "beyond": beyond})
     for k, size in enumerate(shape):
-        i = F.col(f"i{k}")
-        if mode == "grid-constant":
-            beyond = beyond | (i < 0) | (i >= size)
-        inner = inner.withColumn(f"i{k}", fold_column(i, size, {"constant": "mirror"}.get(mode, "nearest")))
-    taps = inner.filter("w != 0").select(*keys, "w", beyond.alias("beyond"), *[F.col(f"i{k}").alias(f"d{k}") for k in range(n)])
+        inner = inner.withColumn(f"i{k}", fold_column(F.col(f"i{k}"), size, {"constant": "mirror"}.get(mode, "nearest")))
+    taps = inner.filter("w != 0").select(*keys, "w", "beyond", *[F.col(f"i{k}").alias(f"d{k}") for k in range(n)])
     source = image.df.select(*image.coords, image.as_double().alias("v"))
     found = taps.join(source, image.coords).groupBy(*keys).agg(F.sum(F.col("w") * F.when(F.col("beyond"), F.lit(float(cval))).otherwise(F.col("v"))).alias("value"))
     if mode == "constant":
