@@ -109,7 +109,7 @@ class SumOfSquaresPacker:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, max_open: int = 1024, memo_entries: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, max_open: int = 1024, memo_entries: int = 400_000) -> DataFrame:
     """One row for each piece: where its document's ids lie in which sequence.
 
     ``sequence_id`` is unique over all partitions; offsets within one have no gaps.
@@ -127,8 +127,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, max
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc, memo.ids(text) + end)
+            for doc, ids in zip(batch.column(0).to_pylist(), memo.ids(batch.column(1).to_pylist())):
+                packer.add(doc, ids + end)
             yield out()
         packer.recut()
         yield out()

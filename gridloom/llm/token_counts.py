@@ -7,8 +7,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,10 +29,18 @@ def stable_cuts(text: str, low: int, high: int) -> list[int]:
     return found
 
 
-def _boundary(starts: list[int], ends: list[int], p: int) -> int | None:
-    """The number of tokens before offset p, or None if a token spans p."""
-    k = bisect_left(starts, p)
-    return k if k == 0 or ends[k - 1] <= p else None
+def tokens_before(encoding, p: int) -> int | None:
+    """The number of tokens that lie before the space at offset p, or None if a token spans p.
+
+    The character after the space tells the first token that lies beyond; the offsets of that
+    token and of the one before it must not cross p.
+    """
+    k = encoding.char_to_token(p + 1)
+    if k is None or encoding.token_to_chars(k)[0] < p:
+        return None
+    if k and encoding.token_to_chars(k - 1)[1] > p:
+        return None
+    return k
 
 
 def count_by_resync(text: str, tokenizer, chunk: int, overlap: int) -> int:
@@ -42,41 +48,43 @@ def count_by_resync(text: str, tokenizer, chunk: int, overlap: int) -> int:
 
     Each chunk is encoded with offsets. Two neighbours are spliced at a stable cut inside
     their overlap that both encodings have as a boundary: the left one counts up to it, the
-    right one from it. Where the overlap has none, it is widened, twofold each time, until one
-    is found or the left chunk reaches the end of the text.
+    right one from it. Where the overlap has none, it is widened, twofold each time; when it
+    holds all of the left chunk that still counts, that chunk is lengthened instead.
     """
 
-    def encode(low: int, high: int) -> tuple[list[int], list[int]]:
-        offsets = tokenizer.encode(text[low:high], add_special_tokens=False).offsets
-        return [a + low for a, _ in offsets], [b + low for _, b in offsets]
+    def encode(low: int, high: int):
+        return tokenizer.encode(text[low:high], add_special_tokens=False)
 
-    n, total, low, high, cut = len(text), 0, 0, min(chunk, len(text)), 0
+    # The left chunk is text[low:high]; its tokens count from the first one that lies at or after ``cut``.
+    n, total, low, high, cut, first = len(text), 0, 0, min(chunk, len(text)), 0, 0
     left = encode(low, high)
     while high < n:
-        reach, spliced = overlap, None
-        while spliced is None:
+        reach = overlap
+        while True:
             start = max(cut, high - reach)
             stop = min(n, start + reach + chunk)
             right = encode(start, stop)
-            for p in reversed(stable_cuts(text, start, high)):
-                a, b = _boundary(*left, p), _boundary(*right, p)
+            spliced = None
+            for p in reversed(stable_cuts(text, start, high - 1)):
+                a, b = tokens_before(left, p - low), tokens_before(right, p - start)
                 if a is not None and b is not None:
                     spliced = p, a, b
                     break
-            else:
-                if start <= cut:  # the whole left chunk lies in the overlap: lengthen that chunk
-                    high = min(n, high + reach)
-                    left = encode(cut, high)
-                    if high == n:
-                        return total + len(left[0])
-                reach *= 2
+            if spliced:
+                break
+            if start <= cut:
+                low, high, first = cut, min(n, high + reach), 0
+                left = encode(low, high)
+                if high == n:
+                    return total + len(left)
+            reach *= 2
         p, a, b = spliced
-        total += a - (bisect_left(left[0], cut) if cut else 0)
-        left, cut, high = (right[0][b:], right[1][b:]), p, stop
-    return total + len(left[0])
+        total += a - first
+        left, low, high, cut, first = right, start, stop, p, b
+    return total + len(left) - first
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 8192, overlap_chars: int = 512, memo_entries: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 8192, overlap_chars: int = 512, memo_entries: int = 400_000) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every whole text.
 
     Texts over two chunks are counted by ``count_by_resync``, so one task never encodes a huge
@@ -86,10 +94,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 8192, overl
     def run(batches):
         memo = memo_for(tokenizer, memo_entries)
         for batch in batches:
-            sizes, counts = [], []
-            for text in batch.column(1).to_pylist():
-                sizes.append(len(text.encode()))
-                counts.append(len(memo.ids(text)) // 4 if len(text) <= 2 * chunk_chars else count_by_resync(text, memo.tokenizer, chunk_chars, overlap_chars))
+            texts = batch.column(1).to_pylist()
+            sizes = [len(t.encode()) for t in texts]
+            short = iter(memo.ids([t for t in texts if len(t) <= 2 * chunk_chars]))
+            counts = [len(next(short)) // 4 if len(t) <= 2 * chunk_chars else count_by_resync(t, memo.tokenizer, chunk_chars, overlap_chars) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return map_batches(texts_of(docs), run, SCHEMA)

@@ -26,7 +26,7 @@ from .words import memo_for
 FILE_SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, memo_entries: int = 300_000) -> str:
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, memo_entries: int = 400_000) -> str:
     """Encodes every text and writes the ids as ORC to ``path``."""
     end = array("I", [end_id]).tobytes()
 
@@ -35,7 +35,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, strip
 
         memo, part, at = memo_for(tokenizer, memo_entries), TaskContext.get().partitionId(), 0
         for batch in batches:
-            encoded = [memo.ids(t) + end for t in batch.column(1).to_pylist()]
+            encoded = [ids + end for ids in memo.ids(batch.column(1).to_pylist())]
             counts = np.array([len(x) // 4 for x in encoded], np.int64)
             ends = counts.cumsum()
             offsets = np.concatenate([[0], ends]).astype(np.int32)

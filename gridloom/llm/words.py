@@ -13,6 +13,8 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LOADED: dict[tuple, "WordMemo"] = {}
@@ -51,18 +53,39 @@ def parts_of(text: str) -> list[str]:
 
 
 class WordMemo:
-    """``ids(text)``: the text's token ids as little-endian unsigned 32-bit integers.
+    """``ids(texts)``: each text's token ids as little-endian unsigned 32-bit integers.
 
-    ``limit`` bounds the memo's entries (about 200 bytes each); a full memo starts anew.
+    ``limit`` bounds the entries of a generation (about 200 bytes each); when one is full, it
+    becomes the old one, whose entries are taken over as they are met again, and the one before
+    goes.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer, self.limit = load_tokenizer(path), limit
         self.after_space: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.whole: dict[str, bytes] = {}
+        # A special token cuts its input before anything else sees it, so words between two of them are encoded by themselves.
+        special = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word]
+        self.mark_id, self.mark = special[0] if special else (None, None)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        """The ids of each part, from one call of the library for all but those that hold a special string."""
+        plain = parts if self.mark else []
+        if self.mark and any(x in self.mark.join(parts).replace(self.mark, "\0", len(parts) - 1) for x in self.specials):
+            plain = [p for p in parts if not any(x in p for x in self.specials)]
+        made: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            if len(cuts) == len(plain) - 1:
+                raw = ids.tobytes()
+                made = {p: raw[4 * a + 4 : 4 * b] for p, a, b in zip(plain, [-1, *cuts], [*cuts, len(ids)])}
+        rest = [p for p in parts if p not in made] if len(made) < len(parts) else []
+        if rest:
+            made |= {p: array("I", e.ids).tobytes() for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))}
+        return [made[p] for p in parts]
 
     def _of_parts(self, parts: list[str]) -> list[bytes]:
         missing = list({p for p in parts if p not in self.whole})
@@ -73,21 +96,34 @@ class WordMemo:
             self.whole.update(zip(missing, self._encode(missing)))
         return [self.whole[p] for p in parts]
 
-    def ids(self, text: str) -> bytes:
-        head, *words = text.split(" ")
-        get = self.after_space.get
-        found = list(map(get, words))
-        if None in found:
-            missing = list({w for w, x in zip(words, found) if x is None})
-            if not all(w and not w[-1].isspace() for w in missing):
-                return b"".join(self._of_parts(parts_of(text)))
-            if len(self.after_space) + len(missing) > self.limit:
-                self.after_space.clear()
-                missing = list(set(words))
-                if not all(w and not w[-1].isspace() for w in missing):
-                    return b"".join(self._of_parts(parts_of(text)))
-            self.after_space.update(zip(missing, self._encode([" " + w for w in missing])))
-            found = list(map(get, words))
-        if words and (not head or head[-1].isspace()):
-            return b"".join(self._of_parts(parts_of(text)))
-        return b"".join(self._of_parts([head]) + found)
+    def _learn(self, words: set[str]) -> None:
+        """Makes sure that all ``words`` are known; those that may not end a part are known as None."""
+        missing = words.difference(self.after_space)
+        if not missing:
+            return
+        if len(self.after_space) + len(missing) > self.limit:
+            self.old, self.after_space = self.after_space, {}
+            missing = words
+        known = self.old
+        self.after_space.update((w, known[w]) for w in missing if w in known)
+        new = [w for w in missing if w not in known]
+        good = [w for w in new if w and not w[-1].isspace()]
+        self.after_space.update(dict.fromkeys(new))
+        if good:
+            self.after_space.update(zip(good, self._encode([" " + w for w in good])))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        heads = [words.pop(0) for words in split]
+        self._learn(set().union(*split))
+        get, out = self.after_space.get, []
+        starts = self._of_parts(heads)
+        for text, head, start, words in zip(texts, heads, starts, split):
+            if words and (not head or head[-1].isspace()):
+                out.append(b"".join(self._of_parts(parts_of(text))))
+                continue
+            try:
+                out.append(start + b"".join(map(get, words)))
+            except TypeError:  # a word that may not end a part
+                out.append(b"".join(self._of_parts(parts_of(text))))
+        return out
