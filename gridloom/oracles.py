@@ -87,9 +87,9 @@ def _morph(steps: list[str]) -> str:
 
 def _components(wrap: bool) -> str:
     to = "(r.d1 + k.b + 358) % 358" if wrap else "r.d1 + k.b"
-    return f"""WITH RECURSIVE {SUPPLIER_WEEKS}, fg AS (SELECT d0, d1, d0 * 358 + d1 AS at FROM px WHERE v > 90),
+    return f"""WITH RECURSIVE {SUPPLIER_WEEKS}, fg AS (SELECT d0, d1, d0 * 358 + d1 AS pos FROM px WHERE v > 90),
         k(a, b) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)),
-        reach(d0, d1, root) AS (SELECT d0, d1, at FROM fg UNION SELECT q.d0, q.d1, r.root FROM reach r CROSS JOIN k JOIN fg q ON q.d0 = r.d0 + k.a AND q.d1 = {to}),
+        reach(d0, d1, root) AS (SELECT d0, d1, pos FROM fg UNION SELECT q.d0, q.d1, r.root FROM reach r CROSS JOIN k JOIN fg q ON q.d0 = r.d0 + k.a AND q.d1 = {to}),
         least AS (SELECT d0, d1, min(root) AS root FROM reach GROUP BY d0, d1)
         SELECT d0, d1, dense_rank() OVER (ORDER BY root)::BIGINT AS label FROM least"""
 
