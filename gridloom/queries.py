@@ -53,7 +53,7 @@ def _rounded(name: str) -> Column:
     return F.when(c.isNull() | F.isnan(c), F.lit(None)).otherwise(F.round(c, 6)).cast("double").alias(name)
 
 
-def _pixels(image: Image, value: Column, spread: bool = False) -> DataFrame:
+def _pixels(image: Image, value: Column) -> DataFrame:
     return image.df.select(*image.coords, value.alias("r"))
 
 
@@ -61,8 +61,13 @@ def _exact(image: Image) -> DataFrame:
     return _pixels(image, F.col("value").cast("bigint"))
 
 
+def _six(value: Column) -> Column:
+    """Six decimals, and no negative zero."""
+    return F.when(F.round(value, 6) == 0, F.lit(0.0)).otherwise(F.round(value, 6))
+
+
 def _close(image: Image) -> DataFrame:
-    return _pixels(image, F.round("value", 6))
+    return _pixels(image, _six(F.col("value")))
 
 
 MEASURES = ("sum_labels", "mean", "median", "minimum", "maximum", "variance", "standard_deviation")
@@ -222,7 +227,7 @@ def fourier_uniform(spark, sf_dir):
 
 def fourier_shift(spark, sf_dir):
     found = fourier.fourier_shift(part_days(spark, sf_dir), (1.5, -2))
-    return found.df.select("d0", "d1", F.round("value.re", 6).alias("re"), F.round("value.im", 6).alias("im"))
+    return found.df.select("d0", "d1", _six(F.col("value.re")).alias("re"), _six(F.col("value.im")).alias("im"))
 
 
 def interp_affine_transform(spark, sf_dir):
@@ -236,7 +241,7 @@ def interp_rotate(spark, sf_dir):
 def interp_map_coordinates(spark, sf_dir):
     points = _table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), ((F.col("event_id") % 250) * 0.25).alias("c0"), ((F.col("user_id") % 126) * 0.5).alias("c1"))
     found = interp.map_coordinates(part_days(spark, sf_dir), points, order=1)
-    return found.select("point_id", F.round("value", 6).alias("r"))
+    return found.select("point_id", _six(F.col("value")).alias("r"))
 
 
 def interp_spline_filter(spark, sf_dir):
