@@ -82,6 +82,8 @@ class SumOfSquaresPacker:
     def recut(self, last: bool = True) -> None:
         """Cuts all open windows into full ones; the rest stays open or, at last, becomes powers of two."""
         pieces = [p for g in sorted(self.open, reverse=True) for w in self.open[g] for p in w]
+        if not pieces:
+            return
         self.open.clear()
         self.level[:] = 0
         target, window, filled = self.size, [], 0

@@ -137,10 +137,20 @@ class Automaton:
                 else:
                     self.moves[a][c] = [to, count]
 
-    def merged(self, alpha: float = 0.05, least: int = 8) -> Automaton:
+    def states(self) -> set[int]:
+        """The states that words can reach; merged ones are none of them."""
+        found, waiting = {0}, [0]
+        while waiting:
+            for to, _ in self.moves[waiting.pop()].values():
+                if to not in found:
+                    found.add(to)
+                    waiting.append(to)
+        return found
+
+    def merged(self, alpha: float = 0.05) -> Automaton:
         """Merges compatible states, red-blue: each blue state joins the first red one that is
-        alike or turns red. States seen fewer than ``least`` times can't be told apart and
-        merge only with states of the same depth, which keeps the lengths of formats."""
+        alike or turns red. Only states of the same depth merge, which keeps the lengths of
+        formats."""
         bound = math.sqrt(0.5 * math.log(2 / alpha))
         red, depth = [0], {0: 0}
         blue = sorted((to, 0, c) for c, (to, _) in self.moves[0].items())
@@ -158,7 +168,6 @@ class Automaton:
                 red.append(state)
                 blue += [(to, state, x) for x, (to, _) in sorted(self.moves[state].items())]
             blue.sort(key=lambda b: (depth[b[1]], b[0]))
-        self.least = least
         return self
 
     def log_likelihood(self, word: str, smooth: float = 0.02) -> float:
