@@ -66,7 +66,7 @@ def connected(links: DataFrame) -> DataFrame:
     found = rounds[0].select(F.col("a").alias("node"), F.col("up").alias("root"))
     for up in rounds[1:]:
         found = found.join(up.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    found = materialize(found)
+    found = materialize(found)  # read twice below
     least = found.groupBy("root").agg(F.least(F.col("root"), F.min("node")).alias("least"))
     return found.join(least, "root").select("node", F.col("least").alias("root"))
 
