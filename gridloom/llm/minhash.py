@@ -132,12 +132,15 @@ def fingerprints_beside_next(docs: DataFrame, words: int = SHINGLE_WORDS, permut
     return map_batches(dealt, run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, words: int = SHINGLE_WORDS, permutations: int = PERMUTATIONS) -> DataFrame:
-    """Links (a, b, jaccard) between distinct texts with a shingle Jaccard of ``threshold`` or more.
-
-    Texts that share a band of their signature are candidates; each band links its members to
-    the least of them, and the exact Jaccard of the shingle sets verifies a link. Equal shingle
-    sets are one class, named by its least doc_id, so copies give no pairs.
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, words: int = SHINGLE_WORDS, permutations: int = PERMUTATIONS, block: int = 1000) -> DataFrame:
+    """Links (a, b, jaccard) between classes of texts whose shingle Jaccard is ``threshold`` or more.
+
+    Texts with equal shingle sets are one class, named by its least doc_id, so copies give no
+    pairs. Classes that share a band of their signature are candidates, and the exact Jaccard of
+    their shingle sets verifies each: a pair at 0.8 shares none of 32 bands of 4 with a chance of
+    5e-8. A band's key that more than ``block`` classes share is dealt over parts: each class goes
+    to one of them on the left and to all of them on the right, so every pair still meets. Rows
+    with a null doc_id have no name and give no links.
     """
     rows = permutations // bands
 
@@ -149,13 +152,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets), pa.array([h.astype(np.int64) for h in hashes], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.string()))], names=["doc_id", "class", "hashes", "bands"])
 
     signed = map_batches(texts_of(docs), run, "doc_id bigint, class string, hashes array<bigint>, bands array<string>")
-    classes = materialize(signed.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("hashes").alias("hashes"), F.first("bands").alias("bands")))
-    banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    keyed = banded.withColumn("at", F.struct("band", "key")).select("id", "at")
-    pairs = spread_lookup(keyed, "at", heads.select(F.struct("band", "key").alias("at"), "a")).filter("a != id").select("a", F.col("id").alias("b")).distinct()
-    left, right = classes.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), classes.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    both = spread_lookup(pairs, "a", left).join(right, "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    jaccard = shared / (F.size("ha") + F.size("hb") - shared)
+    classes = materialize(signed.filter("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("hashes").alias("hashes"), F.first("bands").alias("bands")))
+    banded = classes.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("at"))
+    shared = materialize(banded.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1").select("at", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    members = materialize(spread_lookup(banded, "at", shared))
+    left = members.select("at", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"))
+    right = members.select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"))
+    pairs = left.join(right, ["at", "part"]).filter("a < b").select("a", "b").distinct()
+    hashes = classes.select("id", "hashes")
+    both = spread_lookup(pairs, "a", hashes.select(F.col("id").alias("a"), F.col("hashes").alias("ha")))
+    both = spread_lookup(both, "b", hashes.select(F.col("id").alias("b"), F.col("hashes").alias("hb")))
+    common = F.size(F.array_intersect("ha", "hb"))
+    jaccard = common / (F.size("ha") + F.size("hb") - common)
     return both.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)

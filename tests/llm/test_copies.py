@@ -170,11 +170,18 @@ def test_minhash_odd_rows(spark, odd, empty):
     assert r.near_next == 1.0
 
 
-def test_minhash_links(spark):
+@pytest.mark.parametrize("block", [1000, 2])
+def test_minhash_links(spark, block):
+    """All links between different texts, against all pairs; copies are one class."""
+    rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(200)]
-    texts = {1: base, 2: base[:-3] + ["x", "y", "z"], 3: base, 4: [f"v{k}" for k in range(200)], 5: base[:100] + [f"u{k}" for k in range(100)]}
-    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()] + [(6, None)], "doc_id bigint, text string")
-    got = minhash.near_duplicates(docs).collect()
-    assert [(r.a, r.b) for r in got] == [(1, 2)]
-    sets = [{tuple(t[k : k + 5]) for k in range(196)} for t in (texts[1], texts[2])]
-    assert abs(got[0].jaccard - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-9
+    made = {1: base, 3: base, 4: [f"v{k}" for k in range(200)], 5: base[:100] + [f"u{k}" for k in range(100)]}
+    for doc in range(10, 22):  # near copies of one text, with a few words changed at the end
+        made[doc] = base[: 200 - int(rng.integers(1, 12))] + [f"x{doc}"]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in made.items()] + [(6, None), (None, "a b")], "doc_id bigint, text string")
+    got = {(r.a, r.b): r.jaccard for r in minhash.near_duplicates(docs, block=block).collect()}
+    sets = {k: {tuple(t[j : j + 5]) for j in range(len(t) - 4)} for k, t in made.items() if k != 3}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {p: j for p, j in want.items() if j >= 0.8}
+    assert got.keys() == want.keys() and len(want) > 60
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
