@@ -95,26 +95,30 @@ class FactorizationMachine:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], kept: int = KEPT_TERMS, factors: int = 8, epochs: int = 60, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
-    """Fits the machine to (term numbers, label) rows with Adam on mini-batches."""
+    """Fits the machine to (ascending term numbers, label) rows with Adam on mini-batches."""
     y = np.array([label for _, label in rows], np.float32)
     none = FactorizationMachine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, factors)))
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.02, 0.98)) if len(y) else 0.5
         none.bias = float(np.log(share / (1 - share)))
         return none
-    flat, sizes = np.concatenate([t for t, _ in rows]), [len(t) for t, _ in rows]
-    terms, inverse = np.unique(flat, return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    in1, in0 = np.bincount(inverse, y[doc], len(terms)), np.bincount(inverse, 1 - y[doc], len(terms))
-    share = (in1 + in0) / len(y)
-    z = (in1 / n1 - in0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    width = max((int(t[-1]) + 1 for t, _ in rows if len(t)), default=1)
+    found = [np.zeros(width, np.int32), np.zeros(width, np.int32)]
+    for t, label in rows:  # counted in place: the terms of all rows together would fill the driver
+        found[label][t] += 1
+    share = (found[0] + found[1]) / np.float32(len(y))
+    z = (found[1] / np.float32(n1) - found[0] / np.float32(n0)) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
     best = np.sort(np.argsort(-np.abs(z), kind="stable")[:kept])
-    place = np.full(len(terms), -1)
+    best = best[share[best] > 0]
+    place = np.full(width, -1, np.int32)
     place[best] = np.arange(len(best))
     x = np.zeros((len(y), len(best)), np.float32)
-    use = place[inverse] >= 0
-    x[doc[use], place[inverse][use]] = 1
+    for k, (t, _) in enumerate(rows):
+        at = place[t]
+        x[k, at[at >= 0]] = 1
+    terms = best
+    del found, share, z, place
 
     rng = np.random.default_rng(seed)
     b, w, v = np.zeros(1, np.float32), np.zeros(len(best), np.float32), rng.normal(0, 0.01, (len(best), factors)).astype(np.float32)
@@ -137,7 +141,7 @@ def fit(rows: list[tuple[np.ndarray, int]], kept: int = KEPT_TERMS, factors: int
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(terms[best], float(b[0]), w.astype(np.float64), v.astype(np.float64))
+    return FactorizationMachine(terms, float(b[0]), w.astype(np.float64), v.astype(np.float64))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kept: int = KEPT_TERMS) -> FactorizationMachine:
@@ -149,9 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kept: int
             found = [np.fromiter(sorted(terms.of_text(t)), np.int32) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), batch.column(1)], names=["terms", "y"])
 
-    sample = map_batches(labelled_sample(docs, labels, "toxic", rows), run, "terms binary, y int").collect()
-    made = sorted((bytes(r["terms"]), r["y"]) for r in sample)  # fits alike however rows were dealt
-    return fit([(np.frombuffer(t, np.int32), y) for t, y in made], kept)
+    sample = map_batches(labelled_sample(docs, labels, "toxic", rows), run, "terms binary, y int").toArrow()
+    sample = sample.sort_by([("y", "ascending"), ("terms", "ascending")])  # fits alike however rows were dealt
+    return fit([(np.frombuffer(t.as_buffer(), np.int32), y.as_py()) for t, y in zip(*sample.columns)], kept)
 
 
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
