@@ -209,8 +209,9 @@ def connected(links: DataFrame) -> DataFrame:
     found = rounds[0].select(F.col("a").alias("fp"), F.col("up").alias("root"))
     for up in rounds[1:]:
         step = spread_lookup(found, "root", up.select(F.col("a").alias("root"), "up"), how="left")
-        found = step.select("fp", F.coalesce("up", "root").alias("root"))
-    return materialize(found)
+        # Written out each time: a plan that reads the last step twice would double with every round.
+        found = materialize(step.select("fp", F.coalesce("up", "root").alias("root")))
+    return found
 
 
 def components(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
