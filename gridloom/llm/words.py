@@ -6,11 +6,16 @@ space and then other characters, so no match spans such a place and none looks b
 Special strings hold no space, and NFC, lower-casing and white-space folding act on either
 side of a space alone. Ids of the parts joined are hence the ids of the text. Words recur, so
 a bounded memo answers most parts.
+
+A word that is new falls further, into runs of letters and what is between them: no match spans
+the border of a letter and one of ``.,;:!?|`` or a line end, and a single line end between
+other characters is a match by itself.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -52,6 +57,28 @@ def parts_of(text: str) -> list[str]:
     return parts
 
 
+#: Letters that are letters in any version of Unicode, and other characters.
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
+_BORDER = frozenset(".,;:!?|")
+
+
+def runs_of(word: str) -> list[str]:
+    """A word that follows a space, cut where no match can span; [word] if some border is unsure."""
+    runs = _RUNS.findall(word)
+    if len(runs) < 2:
+        return [word]
+    for k, run in enumerate(runs):
+        if not run[0].isalpha() or run[0] > "ÿ":
+            first, last = run[0], run[-1]
+            if k and first not in _BORDER and first != "\n":
+                return [word]
+            if k + 1 < len(runs) and last not in _BORDER and (last != "\n" or len(run) > 1 and run[-2].isspace()):
+                return [word]
+            if not k and any(c.isspace() for c in run):
+                return [word]
+    return runs
+
+
 class WordMemo:
     """``ids(texts)``: each text's token ids as little-endian unsigned 32-bit integers.
 
@@ -107,10 +134,20 @@ class WordMemo:
         known = self.old
         self.after_space.update((w, known[w]) for w in missing if w in known)
         new = [w for w in missing if w not in known]
-        good = [w for w in new if w and not w[-1].isspace()]
         self.after_space.update(dict.fromkeys(new))
-        if good:
-            self.after_space.update(zip(good, self._encode([" " + w for w in good])))
+        split = {w: [w] if any(x in w for x in self.specials) else runs_of(w) for w in new if w and not w[-1].isspace()}
+        memo = self.after_space
+        plain = {runs[0] for runs in split.values()}
+        plain = [w for w in plain if memo.get(w) is None]
+        memo.update((w, known[w]) for w in plain if known.get(w) is not None)
+        plain = [w for w in plain if memo.get(w) is None]
+        if plain:
+            memo.update(zip(plain, self._encode([" " + w for w in plain])))
+        longer = {w: runs for w, runs in split.items() if len(runs) > 1}
+        if longer:
+            rest = list({r for runs in longer.values() for r in runs[1:]})
+            made = dict(zip(rest, self._of_parts(rest)))
+            memo.update((w, memo[runs[0]] + b"".join([made[r] for r in runs[1:]])) for w, runs in longer.items())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
