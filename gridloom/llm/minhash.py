@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, spread_lookup, texts_of
+from .simhash import connected
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 128
@@ -165,3 +166,98 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, wo
     common = F.size(F.array_intersect("ha", "hb"))
     jaccard = common / (F.size("ha") + F.size("hb") - common)
     return both.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def set_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) that join sets as all pairs of Jaccard ``threshold`` or more would.
+
+    Breadth first: a set that was reached is compared with those not reached yet, so a dense
+    group is used up after a few rounds.
+    """
+    sizes = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [at[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist())]
+    links, rest, inside = [], np.arange(1, len(sets)), np.zeros(len(values), bool)
+    frontier = [0]
+    while len(rest):
+        if not frontier:
+            frontier, rest = [int(rest[0])], rest[1:]
+            continue
+        a = frontier.pop()
+        inside[own[a]] = True
+        within = np.concatenate([own[b] for b in rest.tolist()])
+        common = np.add.reduceat(inside[within], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+        inside[own[a]] = False
+        near = common / (sizes[rest] + sizes[a] - common) >= threshold
+        found = rest[near].tolist()
+        rest = rest[~near]
+        links += [(a, b) for b in found]
+        frontier += found
+    return links
+
+
+def class_links(classes: DataFrame, threshold: float = 0.8, block: int = 1000) -> DataFrame:
+    """Links (a, b) between rows (id, hashes, bands) with the same connected parts as all pairs
+    that share a band and have a Jaccard of ``threshold`` or more.
+
+    Of band keys that hold the same rows one is taken. The rows of a key are compared in one
+    task; a key of more than ``block`` rows is dealt over parts, and each two parts meet in a task.
+    """
+    banded = classes.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("at"))
+    digest = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    held = banded.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("least"), *digest).filter("n > 1")
+    once = held.groupBy("n", "least", "x0", "x1").agg(F.min("at").alias("at"))
+    shared = materialize(once.select("at", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    members = spread_lookup(banded, "at", shared).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (q != F.col("part")) | (F.col("parts") == 1))
+    dealt = members.select("id", "at", "part", F.explode(others).alias("other")).select("id", "at", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    tiles = dealt.select("id", F.struct("at", "p", "q").alias("tile")).join(classes.select("id", "hashes"), "id").select("tile", "id", "hashes")
+
+    def run(batches):
+        tile, ids, sets = None, [], []
+
+        def links():
+            found = [(ids[a], ids[b]) for a, b in set_links(sets, threshold)] if len(ids) > 1 else []
+            columns = list(zip(*found)) or [()] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        for batch in batches:
+            for key, doc, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != tile:
+                    yield links()
+                    tile, ids, sets = key, [], []
+                ids.append(doc)
+                sets.append(np.frombuffer(hashes, np.uint32))
+        yield links()
+
+    return map_batches(tiles.repartition("tile").sortWithinPartitions("tile"), run, "a bigint, b bigint")
+
+
+def deduplicate(docs: DataFrame, threshold: float = 0.8, bands: int = 32, words: int = SHINGLE_WORDS, permutations: int = PERMUTATIONS) -> DataFrame:
+    """One row of each group that links of shingle Jaccard ``threshold`` or more join, with its columns.
+
+    The row with the least doc_id stays (one without a doc_id only where no other is); rows are
+    told apart by a key of their own. Candidates share one of ``bands`` bands, and each is
+    verified by exact Jaccard: a pair at 0.8 shares none of 32 bands of 4 with a chance of 5e-8.
+    """
+    rows = permutations // bands
+    keyed = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()))
+
+    def run(batches):
+        for batch in batches:
+            hashes = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
+            prints = [signature(h, permutations).reshape(bands, rows) for h in hashes]
+            keys = [[xxhash.xxh64_intdigest(band.tobytes()) - (1 << 63) for band in p] for p in prints]
+            sets = [hashlib.sha256(h.tobytes()).digest() for h in hashes]
+            columns = [pa.array(sets, pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "class", "hashes", "bands"])
+
+    texts = keyed.select(F.col("__near_row").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    signed = map_batches(texts, run, "row bigint, doc_id bigint, class binary, hashes binary, bands array<bigint>")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")
+    classes = materialize(signed.groupBy("class").agg(best, F.first("hashes").alias("hashes"), F.first("bands").alias("bands")).select(F.col("best.row").alias("id"), "best", "hashes", "bands"))
+    roots = connected(class_links(classes, threshold)).select(F.col("fp").alias("id"), "root")
+    kept = classes.select("id", "best").join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__near_row"))
+    dropped = materialize(keyed.select("__near_row").join(kept, "__near_row", "left_anti"))
+    return keyed.join(dropped, "__near_row", "left_anti").select(*docs.columns)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from gridloom.llm import exact_dedup, minhash, queries, simhash
 from gridloom.llm.common import spread_lookup
 
@@ -185,3 +186,67 @@ def test_minhash_links(spark, block):
     want = {p: j for p, j in want.items() if j >= 0.8}
     assert got.keys() == want.keys() and len(want) > 60
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def jaccard_components(rows, threshold=0.8):
+    """Groups of places in rows (doc_id, text) by all pairs of 5-word shingle sets."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[j : j + 5]) for j in range(max(len(words) - 4, 1))})
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    return components_of(range(len(rows)), links), links
+
+
+def survivors(rows):
+    """The text of each group's row with the least doc_id, nulls last."""
+    groups = defaultdict(list)
+    for k, top in jaccard_components(rows)[0].items():
+        groups[top].append((rows[k][0] is None, rows[k][0] or 0, k))
+    return sorted((str(rows[k][0]), " ".join((rows[k][1] or "").split()).lower()) for _, _, k in map(min, groups.values()))
+
+
+def kept_by_stage(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return sorted((str(r.doc_id), " ".join((r.text or "").split()).lower()) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+
+
+def test_near_stage_equals_all_pairs_by_jaccard(spark, texts):
+    """Texts of which one or two of a hundred words were changed; before, most copies stayed."""
+    rng, rows = np.random.default_rng(9), sorted(texts.items())
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(100, 1000))]
+        for step in range(3):
+            rows.append((10_000 + 10 * k + step, " ".join(words)))
+            for j in rng.permutation(len(words))[: max(1, len(words) * (1 + k % 2) // 100)]:
+                words[j] = f"x{rng.integers(0, 5000)}"
+    assert len(jaccard_components(rows)[1]) > 80
+    assert kept_by_stage(spark, rows) == survivors(rows)
+
+
+def test_near_stage_rows_of_one_doc_id(spark):
+    """Rows with one doc_id, or with none, are rows of their own."""
+    near, alone = [f"a{k}" for k in range(200)], [f"b{k}" for k in range(200)]
+    text = " ".join
+    rows = [(1, text(near)), (2, text([*near[:-1], "z"])), (2, text(alone)), (3, text(["q", *alone[1:]])), (3, text(["r", *alone[1:]])), (None, text(["y", *near[1:]])), (None, text([f"c{k}" for k in range(200)])), (None, text([f"c{k}" for k in range(199)]))]
+    assert kept_by_stage(spark, rows) == survivors(rows) and len(survivors(rows)) == 3
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_class_links_of_a_dense_group(spark, block):
+    """A dense group and chains in a few keys, whole and dealt over parts."""
+    rng, sets = np.random.default_rng(4), []
+    for k in range(6):
+        own = np.unique(rng.integers(0, 1 << 32, 200, dtype=np.uint32))
+        for _ in range(40 if k == 0 else 8):
+            new = own.copy()
+            new[rng.permutation(len(new))[: rng.integers(1, 22)]] = rng.integers(0, 1 << 32, 1, dtype=np.uint32)
+            sets.append(np.unique(new))
+            own = sets[-1] if k % 2 else own
+    rows = [(k, s.tobytes(), [0, k % 3]) for k, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "id bigint, hashes binary, bands array<bigint>").repartition(3)
+    plain = [set(s.tolist()) for s in sets]
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(plain[a] & plain[b]) / len(plain[a] | plain[b]) >= 0.8]
+    got = [(r.a, r.b) for r in minhash.class_links(classes, 0.8, block).collect()]
+    assert {tuple(sorted(p)) for p in got} <= set(links)
+    assert components_of(range(len(sets)), got) == components_of(range(len(sets)), links) and len(links) > 200
