@@ -5,6 +5,11 @@ the best score from the start to every position; a backward A-star search from t
 these as its heuristic, which is exact, so paths leave the queue best first. Scores are scaled
 to integers, so sums have no rounding and ties are ties.
 
+The scores of a BPE model are minus the ranks of its merges, whose greatest sum is not the
+model's encoding. There, every piece that is not one of the model's own encoding of its stretch
+costs one more than all of that encoding, so the model's encoding is the best path and its score
+the sum of its pieces' scores; others follow by what they change.
+
 A place between two characters that stand side by side in no piece of the vocabulary is crossed
 by no piece: the lattice falls apart there, for one before every word. Words recur, so a bounded
 memo holds each one's best segmentation and what its second choice costs. The N best of the
@@ -44,7 +49,10 @@ class Lattice:
         self.processor = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.n, self.limit = n, limit
         self.trie: dict = {}
+        self.scores: dict[str, int] = {}
         self.pairs: set[str] = set()
+        #: Whether pieces are joined by merges, so that the best path has to be given.
+        self.merges = all(sp.get_score(i) <= 0 and sp.get_score(i) == int(sp.get_score(i)) for i in range(sp.get_piece_size()))
         self.bytes_of: list[bytes] = []
         lowest = 0
         for i in range(sp.get_piece_size()):
@@ -57,6 +65,7 @@ class Lattice:
                     node = node.setdefault(c, {})
                 score = round(sp.get_score(i) * _SCALE)
                 node[""] = (score, array("I", [i]).tobytes())
+                self.scores[piece] = score
                 lowest = min(lowest, score)
                 self.pairs.update(a + b for a, b in zip(piece, piece[1:]))
         self.unknown = lowest - _UNKNOWN_PENALTY * _SCALE
@@ -64,9 +73,39 @@ class Lattice:
         self.has_bytes = sp.is_byte(self.byte_ids[0])
         self.unknown_id = sp.unk_id()
         self.words: dict[str, tuple[int, bytes, int | None]] = {}
+        self.choices: dict[str, list[tuple[int, bytes]]] = {}
         # Whether no piece has the mark after another character.
         self.mark_leads = not any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
 
+    def _merged(self, stretch: str) -> list[str]:
+        """The model's pieces of a normalised stretch: the best merge first, the leftmost of equal ones."""
+        parts = list(stretch)
+        score = self.scores.get
+        queue = [(-v, k, k + 1, a + b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (v := score(a + b)) is not None]
+        heapq.heapify(queue)
+        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        while queue:
+            _, a, b, piece = heapq.heappop(queue)
+            if not parts[a] or b >= len(parts) or after[a] != b or not parts[b] or parts[a] + parts[b] != piece:
+                continue
+            parts[a], parts[b], after[a] = piece, "", after[b]
+            if after[a] < len(parts):
+                before[after[a]] = a
+            for x, y in ((before[a], a), (a, after[a])):
+                if x >= 0 and y < len(parts) and (v := score(parts[x] + parts[y])) is not None:
+                    heapq.heappush(queue, (-v, x, y, parts[x] + parts[y]))
+        return [p for p in parts if p]
+
+    def _own(self, stretch: str) -> tuple[list[int], int]:
+        """Where the model's own piece from each place ends (-1: none starts there), and what any other piece costs."""
+        ends, at, total = [-1] * len(stretch), 0, 0
+        for piece in self._merged(stretch):
+            value = self.scores.get(piece)
+            total += self.unknown if value is None else value
+            ends[at] = at + len(piece)
+            at += len(piece)
+        return ends, _SCALE - total
+
     def _edges(self, text: str) -> list[list[tuple[int, int, bytes]]]:
         """For each end position, the pieces that end there: (start, score, ids)."""
         ending: list[list] = [[] for _ in range(len(text) + 1)]
@@ -79,6 +118,13 @@ class Lattice:
                     single = single or j == i + 1
             if not single:
                 ending[i + 1].append((i, self.unknown, self._unknown_ids(c)))
+        if self.merges:
+            at = 0
+            for stretch in self.stretches(text):
+                own, cost = self._own(stretch)
+                for j in range(at + 1, at + len(stretch) + 1):
+                    ending[j] = [(i, s if own[i - at] == j - at else s - cost, ids) for i, s, ids in ending[j]]
+                at += len(stretch)
         return ending
 
     def _unknown_ids(self, c: str) -> bytes:
@@ -86,24 +132,28 @@ class Lattice:
 
     def viterbi(self, text: str) -> tuple[int, bytes, int | None]:
         """The best segmentation's score and ids, and how much less the second best scores (None: there is one only)."""
-        n, root, none = len(text), self.trie, -(1 << 62)
+        n, root, none = len(text), self.trie, -(1 << 90)
+        own, cost = self._own(text) if self.merges else ([], 0)
         best, second, back = [0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
         for i, c in enumerate(text):
-            node, j, here, under, single = root, i, best[i], second[i], False
+            node, j, here, under, single = root, i, best[i] - cost, second[i] - cost, False
+            to = own[i] if cost else -1
             while j < n and (node := node.get(text[j])) is not None:
                 j += 1
                 if (edge := node.get("")) is not None:
                     single = single or j == i + 1
-                    value = here + edge[0]
+                    gain = edge[0] + cost if j == to else edge[0]
+                    value = here + gain
                     if value > best[j]:
-                        second[j] = max(best[j], under + edge[0] if under > none else none)
+                        second[j] = max(best[j], under + gain if second[i] > none else none)
                         best[j], back[j] = value, (i, edge[1])
                     elif value > second[j]:
                         second[j] = value
             if not single:
-                value = here + self.unknown
+                gain = self.unknown + cost if to == i + 1 else self.unknown
+                value = here + gain
                 if value > best[i + 1]:
-                    second[i + 1] = max(best[i + 1], under + self.unknown if under > none else none)
+                    second[i + 1] = max(best[i + 1], under + gain if second[i] > none else none)
                     best[i + 1], back[i + 1] = value, (i, self._unknown_ids(c))
                 elif value > second[i + 1]:
                     second[i + 1] = value
@@ -169,7 +219,7 @@ class Lattice:
         if self.n == 1:
             return [(total, b"".join(ids))]
         loose = sorted(k for _, k in heapq.nsmallest(self.n - 1, [(g, k) for k, g in enumerate(gaps) if g is not None]))
-        options = [self.search(parts[k], self.n) for k in loose]
+        options = [self._choices(parts[k]) for k in loose]
         best: list[tuple[int, tuple]] = [(0, ())]
         for choices in options:
             best = [(a + s - choices[0][0], (*path, c)) for a, path in best for c, (s, _) in enumerate(choices)]
@@ -182,6 +232,16 @@ class Lattice:
             out.append((total + change, b"".join(own)))
         return out
 
+    def _choices(self, part: str) -> list[tuple[int, bytes]]:
+        """The n best of a stretch; words recur among those whose second choice costs least."""
+        if (known := self.choices.get(part)) is None:
+            known = self.search(part, self.n)
+            if len(part) < 64:
+                if len(self.choices) > self.limit // 8:
+                    self.choices.clear()
+                self.choices[part] = known
+        return known
+
     def decode(self, ids: bytes) -> str:
         """The text that ids stand for; the mark that the normaliser puts first is dropped."""
         text = b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode(errors="replace")

@@ -202,3 +202,14 @@ def test_queries_have_their_columns(spark, sf):
     got = queries.op7_simhash(spark, sf)
     assert got.columns == ["doc_id", "fingerprint", "component_id"] and all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in got.collect())
     assert queries.op9_token_counts(spark, sf).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+def test_best_path_is_the_models_encoding(texts):
+    """Against the library, on whole documents and on odd strings."""
+    lattice, rng = sentencepiece_nbest.Lattice(MODEL, 4), random.Random(8)
+    made = ["".join(rng.choice("abcdehilnorst é  .,'😀\n▁xxxx0011") for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    for text in ["information", "a  b   c    d", *made, *texts.values()]:
+        score, ids = lattice.encode(text or "")[0]
+        want = lattice.processor.encode(text or "")
+        assert array("I", ids).tolist() == want
+        assert score == sum(round(lattice.processor.get_score(i) * 65536) for i in want if not lattice.processor.is_byte(i)) or any(map(lattice.processor.is_byte, want))
