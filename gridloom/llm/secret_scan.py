@@ -9,6 +9,10 @@ characters, and those that gain enough are spans of kind ``format``.
 Symbols of the automaton are characters of a literal prefix and classes after it, so that the
 prefix of a format (and the separators in it) and its length are learnt, not its random part.
 
+Credentials of several segments, or of no fixed length, have an automaton of their own, in which
+states of any depth merge, so that loops are learnt. Besides a whole candidate, its parts between
+separators are scored, as a credential may be glued to a name, a path or an address.
+
 Edge cases: a null or empty text has no spans; offsets count code points and ends are
 exclusive; null, repeated and tied doc_ids are scanned row by row; other columns are not read
 by a scan and pass a redaction unchanged; an empty table gives an empty result.
@@ -61,6 +65,21 @@ _ALPHABETS = {
     "digit": "0123456789",
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
 }
+# Credentials of segments, as (prefix, ((alphabet, least, most length), ...), separator).
+SEGMENTED = (
+    ("xoxb-", (("digit", 10, 13), ("digit", 10, 13), ("alnum", 24, 24)), "-"),
+    ("xoxp-", (("digit", 10, 13), ("digit", 10, 13), ("digit", 10, 13), ("lowhex", 32, 32)), "-"),
+    ("xoxa-", (("digit", 10, 13), ("digit", 10, 13), ("digit", 10, 13), ("lowhex", 32, 32)), "-"),
+    ("eyJ", (("url", 17, 120), ("url", 24, 400), ("url", 43, 342)), "."),
+    ("SG.", (("url", 22, 22), ("url", 43, 43)), "."),
+    ("github_pat_", (("alnum", 22, 22), ("alnum", 59, 59)), "_"),
+    ("glpat-", (("url", 20, 20),), ""),
+    ("AIza", (("url", 35, 35),), ""),
+    ("sk-proj-", (("url", 40, 160),), ""),
+    ("sk-ant-", (("url", 40, 110),), ""),
+)
+_ALPHABETS |= {"url": _ALPHABETS["alnum"] + "-_", "lowhex": "0123456789abcdef"}
+_SEPARATORS = "=/.+-_"
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
 
@@ -70,6 +89,21 @@ def labelled_credentials(each: int = 40, seed: int = 5) -> list[str]:
     return [prefix + "".join(rng.choice(_ALPHABETS[kind]) for _ in range(length)) for prefix, kind, length in FORMATS for _ in range(each)]
 
 
+def labelled_segmented(each: int = 200, seed: int = 6) -> list[tuple[str, str]]:
+    """Made-up credentials of segments, as (prefix, the rest)."""
+    rng = random.Random(seed)
+
+    def segment(kind, least, most):
+        return "".join(rng.choice(_ALPHABETS[kind]) for _ in range(rng.randint(least, most)))
+
+    return [(prefix, between.join(segment(*part) for part in parts)) for prefix, parts, between in SEGMENTED for _ in range(each)]
+
+
+def classes(rest: str) -> str:
+    """Classes of the characters after a literal prefix."""
+    return "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in rest)
+
+
 def symbols(token: str, prefix: int = 11) -> str:
     """The automaton's view of a token: its first characters as they are up to the last
     separator among them (or four if there is none), then classes of characters."""
@@ -170,6 +204,23 @@ class Automaton:
             blue.sort(key=lambda b: (depth[b[1]], b[0]))
         return self
 
+    def looped(self, alpha: float = 0.05) -> Automaton:
+        """Merges compatible states of any depth, so that lengths which vary become loops."""
+        bound = math.sqrt(0.5 * math.log(2 / alpha))
+        red = [0]
+        while True:
+            blue = [(-self.seen[to], to, p, c) for p in red for c, (to, _) in self.moves[p].items() if to not in red]
+            if not blue:
+                return self
+            _, state, parent, c = min(blue)
+            for r in red[1:]:
+                if self._alike(r, state, bound):
+                    self.moves[parent][c][0] = r
+                    self._fold(r, state)
+                    break
+            else:
+                red.append(state)
+
     def log_likelihood(self, word: str, smooth: float = 0.02) -> float:
         """Log-probability of a word; a move never seen costs its smoothed share and stays put."""
         state, total = 0, 0.0
@@ -194,6 +245,18 @@ class Scanner:
         total = sum(counts.values())
         self.background = {c: math.log((n + 1) / (total + 64)) for c, n in counts.items()}
         self.other = math.log(1 / (total + 64))
+        #: Automata and plain characters of credentials of segments, by prefix.
+        self.segmented: dict[str, tuple[Automaton, dict[str, float], int]] = {}
+        rests: dict[str, list[str]] = {}
+        for prefix, rest in labelled_segmented() if credentials is None else ():
+            rests.setdefault(prefix, []).append(classes(rest))
+        least = {prefix: sum(n for _, n, _ in parts) + len(between) * (len(parts) - 1) for prefix, parts, between in SEGMENTED}
+        for prefix, known in rests.items():
+            counts = Counter(c for w in known for c in w)
+            plain = {c: math.log(n / counts.total()) for c, n in counts.items()}
+            self.segmented[prefix] = (Automaton.prefix_tree(known).looped(), plain, least[prefix])
+        #: The first three characters of all credentials: no part that begins otherwise scores.
+        self.heads = {w[:3] for w in words} | {p[:3] for p in self.segmented}
 
     def score(self, token: str) -> float:
         """Likelihood gained per character over plain characters. Credentials of known formats
@@ -202,6 +265,41 @@ class Scanner:
         plain = sum(self.background.get(c, self.other) for c in word)
         return (self.automaton.log_likelihood(word) - plain) / max(len(word), 1)
 
+    def segmented_score(self, token: str) -> float:
+        """Likelihood gained per character by a token's own prefix and segments over plain characters."""
+        best = -math.inf
+        for prefix, (automaton, plain, least) in self.segmented.items():
+            if token.startswith(prefix) and len(token) - len(prefix) >= least:
+                word = classes(token[len(prefix) :])
+                if plain.keys() >= set(word):
+                    gain = automaton.log_likelihood(word) - sum(map(plain.get, word))
+                    best = max(best, gain / len(word))
+        return best
+
+    def part_score(self, token: str) -> float:
+        """The better of both scores; a character that no credential holds, such as a slash, is not made up for by being rare in plain text."""
+        fixed = self.score(token) if self.background.keys() >= set(symbols(token)[4:]) else -math.inf
+        return max(fixed, self.segmented_score(token))
+
+    def parts(self, token: str) -> list[tuple[int, int]]:
+        """Where credentials lie in a candidate: of parts between separators the best-scoring first, each as long as it scores."""
+        found = []
+        starts = [k for k in range(len(token)) if (k == 0 or token[k - 1] in _SEPARATORS) and token[k : k + 3] in self.heads]
+        if len(token.rstrip(".=-")) >= 16 and 0 not in starts and self.part_score(token.rstrip(".=-")) >= self.gain:
+            starts.insert(0, 0)
+        for a in starts:
+            ends = [k for k in range(a + 16, min(len(token), a + 1200)) if token[k] in _SEPARATORS] + [len(token)]
+            for b in reversed(ends):
+                b = a + len(token[a:b].rstrip(".=-"))
+                if b - a >= 16 and (score := self.part_score(token[a:b])) >= self.gain:
+                    found.append((-score, a, b))
+                    break
+        taken: list[tuple[int, int]] = []
+        for _, a, b in sorted(found):
+            if not any(s < b and a < e for s, e in taken):
+                taken.append((a, b))
+        return taken
+
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the fixed patterns' matches."""
         found = []
@@ -216,14 +314,14 @@ class Scanner:
         return found
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """Base spans and all spans, sorted by start and then kind. A candidate that overlaps a base span adds none."""
+        """Base spans and all spans, sorted by start and then kind. A part that lies within a base span adds none."""
         base = sorted(self.base(text))
         more = []
         for m in CANDIDATE.finditer(text):
-            token = m.group().rstrip(".=-")
-            a, b = m.start(), m.start() + len(token)
-            if len(token) >= 16 and not any(s < b and a < e for s, _, e in base) and self.score(token) >= self.gain:
-                more.append((a, len(BASE), b))
+            for a, b in self.parts(m.group()):
+                a, b = m.start() + a, m.start() + b
+                if not any(s <= a and b <= e for s, _, e in base):
+                    more.append((a, len(BASE), b))
         return base, sorted(base + more)
 
 
