@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, max
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), memo.ids(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), memo.ids(batch.column(1))):
                 packer.add(doc, ids + end)
             yield out()
         packer.recut()

@@ -7,7 +7,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
@@ -88,16 +90,19 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 8192, overl
     """doc_id, n_bytes (UTF-8) and n_tokens of every whole text.
 
     Texts over two chunks are counted by ``count_by_resync``, so one task never encodes a huge
-    text at once; others through the word memo. Both equal the library's own count.
+    text at once; others through the word memo. Both equal the library's own count. A file whose
+    pre-tokenizer is not known to allow cuts is asked for whole texts.
     """
 
     def run(batches):
         memo = memo_for(tokenizer, memo_entries)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = [len(t.encode()) for t in texts]
-            short = iter(memo.ids([t for t in texts if len(t) <= 2 * chunk_chars]))
-            counts = [len(next(short)) // 4 if len(t) <= 2 * chunk_chars else count_by_resync(t, memo.tokenizer, chunk_chars, overlap_chars) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            texts = batch.column(1)
+            huge = pc.greater(pc.utf8_length(texts), 2 * chunk_chars) if memo.kind else pa.array([False] * len(texts), pa.bool_())
+            counts = np.zeros(len(texts), np.int64)
+            at = huge.to_numpy(zero_copy_only=False)
+            counts[~at] = memo.count(texts.filter(pc.invert(huge)))
+            counts[at] = [count_by_resync(t, memo.tokenizer, chunk_chars, overlap_chars) for t in texts.filter(huge).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return map_batches(texts_of(docs), run, SCHEMA)

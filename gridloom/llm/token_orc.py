@@ -13,7 +13,6 @@ without rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +27,17 @@ FILE_SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, memo_entries: int = 400_000) -> str:
     """Encodes every text and writes the ids as ORC to ``path``."""
-    end = array("I", [end_id]).tobytes()
-
     def run(batches):
         from pyspark import TaskContext
 
         memo, part, at = memo_for(tokenizer, memo_entries), TaskContext.get().partitionId(), 0
         for batch in batches:
-            encoded = [ids + end for ids in memo.ids(batch.column(1).to_pylist())]
-            counts = np.array([len(x) // 4 for x in encoded], np.int64)
+            ids, counts = memo.encode(batch.column(1))
+            flat = np.insert(ids, counts.cumsum(), np.uint32(end_id))
+            counts = counts + 1
             ends = counts.cumsum()
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(encoded), part, np.int32)), pa.array(at + ends - counts), pa.array(counts), ids], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(at + ends - counts), pa.array(counts), ids], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
             at += int(ends[-1]) if len(ends) else 0
 
     texts = texts_of(docs)
@@ -65,8 +62,9 @@ def with_crc32(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(3)
-            flat, ends = np.asarray(ids.flatten()), np.asarray(ids.value_lengths()).cumsum()
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(np.concatenate([[0], ends[:-1]]) if len(ends) else [], ends)]
+            raw = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).tobytes()
+            ends = (4 * ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum()).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_batches(rows, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

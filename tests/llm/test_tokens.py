@@ -1,13 +1,15 @@
+import json
 import random
 import zlib
 from array import array
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import packing, token_counts, token_orc
 from gridloom.llm.common import scratch_dir
-from gridloom.llm.words import WordMemo, load_tokenizer, parts_of
+from gridloom.llm.words import WordMemo, key_of, load_tokenizer, part_of, parts_of
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -17,24 +19,67 @@ def own(path, texts):
     return [e.ids for e in load_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
-def noise(n, seed=1):
-    rng, letters = random.Random(seed), " \n\t  abAB's 1é.,<|endoftext|> 　ﬁ́Σ\u0000"
+#: Characters that tempt a cut: white space of all sorts, contractions in both cases, letters at the edge of Latin-1, marks that compose.
+LETTERS = [
+    list(" \n\t  abAB's 1é.,<|endoftext|> 　ﬁ́Σ\u0000"),
+    [*" \n\t\r\x0b\x0c\x1c\x85᠎​ ab'sSLldtªº µß.,%12½²éàÿŸÖ×÷¨´¸́ͅıİſK", "'ll", "'LL", "'S", " a", " .", "<|endoftext|>", "<|EndOfText|>"],
+    [*" \n'aZ09_-`{~!", "don't", "'RE", "we're", " \n", "\n\n"],
+]
+
+
+def noise(n, seed=1, letters=LETTERS[0]):
+    rng = random.Random(seed)
     return ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(n)] + ["<|endoftext|> a", "a <|startoftext|>  b<|endoftext|>", " ", "a  b", "", "e ́ b"]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 @pytest.mark.parametrize("limit", [400_000, 40])
-def test_memo_equals_the_library(path, limit):
-    texts = noise(1500)
-    memo, got = WordMemo(path, limit), []
+@pytest.mark.parametrize("letters", LETTERS)
+def test_memo_equals_the_library(path, limit, letters):
+    texts = noise(2500, letters=letters) + ["5 µm wide", "about 10 µs", "a 20 ºC day", "the ªb", "º'd", "µ'll"]
+    memo, got, counts = WordMemo(path, limit), [], []
     for at in range(0, len(texts), 50):
-        got += memo.ids(texts[at : at + 50])
-    assert got == [array("I", ids).tobytes() for ids in own(path, texts)]
+        got += memo.ids(pa.array(texts[at : at + 50]))
+        counts += memo.count(pa.array(texts[at : at + 50])).tolist()
+    assert memo.kind and got == [array("I", ids).tobytes() for ids in own(path, texts)]
+    assert counts == [len(ids) // 4 for ids in got]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_memo_on_documents(path, texts):
+    texts = list(texts.values())
+    assert WordMemo(path).ids(pa.array(texts)) == [array("I", ids).tobytes() for ids in own(path, texts)]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_letters_and_marks_are_sure_anywhere(path):
+    """Every letter beside every mark and digit, in words, gives the ids of the whole text."""
+    safe = [chr(c) for c in range(33, 256) if chr(c).isprintable()]
+    texts = [f"{a}{b} x{a}{b}y {b}{a}{b}\n{a}{a}{b}\n\n{a}" for a in safe for b in safe[::3]]
+    assert WordMemo(path).ids(pa.array(texts)) == [array("I", ids).tobytes() for ids in own(path, texts)]
+
+
+def test_unknown_pre_tokenizers_get_whole_texts(tmp_path):
+    told = json.loads(load_tokenizer(BYTES).to_str())
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    texts, path = noise(200), str(tmp_path / "t.json")
+    memo = WordMemo(path)
+    assert memo.kind is None and memo.ids(pa.array(texts)) == [array("I", ids).tobytes() for ids in own(path, texts)]
+
+
+def test_memo_is_bounded_by_characters():
+    memo = WordMemo(BYTES, 100)
+    for k in range(30):
+        memo.ids(pa.array([f"{k}" + "字" * 2000 for _ in range(3)]))
+        assert memo.now.chars < 3200 + 2100
 
 
 def test_parts_join_to_the_text():
-    for t in noise(300):
-        assert "".join(parts_of(t)) == t
+    for letters in LETTERS:
+        for t in noise(300, letters=letters):
+            assert "".join(parts_of(t)) == t
+            assert all(part_of(key_of(p)) == p for p in parts_of(t))
 
 
 @pytest.mark.parametrize("chunk, overlap", [(40, 6), (15, 1), (300, 64)])
