@@ -11,10 +11,13 @@ costs one more than all of that encoding, so the model's encoding is the best pa
 the sum of its pieces' scores; others follow by what they change.
 
 A place between two characters that stand side by side in no piece of the vocabulary is crossed
-by no piece: the lattice falls apart there, for one before every word. Words recur, so a bounded
-memo holds each one's best segmentation and what its second choice costs. The N best of the
-whole follow exactly: only the N - 1 words whose second choice costs least can differ from their
-best, and only these are searched.
+by no piece: the lattice falls apart there, for one before every word. The N best of the whole
+follow exactly from its stretches: only the N - 1 whose second choice costs least can differ from
+their best, and only these are searched. What a second choice costs comes from the Viterbi pass,
+in a bounded memo as words recur. In a BPE model most stretches need none: a path with two pieces
+or more that aren't the model's own loses more than all of the stretch's score, which bounds the
+cost from below, and a single such piece must join pieces of the model's own that begin some piece
+of the vocabulary.
 
 Edge cases: a null or empty text has no pieces, one segmentation and score zero; characters
 outside the vocabulary become byte pieces at the unknown penalty; null, repeated and tied
@@ -26,9 +29,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -37,9 +42,16 @@ from .common import map_batches, texts_of
 SPACE = "▁"
 _SCALE = 1 << 16
 _UNKNOWN_PENALTY = 10
+_NONE = 1 << 62
+_CHUNK = 1 << 16
+_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 _LOADED: dict[tuple, "Lattice"] = {}
 
 
+def raw_of(piece: int) -> bytes:
+    return array("I", [piece]).tobytes()
+
+
 class Lattice:
     """Segmentations of normalised text; ids are little-endian unsigned 32-bit integers."""
 
@@ -76,6 +88,28 @@ class Lattice:
         self.choices: dict[str, list[tuple[int, bytes]]] = {}
         # Whether no piece has the mark after another character.
         self.mark_leads = not any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
+        # Whether characters in longer pieces are pieces themselves, so that an unknown one is in no other piece.
+        self.quick = self.merges and self.mark_leads and all(c in self.scores for p in self.pairs for c in p)
+        if self.quick:
+            self._tabulate()
+
+    def _tabulate(self) -> None:
+        """Tables by piece number, for what the lattice of a BPE model needs of whole texts."""
+        sp, n = self.processor, self.processor.get_piece_size()
+        pieces = [sp.id_to_piece(i) for i in range(n)]
+        number = {p: k for k, p in enumerate(pieces) if p in self.scores}
+        self.value = np.array([self.scores.get(p, self.unknown) for p in pieces], np.int64)
+        for k, byte in enumerate(self.byte_ids):
+            if self.has_bytes:  # an unknown character counts once, with its first byte
+                self.value[byte] = 0 if 0x80 <= k < 0xC0 else self.unknown
+        self.marked = np.array([p in number and p.startswith(SPACE) for p in pieces])
+        self.blank = np.array([p in number and not p.strip(SPACE) for p in pieces])
+        joins = {(number[p[:i]] << 32) | number[p[i:j]] for p in number for i in range(1, len(p)) if p[:i] in number for j in range(i + 1, len(p) + 1) if p[i:j] in number}
+        #: Pairs of pieces that begin a piece when joined.
+        self.joins = np.array(sorted(joins), np.int64)
+        #: What the second choice of a stretch of one piece costs, where known.
+        self.gap_of = np.full(n, -1, np.int64)
+        self.gaps: dict[bytes, int] = {}
 
     def _merged(self, stretch: str) -> list[str]:
         """The model's pieces of a normalised stretch: the best merge first, the leftmost of equal ones."""
@@ -191,14 +225,15 @@ class Lattice:
 
     def stretches(self, text: str) -> list[str]:
         """Normalised text cut where no piece crosses: before words, or at any place that allows it."""
-        if self.mark_leads and SPACE * 2 not in text:
-            head, *words = text.split(SPACE)
-            return [head] * bool(head) + [SPACE + w for w in words]
+        if self.mark_leads:
+            return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)
         cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.pairs]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
     def encode(self, text: str) -> list[tuple[int, bytes]]:
         """The n best segmentations of a whole text, as (score, ids)."""
+        if self.quick:
+            return self._encode_merged(text)
         text = self.normalized(text)
         if not text:
             return [(0, b"")]
@@ -219,19 +254,93 @@ class Lattice:
         if self.n == 1:
             return [(total, b"".join(ids))]
         loose = sorted(k for _, k in heapq.nsmallest(self.n - 1, [(g, k) for k, g in enumerate(gaps) if g is not None]))
-        options = [self._choices(parts[k]) for k in loose]
+        ends = np.cumsum([len(x) for x in ids])
+        return self._combined(total, b"".join(ids), [(ends[k] - len(ids[k]), ends[k], parts[k]) for k in loose])
+
+    def _combined(self, total: int, ids: bytes, loose: list[tuple[int, int, str]]) -> list[tuple[int, bytes]]:
+        """The n best of a whole, whose best is ``ids``, from the choices of some stretches (start and end in ``ids``, text)."""
+        options = [self._choices(part) for _, _, part in loose]
         best: list[tuple[int, tuple]] = [(0, ())]
         for choices in options:
             best = [(a + s - choices[0][0], (*path, c)) for a, path in best for c, (s, _) in enumerate(choices)]
             best = sorted(best, key=lambda x: (-x[0], x[1]))[: self.n]
         out = []
         for change, path in best:
-            own = list(ids)
-            for k, choices, c in zip(loose, options, path):
-                own[k] = choices[c][1]
-            out.append((total + change, b"".join(own)))
+            made, at = [], 0
+            for (a, b, _), choices, c in zip(loose, options, path):
+                made += [ids[at:a], choices[c][1]]
+                at = b
+            out.append((total + change, b"".join([*made, ids[at:]])))
         return out
 
+    def own_ids(self, text: str) -> np.ndarray:
+        """The model's own encoding of a text. A huge one is cut at single spaces between ASCII
+        letters, where the mark that the normaliser puts first stands for the space."""
+        if len(text) <= _CHUNK:
+            return np.array(self.processor.encode(text), np.int32)
+        parts, at = [], 0
+        while len(text) - at > _CHUNK and (m := _CUT.search(text, at + _CHUNK // 2)):
+            parts.append(text[at : m.start()])
+            at = m.end()
+        return np.concatenate([np.array(p, np.int32) for p in self.processor.encode([*parts, text[at:]], num_threads=1)])
+
+    def _encode_merged(self, text: str) -> list[tuple[int, bytes]]:
+        """``encode`` for a BPE model."""
+        ids = self.own_ids(text)
+        if not len(ids):
+            return [(0, b"")]
+        first = self.marked[ids]
+        first[1:] &= ~self.blank[ids[:-1]]
+        first[0] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(ids))
+        totals = np.add.reduceat(self.value[ids], starts)
+        total, raw = int(totals.sum()), ids.astype("<u4").tobytes()
+        if self.n == 1:
+            return [(total, raw)]
+        # What a second choice costs at least; exactly for stretches of one piece.
+        least = 2 * _SCALE - totals
+        if len(self.joins):
+            keys = (ids[:-1].astype(np.int64) << 32) | ids[1:]
+            near = self.joins[np.minimum(np.searchsorted(self.joins, keys), len(self.joins) - 1)] == keys
+            joined = np.add.reduceat(np.append(near & ~first[1:], False), starts) > 0
+            least[joined] = _SCALE
+        alone = ends - starts == 1
+        single = ids[starts[alone]]
+        for k in np.unique(single[self.gap_of[single] < 0]).tolist():
+            self.gap_of[k] = self._gap(raw_of(k))
+        least[alone] = self.gap_of[single]
+        n = self.n - 1
+        exact = alone.copy()
+        while True:
+            bound = np.partition(least[exact], n - 1)[n - 1] if exact.sum() >= n else _NONE
+            todo = np.flatnonzero(~exact & (least <= bound))
+            if not len(todo):
+                break
+            if len(todo) > 4 * n:  # those of the least bounds first, as they may lower the bound
+                todo = todo[np.argpartition(least[todo], 4 * n)[: 4 * n]]
+            for k in todo.tolist():
+                least[k] = self._gap(raw[4 * starts[k] : 4 * ends[k]])
+            exact[todo] = True
+        order = np.flatnonzero(exact & (least <= bound) & (least < _NONE))
+        loose = sorted(order[np.argsort(least[order], kind="stable")[:n]].tolist())
+        return self._combined(total, raw, [(4 * starts[k], 4 * ends[k], self.text_of(raw[4 * starts[k] : 4 * ends[k]])) for k in loose])
+
+    def text_of(self, ids: bytes) -> str:
+        """The normalised stretch that ids stand for."""
+        return b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode().replace(" ", SPACE)
+
+    def _gap(self, ids: bytes) -> int:
+        """What the second choice of a stretch costs."""
+        if (gap := self.gaps.get(ids)) is None:
+            gap = self.viterbi(self.text_of(ids))[2]
+            gap = _NONE if gap is None else gap
+            if len(ids) < 256:
+                if len(self.gaps) > self.limit:
+                    self.gaps.clear()
+                self.gaps[ids] = gap
+        return gap
+
     def _choices(self, part: str) -> list[tuple[int, bytes]]:
         """The n best of a stretch; words recur among those whose second choice costs least."""
         if (known := self.choices.get(part)) is None:
