@@ -47,6 +47,46 @@ def test_machine_learns_an_interaction():
     assert right > 0.95
 
 
+@pytest.mark.parametrize("noise", [20, 200])
+def test_pairs_survive_the_choice_of_terms(noise):
+    """8,000 terms, of which two tell the label by whether they agree; neither tells anything alone."""
+    rng, rows = np.random.default_rng(2), []
+    for _ in range(3000):
+        terms = set(rng.integers(2, 8000, noise).tolist()) | {t for t in (0, 1) if rng.random() < 0.5}
+        rows.append((np.array(sorted(terms)), int((0 in terms) == (1 in terms))))
+    machine = toxicity.fit(rows[:2400], kept=2048, frequent=1024)
+    assert len(machine.terms) == 2048 and {0, 1} <= set(machine.terms.tolist())
+    assert np.mean([(machine.score(set(t.tolist())) >= 0.5) == y for t, y in rows[2400:]]) > 0.95
+
+
+def test_scores_are_the_plain_pairwise_sum(spark, texts):
+    """Terms word by word and the sum over all pairs, against the batches and the machine's formula."""
+    words = ["Insult", "group,", "café", "kindness", "unrelated", "", "(quoted)", "the"]
+    strip = ".,;:!?\"'()[]#$%&*|"
+
+    def terms_of(text):
+        found = set()
+        for word in (w.lower().strip(strip) for w in text.split()):
+            forms = [f"w{word}"] if word else []
+            forms += [f"{side}{part}" for n in (4, 5, 6) if len(word) > n for side, part in (("b", word[:n]), ("e", word[-n:]))]
+            found |= {zlib.crc32(f.encode()) & ((1 << toxicity.HASH_BITS) - 1) for f in forms}
+        return found
+
+    rng = np.random.default_rng(4)
+    made = [" ".join(rng.choice(words, rng.integers(0, 7))) for _ in range(60)] + list(texts.values())[:20]
+    known = np.array(sorted(set().union(*map(terms_of, made)))[::2])
+    machine = toxicity.FactorizationMachine(known, -0.3, rng.normal(0, 0.1, len(known)), rng.normal(0, 0.1, (len(known), 3)))
+    place = {t: k for k, t in enumerate(known.tolist())}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(made)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    for k, text in enumerate(made):
+        at = sorted(place[t] for t in terms_of(text) if t in place)
+        z = machine.bias + sum(machine.weights[i] for i in at)
+        z += sum(machine.vectors[i] @ machine.vectors[j] for n, i in enumerate(at) for j in at[n + 1 :])
+        want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert abs(got[k] - want) < 1e-9 and abs(machine.score(terms_of(text)) - want) < 1e-9
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     machine = toxicity.train(odd, none)
@@ -58,10 +98,12 @@ def test_toxicity_odd_rows(spark, odd, empty):
 
 def test_labels_of_held_out_rows_are_not_learnt(labelled):
     docs, labels, known = labelled
-    texts = {r.text for r in docs.filter("doc_id is not null").collect() if held(r.doc_id)}
-    seen = toxicity.labelled_sample(docs, labels, "toxic", 10**6).count()
-    assert seen == sum(not held(d) for d in known)
-    assert texts
+    seen = toxicity.labelled_sample(docs, labels, "toxic", 10**6).collect()
+    assert len(seen) == sum(not held(d) for d in known)
+    ids = {}
+    for r in docs.filter("doc_id is not null").collect():
+        ids.setdefault(r.text, set()).add(r.doc_id)
+    assert all(any(not held(d) for d in ids[r.text]) for r in seen)
 
 
 def test_quality_on_held_out_rows(spark, labelled):
