@@ -13,6 +13,11 @@ Credentials of several segments, or of no fixed length, have an automaton of the
 states of any depth merge, so that loops are learnt. Besides a whole candidate, its parts between
 separators are scored, as a credential may be glued to a name, a path or an address.
 
+Formats outside the list are found by their shape alone: one automaton is learnt from the classes
+of all labelled credentials, prefix and all, another from those of plain tokens (words, names of
+programs, hosts, numbers, dates), and a part that gains more over the second than nearly all plain
+tokens of a further sample (the threshold is fitted to them) is a span too.
+
 Edge cases: a null or empty text has no spans; offsets count code points and ends are
 exclusive; null, repeated and tied doc_ids are scanned row by row; other columns are not read
 by a scan and pass a redaction unchanged; an empty table gives an empty result.
@@ -80,6 +85,12 @@ SEGMENTED = (
 )
 _ALPHABETS |= {"url": _ALPHABETS["alnum"] + "-_", "lowhex": "0123456789abcdef"}
 _SEPARATORS = "=/.+-_"
+#: The least length of a credential known by its shape alone, and the parts that may be one.
+_SHAPED = 20
+#: The threshold lies by a margin (nats) above what this share of further plain tokens gains.
+_PLAIN_BELOW = 0.998
+_SHAPE_MARGIN = 4.0
+_SHAPED_PART = re.compile(f"[A-Za-z0-9](?:[A-Za-z0-9_-]{{{_SHAPED - 2},}})[A-Za-z0-9]")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
 
@@ -111,6 +122,37 @@ def symbols(token: str, prefix: int = 11) -> str:
     return token[:cut] + "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[cut:])
 
 
+def labelled_plain(count: int = 6000, seed: int = 9) -> list[str]:
+    """Made-up tokens that are no credentials: words, names of programs, hosts, numbers, dates and identifiers."""
+    rng = random.Random(seed)
+
+    def word(least=2, most=12):
+        return "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(least, most) // 2 + 1))
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def number():
+        return digits(rng.randint(1, 4))
+
+    made = (
+        lambda: rng.choice((str, str.capitalize, str.upper))(word(16, 40)),
+        lambda: "".join(word(2, 9).capitalize() for _ in range(rng.randint(2, 6))),
+        lambda: "".join(rng.choice((word(2, 9).capitalize(), word(2, 9).capitalize(), word(2, 6).upper())) for _ in range(rng.randint(2, 6))) + rng.choice(("", "", number())),
+        lambda: word() + "".join(rng.choice((word(2, 9).capitalize(), word(2, 3).upper(), number())) for _ in range(rng.randint(1, 5))),
+        lambda: rng.choice("_-").join(rng.choice((word, number))() for _ in range(rng.randint(2, 7))),
+        lambda: "_".join(rng.choice((word().upper(), number())) for _ in range(rng.randint(2, 6))),
+        lambda: "-".join(rng.choice((word().capitalize(), word(), number())) for _ in range(rng.randint(2, 6))),
+        lambda: digits(rng.randint(16, 40)),
+        lambda: "-".join(digits(n) for n in (4, 2, 2, rng.choice((2, 4, 6)), rng.choice((2, 4, 6)))),
+        lambda: f"{digits(4)}{digits(2)}{digits(2)}T{digits(6)}Z-{word()}",
+        lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 20, 32, 40, 64)))),
+        lambda: word() + number() + "-" + word() + number(),
+    )
+    return [w for k in range(count) if len(w := made[k % len(made)]()) >= _SHAPED]
+
+
 class Automaton:
     """A probabilistic automaton: ``moves[state][symbol] = (next, count)`` and ``ends[state]``."""
 
@@ -255,6 +297,12 @@ class Scanner:
             counts = Counter(c for w in known for c in w)
             plain = {c: math.log(n / counts.total()) for c, n in counts.items()}
             self.segmented[prefix] = (Automaton.prefix_tree(known).looped(), plain, least[prefix])
+        #: Automata of the shapes of credentials and of plain tokens, and what a part must gain by the first over the second.
+        known = list(labelled_credentials()) + [prefix + rest for prefix, rest in labelled_segmented(40)] if credentials is None else list(credentials)
+        self.shapes = Automaton.prefix_tree([classes(w) for w in known]).looped()
+        self.plain_shapes = Automaton.prefix_tree([classes(w) for w in labelled_plain()]).looped()
+        gains = sorted(map(self.shape_gain, labelled_plain(3000, seed=10)))
+        self.least_shape = gains[int(_PLAIN_BELOW * len(gains))] + _SHAPE_MARGIN
         #: The first three characters of all credentials: no part that begins otherwise scores.
         self.heads = {w[:3] for w in words} | {p[:3] for p in self.segmented}
 
@@ -276,6 +324,11 @@ class Scanner:
                     best = max(best, gain / len(word))
         return best
 
+    def shape_gain(self, token: str) -> float:
+        """Log-likelihood that a token's classes gain as a credential over a plain token."""
+        word = classes(token)
+        return self.shapes.log_likelihood(word, 0.5) - self.plain_shapes.log_likelihood(word, 0.5)
+
     def part_score(self, token: str) -> float:
         """The better of both scores; a character that no credential holds, such as a slash, is not made up for by being rare in plain text."""
         fixed = self.score(token) if self.background.keys() >= set(symbols(token)[4:]) else -math.inf
@@ -298,6 +351,9 @@ class Scanner:
         for _, a, b in sorted(found):
             if not any(s < b and a < e for s, e in taken):
                 taken.append((a, b))
+        for m in _SHAPED_PART.finditer(token):
+            if not any(s < m.end() and m.start() < e for s, e in taken) and self.shape_gain(m.group()) >= self.least_shape:
+                taken.append(m.span())
         return taken
 
     def base(self, text: str) -> list[tuple[int, int, int]]:

@@ -317,3 +317,33 @@ def test_huge_texts_are_cut_without_a_trace(monkeypatch, texts):
     want = lattice.processor.encode(text)
     monkeypatch.setattr(sentencepiece_nbest, "_CHUNK", 300)
     assert lattice.own_ids(text).tolist() == want
+
+
+def test_formats_outside_the_list_are_found_by_shape(spark, texts):
+    """Held-out formats and plain tokens, neither among those learnt from; spans against a plain forward sum."""
+    scanner, rng = secret_scan.Scanner(), random.Random(21)
+    letters = secret_scan._ALPHABETS["alnum"]
+    for prefix, length, least in (("ghs_", 36, 0.95), ("ghu_", 36, 0.95), ("pk_live_", 32, 0.9), ("sk_test_", 32, 0.9), ("lin_api_", 40, 0.9), ("", 40, 0.9)):
+        made = [prefix + "".join(rng.choice(letters) for _ in range(length)) for _ in range(100)]
+        found = [any(a <= 4 + len(prefix) and b >= 4 + len(w) for a, _, b in scanner.spans(f"see {w} here")[1]) for w in made]
+        assert np.mean(found) >= least, prefix
+    plain = ["getElementsByTagNameNS2", "com.example.service.UserAccountManagerImpl", "/usr/lib/x86_64-linux-gnu/libstdc++.so.6.0.28", "2024-01-02T030405Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "README_FOR_BUILD_2024_v12.md", "HTTPSConnectionPoolManagerFactoryBean", "4398874246221956", "Donaudampfschifffahrtsgesellschaft"]
+    assert not any(scanner.spans(w)[1] for w in plain)
+    assert np.mean([scanner.shape_gain(w) >= scanner.least_shape for w in secret_scan.labelled_plain(3000, seed=31)]) < 0.004
+
+    def forward(automaton, word, smooth):
+        """The sum over all states, of which a deterministic automaton holds one."""
+        share = {0: 1.0}
+        for c in word:
+            following = {}
+            for state, p in share.items():
+                to, count = automaton.moves[state].get(c, (state, 0))
+                q = p * (count + smooth) / (automaton.seen[state] + 64 * smooth) * (smooth if not count and not automaton.moves[state] else 1)
+                following[to] = following.get(to, 0) + q
+            share = following
+        return np.log(sum(p * (automaton.ends[s] + smooth) / (automaton.seen[s] + 64 * smooth) for s, p in share.items()))
+
+    for w in [*made[:20], *plain]:
+        word = secret_scan.classes(w)
+        assert abs(forward(scanner.shapes, word, 0.5) - forward(scanner.plain_shapes, word, 0.5) - scanner.shape_gain(w)) < 1e-6
+    assert not any(k == len(secret_scan.BASE) for t in texts.values() for _, k, _ in scanner.spans(t)[1])
