@@ -16,8 +16,8 @@ follow exactly from its stretches: only the N - 1 whose second choice costs leas
 their best, and only these are searched. What a second choice costs comes from the Viterbi pass,
 in a bounded memo as words recur. In a BPE model most stretches need none: a path with two pieces
 or more that aren't the model's own loses more than all of the stretch's score, which bounds the
-cost from below, and a single such piece must join pieces of the model's own that begin some piece
-of the vocabulary.
+cost from below, and a single such piece must join three or more pieces of the model's own, as the
+model joins any two that make a piece.
 
 Edge cases: a null or empty text has no pieces, one segmentation and score zero; characters
 outside the vocabulary become byte pieces at the unknown penalty; null, repeated and tied
@@ -104,9 +104,15 @@ class Lattice:
                 self.value[byte] = 0 if 0x80 <= k < 0xC0 else self.unknown
         self.marked = np.array([p in number and p.startswith(SPACE) for p in pieces])
         self.blank = np.array([p in number and not p.strip(SPACE) for p in pieces])
-        joins = {(number[p[:i]] << 32) | number[p[i:j]] for p in number for i in range(1, len(p)) if p[:i] in number for j in range(i + 1, len(p) + 1) if p[i:j] in number}
-        #: Pairs of pieces that begin a piece when joined.
-        self.joins = np.array(sorted(joins), np.int64)
+        found = set()
+        for piece in number:
+            cuts = [(i, j) for i in range(len(piece)) for j in range(i + 1, len(piece) + 1) if piece[i:j] in number]
+            for _, i in (c for c in cuts if c[0] == 0):
+                for j in (b for a, b in cuts if a == i and piece[:b] not in number):
+                    for k in (b for a, b in cuts if a == j and piece[i:b] not in number):
+                        found.add((number[piece[:i]] * n + number[piece[i:j]]) * n + number[piece[j:k]])
+        #: Three pieces that begin a piece when joined. The model joins any two that make one, so two of its own that stand side by side never do.
+        self.joins = np.array(sorted(found), np.int64)
         #: What the second choice of a stretch of one piece costs, where known.
         self.gap_of = np.full(n, -1, np.int64)
         self.gaps: dict[bytes, int] = {}
@@ -300,11 +306,13 @@ class Lattice:
             return [(total, raw)]
         # What a second choice costs at least; exactly for stretches of one piece.
         least = 2 * _SCALE - totals
-        if len(self.joins):
-            keys = (ids[:-1].astype(np.int64) << 32) | ids[1:]
+        if len(self.joins) and len(ids) > 2:
+            wide = ids.astype(np.int64)
+            keys = (wide[:-2] * len(self.value) + wide[1:-1]) * len(self.value) + wide[2:]
             near = self.joins[np.minimum(np.searchsorted(self.joins, keys), len(self.joins) - 1)] == keys
-            joined = np.add.reduceat(np.append(near & ~first[1:], False), starts) > 0
-            least[joined] = _SCALE
+            near &= ~(first[1:-1] | first[2:])
+            if near.any():
+                least[np.searchsorted(starts, np.flatnonzero(near), side="right") - 1] = _SCALE
         alone = ends - starts == 1
         single = ids[starts[alone]]
         for k in np.unique(single[self.gap_of[single] < 0]).tolist():
