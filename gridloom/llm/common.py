@@ -57,3 +57,16 @@ def spread_lookup(rows: DataFrame, key: str, table: DataFrame, salts: int = 64,
     used = salted.groupBy(key, "__salt").agg(F.lit(1).alias("__used")).drop("__used")
     found = used.join(table, key)
     return salted.join(found, [key, "__salt"], how).drop("__salt")
+
+
+def met_in_tiles(members: DataFrame, group: str, key: str) -> DataFrame:
+    """``members`` with ``tile`` = (group, p, q): every two members of a group share a tile.
+
+    ``parts`` tells into how many a group is cut. A member lies in one part by the hash of ``key``
+    and goes to the tiles of that part with each other one, so a tile holds two parts.
+    """
+    own = members.withColumn("__part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (q != F.col("__part")) | (F.col("parts") == 1))
+    met = own.withColumn("__other", F.explode(others))
+    tile = F.struct(F.col(group).alias("at"), F.least("__part", "__other").alias("p"), F.greatest("__part", "__other").alias("q"))
+    return met.withColumn("tile", tile).drop("__part", "__other", "parts")

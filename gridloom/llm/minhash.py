@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, spread_lookup, texts_of
+from .common import map_batches, materialize, met_in_tiles, spread_lookup, texts_of
 from .simhash import connected
 
 SHINGLE_WORDS = 5
@@ -209,10 +209,8 @@ def class_links(classes: DataFrame, threshold: float = 0.8, block: int = 1000) -
     held = banded.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("least"), *digest).filter("n > 1")
     once = held.groupBy("n", "least", "x0", "x1").agg(F.min("at").alias("at"))
     shared = materialize(once.select("at", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    members = spread_lookup(banded, "at", shared).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (q != F.col("part")) | (F.col("parts") == 1))
-    dealt = members.select("id", "at", "part", F.explode(others).alias("other")).select("id", "at", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    tiles = dealt.select("id", F.struct("at", "p", "q").alias("tile")).join(classes.select("id", "hashes"), "id").select("tile", "id", "hashes")
+    dealt = met_in_tiles(spread_lookup(banded, "at", shared), "at", "id")
+    tiles = dealt.select("id", "tile").join(classes.select("id", "hashes"), "id").select("tile", "id", "hashes")
 
     def run(batches):
         tile, ids, sets = None, [], []

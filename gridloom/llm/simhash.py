@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, spread_lookup, texts_of
+from .common import map_batches, materialize, met_in_tiles, spread_lookup, texts_of
 
 SEGMENT_BITS = 2
 _HALF = 32
@@ -169,11 +169,13 @@ def _links_of_sorted(batches, bits: int):
         yield emit(np.concatenate([c for c, _ in waiting]), np.concatenate([f for _, f in waiting]))
 
 
-def near_links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of column fp that have the same connected
-    parts as all pairs with at most ``bits`` (4 or fewer) differing bits."""
-    if bits > 4:
-        raise ValueError("the grid holds for 4 or fewer differing bits")
+def dealt_cells(distinct: DataFrame, block: int = 20_000) -> DataFrame:
+    """(cell, fp) rows, where fingerprints within the grid's reach share a cell.
+
+    A cell of more than ``block`` fingerprints is dealt over parts, and every two of these meet in
+    a cell of their own, so that no task compares more than about two blocks. Such a cell's number
+    is a hash; should it meet another, more fingerprints are compared and links stay exact.
+    """
 
     def explode(batches):
         for batch in batches:
@@ -181,7 +183,20 @@ def near_links(distinct: DataFrame, bits: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(fps.view(np.int64))], names=["cell", "fp"])
 
     rows = map_batches(distinct.select("fp"), explode, "cell bigint, fp bigint")
-    dealt = rows.repartition("cell").sortWithinPartitions("cell")
+    hot = materialize(rows.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows
+    met = met_in_tiles(spread_lookup(rows, "cell", hot), "cell", "fp")
+    cold = rows.join(hot, "cell", "left_anti")
+    return cold.select("cell", "fp").unionByName(met.select(F.xxhash64("tile").alias("cell"), "fp"))
+
+
+def near_links(distinct: DataFrame, bits: int = 4, block: int = 20_000) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of column fp that have the same connected
+    parts as all pairs with at most ``bits`` (4 or fewer) differing bits."""
+    if bits > 4:
+        raise ValueError("the grid holds for 4 or fewer differing bits")
+    dealt = dealt_cells(distinct, block).repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(lambda batches: _links_of_sorted(batches, bits), "a bigint, b bigint")
 
 

@@ -110,6 +110,37 @@ def test_simhash_random_and_dense_groups(spark):
         simhash.near_links(df, 5)
 
 
+def test_a_hot_cell_is_dealt_over_tiles(spark):
+    """Fingerprints that all share cells; tiles hold about two blocks and all links are found."""
+    rng = np.random.default_rng(6)
+    pairs = rng.integers(0, 2, (6000, 16), dtype=np.uint64)
+    half = ((pairs + np.uint64(1)) << (np.uint64(2) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)  # one bit of each two
+    fps = (half << np.uint64(32)) | rng.integers(0, 1 << 32, 6000, dtype=np.uint64)
+    near = fps[:800] ^ (np.uint64(1) << rng.integers(0, 32, 800, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 800, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, near]))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp bigint")
+    sizes = [r["count"] for r in simhash.dealt_cells(df, 1000).groupBy("cell").count().collect()]
+    assert max(sizes) < 2600 and max(r["count"] for r in simhash.dealt_cells(df).groupBy("cell").count().collect()) > 6000
+    want = {frozenset(p) for p in ((int(a), int(b)) for k, a in enumerate(fps) for b in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ a) <= 4])}
+    parent = {int(f): int(f) for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in map(sorted, want):
+        parent[root(b)] = root(a)
+    got = {r.fp % 2**64: r.root for r in simhash.connected(simhash.near_links(df, block=1000)).collect()}
+    groups = {}
+    for f in got:
+        groups.setdefault(got[f], set()).add(f)
+    plain = {}
+    for f in {x for p in want for x in p}:
+        plain.setdefault(root(f), set()).add(f)
+    assert len(want) >= 700 and sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
+
+
 def test_cells_hold_every_near_pair():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
