@@ -15,6 +15,7 @@ share of toxic labels (0.5 without any); other columns are not read by a score.
 from __future__ import annotations
 
 import pickle
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +34,7 @@ KEPT_TERMS = 2048
 FREQUENT_TERMS = 4096
 _LEAST_ROWS = 8
 _EDGES = (4, 5, 6)
+_PUNCTUATION = ".,;:!?\"'()[]#$%&*|"
 
 
 def held_out() -> Column:
@@ -60,19 +62,20 @@ class Terms:
     """Numbers of words' terms, as places among ``known`` (ascending) if given; with a bounded memo."""
 
     def __init__(self, known: np.ndarray | None = None, bits: int = HASH_BITS, limit: int = 200_000):
-        self.mask, self.limit, self.memo, self.known = (1 << bits) - 1, limit, {}, known
-
-    def of_word(self, word: str) -> np.ndarray:
-        word = word.lower().strip(".,;:!?\"'()[]#$%&*|")
-        forms = {f"w{word}"} if word else set()
+        self.mask, self.limit = (1 << bits) - 1, limit
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.place = None if known is None else {t: k for k, t in enumerate(known.tolist())}
+
+    def of_word(self, word: str) -> tuple[int, ...]:
+        if not word:
+            return ()
+        forms = [f"w{word}"]
         for n in _EDGES:
             if len(word) > n:
-                forms |= {f"b{word[:n]}", f"e{word[-n:]}"}
-        found = np.array(sorted({crc32(f.encode(errors="replace")) & self.mask for f in forms}), np.int64)
-        if self.known is None or not len(found) or not len(self.known):
-            return found if self.known is None else found[:0]
-        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
-        return at[self.known[at] == found]
+                forms += (f"b{word[:n]}", f"e{word[-n:]}")
+        mask, place = self.mask, self.place
+        found = {crc32(f.encode(errors="replace")) & mask for f in forms}
+        return tuple(found if place is None else [place[t] for t in found if t in place])
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, term) of every term of every text, each once, ascending. Texts may be null."""
@@ -82,24 +85,24 @@ class Terms:
             self.memo.clear()
         get, of_word, memo, found = self.memo.get, self.of_word, self.memo, []
         for word in words.dictionary.to_numpy(zero_copy_only=False):
+            word = word.lower().strip(_PUNCTUATION)
             if (terms := get(word)) is None:
                 terms = of_word(word)
                 if len(word) < 64:
                     memo[word] = terms
             found.append(terms)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([*found, np.zeros(0, np.int64)])
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
         starts = sizes.cumsum() - sizes
         at = words.indices.to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
-        if len(at):
-            once = np.unique(owner * len(sizes) + at)
-            once = once[sizes[once % len(sizes)] > 0]
-            owner, at = once // len(sizes), once % len(sizes)
+        has = sizes[at] > 0
+        owner, at = owner[has], at[has]
         n = sizes[at]
         ends = n.cumsum()
         places = np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        pairs = np.unique((np.repeat(owner, n) << HASH_BITS) | flat[places])
+        pairs = np.sort((np.repeat(owner, n) << HASH_BITS) | flat[places])
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
 
 
