@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numbers
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -71,6 +72,28 @@ def axis(ndim: int, value: int) -> int:
     return int(value) % ndim
 
 
+def plane(ndim: int, axes) -> list[int]:
+    """Two axes of an image, ascending and none negative."""
+    pair = np.asarray(list(axes), float)
+    if pair.shape != (2,) or (pair % 1).any():
+        raise ValueError("A plane takes two integral axes.")
+    pair = np.sort(np.where(pair < 0, pair + ndim, pair)).astype(int)
+    if ndim < 2 or pair[0] < 0 or pair[1] >= ndim:
+        raise ValueError("The plane does not lie in the image.")
+    return pair.tolist()
+
+
+def frames_a_batch(nframes, frames: int | None = None) -> int | None:
+    """Frames decoded together: ``nframes``, or all of ``frames`` for -1; only checked without ``frames``."""
+    if not isinstance(nframes, numbers.Integral) or nframes < -1 or nframes == 0:
+        raise ValueError(f"nframes counts frames or is -1 for all of them, not {nframes!r}.")
+    if frames is None:
+        return None
+    if nframes != -1 and (nframes > frames or frames % nframes):
+        warnings.warn(f"Batches of {nframes} don't share out {frames} frames evenly.", RuntimeWarning, stacklevel=3)
+    return int(frames if nframes == -1 else min(nframes, frames))
+
+
 def structure(ndim: int, value=None) -> np.ndarray:
     """A structuring element; None is the cross of direct neighbours."""
     if value is None:

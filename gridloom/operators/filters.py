@@ -2,12 +2,14 @@
 
 Every filter takes an image and returns one of the same shape and dtype; an integral result is
 truncated towards zero once, at the end. Results don't depend on how the pixels are
-partitioned: a boundary mode holds for the whole image. ``strategy`` is auto, scatter or tiles.
+partitioned: a boundary mode holds for the whole image. ``strategy`` is auto, scatter or tiles;
+ranks other than the first and last, which no partial aggregation shortens, take tiles always.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import prod
 
 import numpy as np
 from pyspark.sql import Column
@@ -18,6 +20,9 @@ from ..functions.kernels import gaussian_1d, rank_of_percentile
 from ..plans.image import Image
 from ..plans.stencil import SCATTER_TAPS, correlate_axis, reach, scatter, tiles, windows
 
+#: Neighbourhood cells that a tile's kernel copies at a time: 32 MB of doubles.
+_STRIP_CELLS = 1 << 22
+
 
 def _offsets(mask: np.ndarray, origin: Sequence[int]) -> np.ndarray:
     """Offsets of a footprint's cells from its centre, in C order."""
@@ -37,11 +42,28 @@ def _box(image: Image, size: Sequence[int], origin: Sequence[int]) -> tuple[tupl
     return low, high
 
 
+def _skipped(size, origin, low) -> list[int]:
+    """Places before a tile's first neighbourhood, which an origin may leave unused."""
+    return [lo - (s // 2 + o) for s, o, lo in zip(size, origin, low)]
+
+
 def _neighbourhoods(block: np.ndarray, size, origin, low) -> np.ndarray:
-    """The neighbourhoods of a tile's own pixels; an origin may leave places unused at an end."""
-    skip = [lo - (s // 2 + o) for s, o, lo in zip(size, origin, low)]
-    view = windows(block[tuple(slice(k, None) for k in skip)], size)
-    return view
+    """The neighbourhoods of a tile's own pixels."""
+    return windows(block[tuple(slice(k, None) for k in _skipped(size, origin, low))], size)
+
+
+def _by_strips(view: np.ndarray, mask: np.ndarray, array: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``array`` of the footprint cells of all neighbourhoods, copied a strip of bounded size at a time."""
+    n = mask.ndim
+    room, steps = max(1, _STRIP_CELLS // int(mask.sum())), []
+    for s in reversed(view.shape[:n]):
+        steps.append(min(s, room))
+        room = max(1, room // s)
+    out = np.empty(view.shape[:n])
+    for at in np.ndindex(*[-(-s // k) for s, k in zip(view.shape, reversed(steps))]):
+        strip = tuple(slice(a * k, (a + 1) * k) for a, k in zip(at, reversed(steps)))
+        out[strip] = array(view[strip][..., mask])
+    return out
 
 
 def _done(image: Image, df, value: Column | None = None) -> Image:
@@ -61,9 +83,12 @@ def _linear(image: Image, weights: np.ndarray, origin: Sequence[int], mode: str,
     low, high = _box(image, weights.shape, origin)
 
     def kernel(block, at):
-        view = _neighbourhoods(block, weights.shape, origin, low)
-        own = tuple(slice(0, b - lo - hi) for b, lo, hi in zip(block.shape, low, high))
-        return np.tensordot(view[own], weights, weights.ndim)
+        own = [b - lo - hi for b, lo, hi in zip(block.shape, low, high)]
+        out = np.zeros(own)
+        for cell in np.argwhere(used):  # one cell at a time, so no neighbourhood is copied
+            place = tuple(slice(int(c) + k, int(c) + k + s) for c, k, s in zip(cell, _skipped(weights.shape, origin, low), own))
+            out += weights[tuple(cell)] * block[place]
+        return out
 
     return _done(image, tiles(image, low, high, mode, kernel, cval))
 
@@ -97,6 +122,16 @@ Stack = list  # of (axis, weights, origin): correlations along single axes, one
 def _stacks(image: Image, stacks: list[Stack], mode: str, cval: float, strategy: str, merge_columns: Callable, merge_arrays: Callable) -> Image:
     """Several stacks of one-dimensional correlations, merged pixel by pixel."""
     mode, n = checks.mode(mode), image.ndim
+    if _takes_scatter(strategy, max((prod(np.count_nonzero(w) for _, w, _ in stack) for stack in stacks), default=1)):
+        made = _stacks_by_scatter(image, stacks, mode, cval, strategy, merge_columns)
+        if made is not None:
+            return made
+    return _stacks_by_tiles(image, stacks, mode, cval, merge_arrays)
+
+
+def _stacks_by_scatter(image: Image, stacks: list[Stack], mode: str, cval: float, strategy: str, merge_columns: Callable) -> Image | None:
+    """All stacks in one pass over the products of their weights; None if these are too many or one pass isn't exact."""
+    n = image.ndim
     combined: dict[tuple[int, ...], list[float]] = {}
     for j, stack in enumerate(stacks):
         product = {tuple([0] * n): 1.0}
@@ -114,6 +149,11 @@ def _stacks(image: Image, stacks: list[Stack], mode: str, cval: float, strategy:
     if _takes_scatter(strategy, len(taps)) and exact:
         df = scatter(image, np.array(taps), np.array([combined[t] for t in taps]), lambda v, w, _: [F.sum(v * x).alias(f"s{j}") for j, x in enumerate(w)], mode, cval)
         return _done(image, df, merge_columns([F.col(f"s{j}") for j in range(len(stacks))]))
+    return None
+
+
+def _stacks_by_tiles(image: Image, stacks: list[Stack], mode: str, cval: float, merge_arrays: Callable) -> Image:
+    n = image.ndim
     low, high = [0] * n, [0] * n
     for stack in stacks:
         for axis, weights, origin in stack:
@@ -214,13 +254,14 @@ def uniform_filter(image: Image, size=3, mode: str = "reflect", cval: float = 0.
     return _stacks(image, [stack], mode, cval, strategy, _total, _total)
 
 
-def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column: Callable[[Column], Column], array: Callable[[np.ndarray], np.ndarray]) -> Image:
+def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column: Callable[[Column], Column] | None, array: Callable[[np.ndarray], np.ndarray], least: np.ufunc | None = None) -> Image:
+    """``column`` aggregates what can be combined before a shuffle; without it, tiles are taken. ``least`` works axis by axis on a full box."""
     mask = checks.footprint(image.ndim, size, footprint)
     origin = checks.origin(mask.shape, origin)
     if not mask.any():
         raise RuntimeError("The footprint must have a cell that is set.")
     mode = checks.mode(mode)
-    if _takes_scatter(strategy, int(mask.sum())):
+    if _takes_scatter(strategy, int(mask.sum())) and column is not None:
         taps = _offsets(mask, origin)
         return _done(image, scatter(image, taps, np.zeros((len(taps), 1)), lambda v, _, tap: [column(v).alias("value")], mode, cval))
     low, high = _box(image, mask.shape, origin)
@@ -228,17 +269,22 @@ def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column
     def kernel(block, at):
         view = _neighbourhoods(block, mask.shape, origin, low)
         own = tuple(slice(0, b - lo - hi) for b, lo, hi in zip(block.shape, low, high))
-        return array(view[own][..., mask])
+        if least is not None and mask.all():
+            out = block[tuple(slice(k, None) for k in _skipped(mask.shape, origin, low))]
+            for k, s in enumerate(mask.shape):
+                out = least.reduce(np.lib.stride_tricks.sliding_window_view(out, s, k), axis=-1)
+            return out[own]
+        return _by_strips(view[own], mask, array)
 
     return _done(image, tiles(image, low, high, mode, kernel, cval))
 
 
 def minimum_filter(image: Image, size=None, footprint=None, mode: str = "reflect", cval: float = 0.0, origin=0, strategy: str = "auto") -> Image:
-    return _ordered(image, size, footprint, mode, cval, origin, strategy, F.min, lambda x: x.min(axis=-1))
+    return _ordered(image, size, footprint, mode, cval, origin, strategy, F.min, lambda x: x.min(axis=-1), np.minimum)
 
 
 def maximum_filter(image: Image, size=None, footprint=None, mode: str = "reflect", cval: float = 0.0, origin=0, strategy: str = "auto") -> Image:
-    return _ordered(image, size, footprint, mode, cval, origin, strategy, F.max, lambda x: x.max(axis=-1))
+    return _ordered(image, size, footprint, mode, cval, origin, strategy, F.max, lambda x: x.max(axis=-1), np.maximum)
 
 
 def _ranked(image, rank_of: Callable[[int], int], size, footprint, mode, cval, origin, strategy) -> Image:
@@ -250,7 +296,7 @@ def _ranked(image, rank_of: Callable[[int], int], size, footprint, mode, cval, o
         raise RuntimeError("The rank is not within the footprint.")
     if rank in (0, cells - 1):
         return (minimum_filter if rank == 0 else maximum_filter)(image, size, footprint, mode, cval, origin, strategy)
-    return _ordered(image, size, footprint, mode, cval, origin, strategy, lambda v: F.sort_array(F.collect_list(v))[rank], lambda x: np.partition(x, rank, axis=-1)[..., rank])
+    return _ordered(image, size, footprint, mode, cval, origin, strategy, None, lambda x: np.partition(x, rank, axis=-1)[..., rank])
 
 
 def median_filter(image: Image, size=None, footprint=None, mode: str = "reflect", cval: float = 0.0, origin=0, strategy: str = "auto") -> Image:
@@ -282,7 +328,7 @@ def generic_filter(image: Image, function: Callable, size=None, footprint=None,
         mask = checks.footprint(image.ndim, size, footprint)
         taps = _offsets(mask, checks.origin(mask.shape, origin))
         return _done(image, scatter(image, taps, np.zeros((len(taps), 1)), lambda v, _, tap: [column(v, tap).alias("value")], checks.mode(mode), cval))
-    return _ordered(image, size, footprint, mode, cval, origin, "tiles", F.first, lambda x: np.apply_along_axis(lambda v: function(v, *extra_arguments, **more), -1, x))
+    return _ordered(image, size, footprint, mode, cval, origin, "tiles", None, lambda x: np.apply_along_axis(lambda v: function(v, *extra_arguments, **more), -1, x))
 
 
 def threshold_local(image: Image, block_size, method: str = "gaussian", offset: float = 0, mode: str = "reflect", param=None, cval: float = 0, strategy: str = "auto") -> Image:

@@ -141,37 +141,21 @@ def _store(image: Image, value: Column) -> Column:
 
 def rotate(image: Image, angle: float, axes: Sequence[int] = (1, 0), reshape: bool = True, output_chunks=None, **kwargs) -> Image:
     """Rotates by ``angle`` degrees in the plane of two axes, about its centre; the shape grows to fit if ``reshape``."""
-    if image.ndim < 2:
-        raise ValueError("The image must have two dimensions at least.")
-    axes = list(axes)
-    if len(axes) != 2:
-        raise ValueError("There must be two axes.")
-    if not all(float(a).is_integer() for a in axes):
-        raise ValueError("The axes must be integers.")
-    axes = sorted(int(a) + image.ndim * (a < 0) for a in axes)
-    if axes[0] < 0 or axes[1] >= image.ndim:
-        raise ValueError("The plane of rotation is not valid.")
+    axes = checks.plane(image.ndim, axes)
     quarter, rest = divmod(angle, 90)
-    c, s = (1.0, 0.0) if rest == 0 else (float(np.cos(np.radians(rest))), float(np.sin(np.radians(rest))))
-    for _ in range(int(quarter) % 4):  # whole quarter turns are exact
-        c, s = -s, c
-    turn = np.array([[c, s], [-s, c]]) + 0.0
-    plane = np.array([image.shape[a] for a in axes])
-    new = plane
-    if reshape:
-        ends = turn @ np.array([[0, 0, plane[0], plane[0]], [0, plane[1], 0, plane[1]]])
-        new = (np.ptp(ends, axis=1) + 0.5).astype(int)
-    shift = (plane - 1) / 2 - turn @ ((new - 1) / 2)
-    matrix, offset, shape = np.eye(image.ndim), np.zeros(image.ndim), list(image.shape)
-    for i, a in enumerate(axes):
-        matrix[a, axes] = turn[i]
-        offset[a] = shift[i]
-        shape[a] = int(new[i])
+    unit = np.exp(1j * np.radians(rest)) if rest else 1 + 0j
+    unit *= (1, 1j, -1, -1j)[int(quarter) % 4]  # whole quarter turns are exact
+    turn, size = np.eye(image.ndim), np.array(image.shape)
+    turn[np.ix_(axes, axes)] = [[unit.real, unit.imag], [-unit.imag, unit.real]]
+    turn += 0.0  # no negative zeros
+    # A turned box reaches as far as the sides' projections together.
+    grown = np.floor(np.abs(turn) @ size + 0.5).astype(int) if reshape else size
+    offset = (size - 1) / 2 - turn @ ((grown - 1) / 2)
     if image.is_complex:
         parts = [rotate(Image(image.df.select(*image.coords, F.col(f"value.{p}").alias("value")), image.shape), angle, axes, reshape, **kwargs) for p in ("re", "im")]
         both = parts[0].df.withColumnRenamed("value", "re").join(parts[1].df.withColumnRenamed("value", "im"), image.coords)
         return Image(both.select(*image.coords, F.struct("re", "im").alias("value")), parts[0].shape, image.dtype)
-    return affine_transform(image, matrix, offset, shape, **kwargs)
+    return affine_transform(image, turn, offset, tuple(grown.tolist()), **kwargs)
 
 
 def map_coordinates(image: Image, coordinates, order: int = 3, mode: str = "constant", cval: float = 0.0, prefilter: bool = False) -> DataFrame:

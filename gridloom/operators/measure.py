@@ -3,7 +3,8 @@
 ``label_image`` is an image of the same shape or the name of a column of the pixel table (which
 needs no join). Without it every pixel counts and ``index`` is ignored; with it but without an
 index all labels above zero count together; with an index there is a row for each of its labels,
-in order, and a label without pixels gets the statistic's default. All labels asked for take
+in order, and a label without pixels gets the statistic's default. An index may also be a
+DataFrame (label, and pos if wanted), which never passes through the driver. All labels asked for take
 one aggregation: partial sums are combined before the shuffle.
 
 Results are DataFrames (pos, label, ...): pos is the place in the flattened index, and label is
@@ -37,13 +38,16 @@ def _labelled(image: Image, label_image) -> DataFrame:
     return image.df.join(value, image.coords)
 
 
-def _wanted(image: Image, label_image, index) -> tuple[DataFrame, list[int] | None]:
+def _wanted(image: Image, label_image, index) -> tuple[DataFrame, list[int] | DataFrame | None]:
     """Pixels with a label each, and the labels asked for (None: all pixels are one group)."""
     if label_image is None:
         return image.df.withColumn("label", F.lit(None).cast("bigint")), None
     df = _labelled(image, label_image)
     if index is None:
         return df.filter("label > 0").withColumn("label", F.lit(None).cast("bigint")), None
+    if isinstance(index, DataFrame):
+        asked = index.select(F.col("pos").cast("bigint").alias("pos") if "pos" in index.columns else F.col("label").cast("bigint").alias("pos"), F.col("label").cast("bigint").alias("label"))
+        return df.join(asked.select("label").distinct(), "label", "left_semi"), asked
     labels = np.asarray(index)
     if labels.ndim > 1:
         warnings.warn("An index of more than one dimension is deprecated.", FutureWarning, stacklevel=4)
@@ -51,15 +55,14 @@ def _wanted(image: Image, label_image, index) -> tuple[DataFrame, list[int] | No
     return df.filter(F.col("label").isin(sorted(set(flat)))), flat
 
 
-def _answer(image: Image, grouped: DataFrame, flat: list[int] | None, defaults: dict[str, Column]) -> DataFrame:
-    """A row for each label asked for. Groups are at most as many as the driver-side index is long."""
-    spark = image.spark
+def _answer(image: Image, grouped: DataFrame, flat: list[int] | DataFrame | None, defaults: dict[str, Column]) -> DataFrame:
+    """A row for each label asked for. Without labels there is one group, the only one that is broadcast."""
+    spark, groups = image.spark, grouped.withColumnRenamed("label", "__label")
     if flat is None:
-        asked = spark.createDataFrame([(0, None)], "pos bigint, label bigint")
-        out = asked.join(F.broadcast(grouped.withColumnRenamed("label", "__label")), F.lit(True), "left")
+        out = spark.createDataFrame([(0, None)], "pos bigint, label bigint").join(F.broadcast(groups), F.lit(True), "left")
     else:
-        asked = spark.createDataFrame(list(enumerate(flat)), "pos bigint, label bigint")
-        out = asked.join(F.broadcast(grouped.withColumnRenamed("label", "__label")), F.col("label") == F.col("__label"), "left")
+        asked = flat if isinstance(flat, DataFrame) else spark.createDataFrame(list(enumerate(flat)), "pos bigint, label bigint")
+        out = asked.join(groups, F.col("label") == F.col("__label"), "left")
     filled = [F.when(F.col("__found").isNull(), d).otherwise(F.col(c)).alias(c) for c, d in defaults.items()]
     return out.select("pos", "label", *filled)
 
@@ -182,8 +185,13 @@ def histogram(image: Image, min, max, bins, label_image=None, index=None) -> Dat
     """counts array<bigint> of ``bins`` equal bins; null for a label without pixels.
 
     The bounds and the number of bins are cut to integers. The last bin holds its upper edge.
+    Bounds that are equal are widened by a half on either side.
     """
     low, high, n = int(min), int(max), int(bins)
+    if low > high or n < 1:
+        raise ValueError("A histogram needs bounds that ascend and one bin at least.")
+    if low == high:
+        low, high = low - 0.5, high + 0.5
     df, flat = _wanted(image, label_image, index)
     v = image.as_double()
     edges = np.linspace(low, high, n + 1)

@@ -29,9 +29,13 @@ def _steps(image: Image, structure, iterations, mask, border_value, origin, brut
     taps = (np.argwhere(shape) - centre) * (1 if erode else -1)
     df = image.df.select(*image.coords, (image.as_double() != 0).cast("int").alias("value"))
     keep: list[str] = []
+    if isinstance(mask, (bool, np.bool_)):
+        if not mask:  # every pixel keeps its value
+            return image.with_df(df.select(*image.coords, (F.col("value") != 0).alias("value")), "bool")
+        mask = None
     if mask is not None:
         if not isinstance(mask, Image):
-            raise TypeError("The mask must be an image.")
+            raise TypeError("The mask must be an image or a Boolean.")
         if mask.shape != image.shape:
             raise RuntimeError("The mask must have the image's shape.")
         df = df.join(mask.df.select(*mask.coords, (mask.as_double() != 0).alias("mask")), image.coords)

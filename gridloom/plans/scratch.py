@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         base = "file://" + os.path.join(tempfile.gettempdir(), "gridloom-scratch")
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 

@@ -1,26 +1,33 @@
-"""Reading image files: TIFF (uncompressed strips, one or many pages) and NumPy arrays.
+"""Reading image files: TIFF and NumPy arrays.
 
-The first file is opened on the driver for shape and dtype. Executors decode files with Spark's
-binaryFile source, so any store that Spark reads will do. Axis 0 is the frame.
+TIFF may be classic or BigTIFF, in strips or tiles, of one or many pages, plain or compressed
+by deflate, LZW or PackBits, with or without the horizontal predictor. One task reads the first
+file for shape and dtype, so the driver gets no pixels. Executors read files with Spark's
+binaryFile source, so any store that Spark reads will do; a file's pages are taken apart undecoded
+and dealt to tasks, which decode them. Axis 0 is the frame.
 """
 
 from __future__ import annotations
 
 import io
-import numbers
+import pickle
 import re
 import struct
-import warnings
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import checks
 from ..plans.image import SPARK_TYPES, Image
 
-#: TIFF field types: bytes and struct code.
-_FIELDS = {1: (1, "B"), 3: (2, "H"), 4: (4, "I"), 16: (8, "Q")}
+# TIFF field types as bytes and struct code; sample formats; numbers of tags.
+_FIELDS = {1: (1, "B"), 3: (2, "H"), 4: (4, "I"), 13: (4, "I"), 16: (8, "Q"), 18: (8, "Q")}
+_FORMATS = {1: "u", 2: "i", 3: "f", 4: "u"}
+_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _PLANAR, _PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
+_TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT = 322, 323, 324, 325, 339
 
 
 def natural_key(name: str) -> list:
@@ -28,32 +35,120 @@ def natural_key(name: str) -> list:
     return [int(p) if p.isdigit() else p for p in re.split(r"(\d+)", name)]
 
 
-def decode_tiff(data: bytes) -> np.ndarray:
-    """All pages of a baseline TIFF, as (pages, height, width[, samples])."""
+def tiff_pages(data: bytes) -> list[tuple[str, dict]]:
+    """The byte order and tags of every page."""
     end = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if end is None or struct.unpack(end + "H", data[2:4])[0] != 42:
+    version = struct.unpack_from(end + "H", data, 2)[0] if end else 0
+    if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    at, pages = struct.unpack(end + "I", data[4:8])[0], []
+    head, code, wide = (4, "I", 4) if version == 42 else (8, "Q", 8)
+    entry, inline = 8 + 2 * wide - 4, 4 + wide
+    at, pages = struct.unpack_from(end + code, data, head)[0], []
     while at:
-        count = struct.unpack_from(end + "H", data, at)[0]
+        count = struct.unpack_from(end + ("H" if wide == 4 else "Q"), data, at)[0]
+        at += 2 if wide == 4 else 8
         tags = {}
-        for k in range(count):
-            tag, kind, n, _ = struct.unpack_from(end + "HHII", data, at + 2 + 12 * k)
+        for place in range(at, at + entry * count, entry):
+            tag, kind, n = struct.unpack_from(end + "HH" + code, data, place)
             if kind in _FIELDS:
-                width, code = _FIELDS[kind]
-                place = at + 2 + 12 * k + 8
-                if width * n > 4:
-                    place = struct.unpack_from(end + "I", data, place)[0]
-                tags[tag] = struct.unpack_from(f"{end}{n}{code}", data, place)
-        if tags.get(259, (1,))[0] != 1:
-            raise NotImplementedError("compressed TIFF files are not supported")
-        width, height, bits = tags[256][0], tags[257][0], tags.get(258, (1,))[0]
-        samples, kind = tags.get(277, (1,))[0], {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-        raw = b"".join(data[a : a + n] for a, n in zip(tags[273], tags[279]))
-        page = np.frombuffer(raw, f"{end}{kind}{bits // 8}")[: width * height * samples]
-        pages.append(page.reshape((height, width) if samples == 1 else (height, width, samples)).astype(page.dtype.newbyteorder("=")))
-        at = struct.unpack_from(end + "I", data, at + 2 + 12 * count)[0]
-    return np.stack(pages)
+                width, letter = _FIELDS[kind]
+                value = place + inline
+                if width * n > wide:
+                    value = struct.unpack_from(end + code, data, value)[0]
+                tags[tag] = struct.unpack_from(f"{end}{n}{letter}", data, value)
+        pages.append((end, tags))
+        at = struct.unpack_from(end + code, data, at + entry * count)[0]
+    return pages
+
+
+def tiff_type(end: str, tags: dict) -> np.dtype:
+    bits = tags.get(_BITS, (1,))
+    if len(set(bits)) > 1 or bits[0] % 8:
+        raise NotImplementedError("TIFF samples must be whole bytes of one width.")
+    return np.dtype(f"{end}{_FORMATS[tags.get(_FORMAT, (1,))[0]]}{bits[0] // 8}")
+
+
+def tiff_shape(tags: dict) -> tuple[int, ...]:
+    samples = tags.get(_SAMPLES, (1,))[0]
+    return (tags[_HEIGHT][0], tags[_WIDTH][0]) + ((samples,) if samples > 1 else ())
+
+
+def tiff_pieces(data: bytes, tags: dict) -> list[bytes]:
+    """The undecoded strips or tiles of a page."""
+    starts = tags.get(_TILE_OFFSETS) or tags[_OFFSETS]
+    sizes = tags.get(_TILE_COUNTS) or tags.get(_COUNTS) or [len(data) - a for a in starts]
+    return [data[a : a + n] for a, n in zip(starts, sizes)]
+
+
+def unpack_bits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, high bits first, widened one code early."""
+    table = [bytes([k]) for k in range(256)] + [b"", b""]
+    out, width, held, bits, last = [], 9, 0, 0, b""
+    known = table[:]
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            known, width, last = table[:], 9, b""
+            continue
+        word = known[code] if code < len(known) else last + last[:1]
+        out.append(word)
+        if last:
+            known.append(last + word[:1])
+        last = word
+        width = min(12, (len(known) + 1).bit_length())
+    return b"".join(out)
+
+
+_UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
+def decode_page(end: str, tags: dict, pieces: list[bytes]) -> np.ndarray:
+    """A page's samples as (height, width[, samples])."""
+    packed = tags.get(_COMPRESSION, (1,))[0]
+    if packed not in _UNPACK:
+        raise NotImplementedError(f"TIFF compression {packed} is not supported.")
+    dtype, height, width, samples = tiff_type(end, tags), tags[_HEIGHT][0], tags[_WIDTH][0], tags.get(_SAMPLES, (1,))[0]
+    tiled, apart = _TILE_OFFSETS in tags, tags.get(_PLANAR, (1,))[0] == 2
+    rows, columns = (tags[_TILE_HEIGHT][0], tags[_TILE_WIDTH][0]) if tiled else (min(tags.get(_ROWS, (height,))[0], height), width)
+    planes, depth = (samples, 1) if apart else (1, samples)
+    across, down = -(-width // columns), -(-height // rows)
+    out = np.zeros((planes, height, width, depth), dtype.newbyteorder("="))
+    for k, piece in enumerate(pieces):
+        plane, y, x = k // (across * down), k // across % down * rows, k % across * columns
+        high = rows if tiled else min(rows, height - y)
+        block = np.frombuffer(_UNPACK[packed](piece), dtype, high * columns * depth).reshape(high, columns, depth).astype(out.dtype)
+        if tags.get(_PREDICTOR, (1,))[0] == 2:
+            block = np.cumsum(block, axis=1, dtype=out.dtype)
+        elif tags.get(_PREDICTOR, (1,))[0] != 1:
+            raise NotImplementedError("Only the horizontal TIFF predictor is supported.")
+        place = out[plane, y : y + high, x : x + columns]
+        place[...] = block[: place.shape[0], : place.shape[1]]
+    whole = np.moveaxis(out[..., 0], 0, -1) if apart else out[0]
+    return whole if samples > 1 else whole[..., 0]
+
+
+def decode_tiff(data: bytes) -> np.ndarray:
+    """All pages, as (pages, height, width[, samples])."""
+    return np.stack([decode_page(end, tags, tiff_pieces(data, tags)) for end, tags in tiff_pages(data)])
 
 
 def encode_tiff(frames: np.ndarray) -> bytes:
@@ -72,8 +167,29 @@ def encode_tiff(frames: np.ndarray) -> bytes:
     return bytes(out)
 
 
-def decode(name: str, data: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(data), allow_pickle=False) if name.lower().endswith(".npy") else decode_tiff(data)
+def is_array(name: str) -> bool:
+    return name.lower().endswith(".npy")
+
+
+def frames_of(name: str, data: bytes) -> list[bytes]:
+    """A file's frames, each taken out of it but not decoded."""
+    if is_array(name):
+        return [pickle.dumps(np.ascontiguousarray(f)) for f in np.load(io.BytesIO(data), allow_pickle=False)]
+    return [pickle.dumps((end, tags, tiff_pieces(data, tags))) for end, tags in tiff_pages(data)]
+
+
+def decode_frame(frame: bytes) -> np.ndarray:
+    held = pickle.loads(frame)
+    return held if isinstance(held, np.ndarray) else decode_page(*held)
+
+
+def described(name: str, data: bytes) -> tuple[int, tuple[int, ...], str]:
+    """Frames, the shape of one and the dtype of a file."""
+    if is_array(name):
+        array = np.load(io.BytesIO(data), allow_pickle=False)
+        return len(array), array.shape[1:], array.dtype.name
+    pages = tiff_pages(data)
+    return len(pages), tiff_shape(pages[0][1]), tiff_type(*pages[0]).name
 
 
 def listed(files: DataFrame) -> list[str]:
@@ -86,38 +202,52 @@ def imread(spark: SparkSession, fname: str, nframes: int = 1, *, arraytype: str
 
     ``nframes`` is the number of frames decoded into one Arrow batch, -1 for all.
     """
-    if not isinstance(nframes, numbers.Integral):
-        raise ValueError("`nframes` must be an integer.")
-    if nframes != -1 and nframes <= 0:
-        raise ValueError("`nframes` must be greater than zero.")
+    checks.frames_a_batch(nframes)
     if arraytype != "numpy":
         raise NotImplementedError("Only arrays in main memory are supported.")
     files = spark.read.format("binaryFile").load(str(fname))
     paths = listed(files)
-    first = decode(paths[0], files.filter(F.col("path") == paths[0]).select("content").head()[0])
-    several = len(paths) > 1
-    shape = (len(paths) if several else len(first), *first.shape[1:])
-    dtype = first.dtype.name
-    if nframes > shape[0]:
-        warnings.warn("`nframes` is larger than the number of frames.", RuntimeWarning, stacklevel=2)
-    elif nframes != -1 and shape[0] % nframes:
-        warnings.warn("`nframes` does not divide the number of frames.", RuntimeWarning, stacklevel=2)
-    step = shape[0] if nframes == -1 else int(nframes)
+
+    def describe(batches):
+        for batch in batches:
+            for path, data in zip(*(c.to_pylist() for c in batch.columns)):
+                frames, size, dtype = described(path, data)
+                yield pa.RecordBatch.from_pydict({"frames": [frames], "size": [list(size)], "dtype": [dtype]})
+
+    head = files.filter(F.col("path") == paths[0]).select("path", "content").mapInArrow(describe, "frames bigint, size array<bigint>, dtype string").head()
+    several, dtype = len(paths) > 1, head["dtype"]
+    shape = (len(paths) if several else head["frames"], *head["size"])
+    step = checks.frames_a_batch(nframes, shape[0])
     arrow = {"uint8": "int16", "int8": "int16", "uint16": "int32", "uint32": "int64"}.get(dtype, dtype)
     order = spark.createDataFrame(list(enumerate(paths)), "frame bigint, path string")
     names = [f"d{k}" for k in range(len(shape))]
 
-    def run(batches):
+    def take(batches):
         for batch in batches:
             for frame, path, data in zip(*(c.to_pylist() for c in batch.columns)):
-                frames = decode(path, data)
-                frames = frames[:1] if several else frames
-                for at in range(0, len(frames), step):
-                    part = frames[at : at + step]
-                    where = np.indices(part.shape)
-                    where[0] += at + (frame if several else 0)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(w.ravel(), pa.int64()) for w in where), pa.array(part.ravel().astype(arrow))], names=[*names, "value"])
+                for k, page in enumerate(frames_of(path, data)[: 1 if several else None]):
+                    yield pa.RecordBatch.from_pydict({"frame": pa.array([frame + k], pa.int64()), "page": pa.array([page], pa.binary())})
+
+    def run(batches):
+        held: list[tuple[int, bytes]] = []
 
+        def decoded():
+            part = np.stack([decode_frame(page) for _, page in held])
+            where = np.indices(part.shape)
+            where[0] = np.array([k for k, _ in held]).reshape(-1, *[1] * (part.ndim - 1))
+            return pa.RecordBatch.from_arrays([*(pa.array(w.ravel(), pa.int64()) for w in where), pa.array(part.ravel().astype(arrow))], names=[*names, "value"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (row[0] // step != held[0][0] // step):
+                    yield decoded()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield decoded()
+
+    # The listing is as small as the driver's own copy of it.
     rows = files.join(F.broadcast(order), "path").select("frame", "path", "content")
+    dealt = rows.mapInArrow(take, "frame bigint, page binary").repartition(F.floor(F.col("frame") / step)).sortWithinPartitions("frame")
     schema = ", ".join(f"{c} bigint" for c in names) + f", value {SPARK_TYPES[dtype]}"
-    return Image(rows.mapInArrow(run, schema), shape, dtype)
+    return Image(dealt.mapInArrow(run, schema), shape, dtype)

@@ -1,10 +1,13 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom import Image, imread, read_tiles, write_tiles
 from gridloom.plans.boundary import fold
-from gridloom.sources.imread import decode_tiff, encode_tiff, natural_key
+from gridloom.sources.imread import decode_tiff, encode_tiff, natural_key, unpack_bits, unpack_lzw
 from gridloom.streaming.frames import frame_pixels, frame_statistics
 
 from . import reference as ref
@@ -21,6 +24,129 @@ def test_tiff_round_trip(spark, tmp_path, dtype, shape):
     np.testing.assert_array_equal(image.to_numpy(), frames)
 
 
+def lzw(data):
+    """An encoder, to test the decoder with: clears before the table is full and widens one code early."""
+    out, held = [], ""
+    table, width, word = {bytes([k]): k for k in range(256)}, 9, b""
+
+    def put(code):
+        out.append(format(code, f"0{width}b"))
+
+    put(256)
+    n = 258
+    for k in range(len(data)):
+        more = word + data[k : k + 1]
+        if more in table:
+            word = more
+            continue
+        put(table[word])
+        table[more], n = n, n + 1
+        if n == 4095:
+            put(256)
+            table, n, width = {bytes([k]): k for k in range(256)}, 258, 9
+        elif n in (512, 1024, 2048):
+            width += 1
+        word = data[k : k + 1]
+    if word:
+        put(table[word])
+        n += 1
+        width += n in (512, 1024, 2048)
+    put(257)
+    held = "".join(out)
+    held += "0" * (-len(held) % 8)
+    return bytes(int(held[k : k + 8], 2) for k in range(0, len(held), 8))
+
+
+def bits(data):
+    """PackBits by runs of one byte and literals of up to three."""
+    out, k = b"", 0
+    while k < len(data):
+        run = next((n for n in range(1, min(128, len(data) - k)) if data[k + n] != data[k]), min(128, len(data) - k))
+        if run > 1:
+            out, k = out + bytes([257 - run]) + data[k : k + 1], k + run
+        else:
+            part = data[k : k + 3]
+            out, k = out + bytes([len(part) - 1]) + part, k + len(part)
+    return out
+
+
+def tiff(image, pack=bytes, compression=1, end="<", big=False, tile=None, rows=3, predictor=False, planar=False, counts=True, sample_format=True):
+    """One page written the long way round: any layout that the reader takes."""
+    image = image[..., None] if image.ndim == 2 else image
+    h, w, samples = image.shape
+    kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
+    pieces = []
+    for plane in [image[..., s : s + 1] for s in range(samples)] if planar else [image]:
+        for y in range(0, h, tile or rows):
+            for x in range(0, w, tile or w):
+                block = plane[y : y + (tile or rows), x : x + (tile or w)]
+                if tile:
+                    block = np.pad(block, [(0, tile - block.shape[0]), (0, tile - block.shape[1]), (0, 0)])
+                if predictor:
+                    block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
+                pieces.append(pack(block.astype(block.dtype.newbyteorder(end)).tobytes()))
+    wide, code = (8, "Q") if big else (4, "I")
+    body = bytearray((b"II" if end == "<" else b"MM") + (struct.pack(end + "HHHQ", 43, 8, 0, 0) if big else struct.pack(end + "HI", 42, 0)))
+    starts = []
+    for piece in pieces:
+        starts.append(len(body))
+        body += piece
+
+    def outside(values, letter):
+        at = len(body)
+        body.extend(struct.pack(f"{end}{len(values)}{letter}", *values))
+        return at
+
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [image.dtype.itemsize * 8] * samples), (259, 3, [compression]), (277, 3, [samples]), (284, 3, [2 if planar else 1])]
+    tags += [(317, 3, [2])] if predictor else []
+    tags += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, starts), (325, 4, [len(p) for p in pieces])] if tile else [(278, 4, [rows]), (273, 4, starts)] + ([(279, 4, [len(p) for p in pieces])] if counts else [])
+    tags += [(339, 3, [kind] * samples)] if sample_format else [(339, 3, [4] * samples)]
+    entries = []
+    for tag, field, values in sorted(tags):
+        letter, size = {3: ("H", 2), 4: ("I", 4)}[field]
+        if size * len(values) <= wide:
+            value = struct.pack(f"{end}{len(values)}{letter}", *values).ljust(wide, b"\0")
+        else:
+            value = struct.pack(end + code, outside(values, letter))
+        entries.append(struct.pack(end + "HH" + code, tag, field, len(values)) + value)
+    at = len(body)
+    body += struct.pack(end + ("Q" if big else "H"), len(entries)) + b"".join(entries) + struct.pack(end + code, 0)
+    struct.pack_into(end + code, body, 8 if big else 4, at)
+    return bytes(body)
+
+
+@pytest.mark.parametrize("end", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("layout", [{}, {"tile": 16}, {"rows": 40}])
+@pytest.mark.parametrize("packed", [{}, {"pack": zlib.compress, "compression": 8}, {"pack": lzw, "compression": 5}, {"pack": bits, "compression": 32773}])
+def test_tiff_layouts(end, big, layout, packed):
+    rng = np.random.default_rng(3)
+    for dtype, shape in (("uint8", (37, 29)), ("int16", (37, 29, 3)), ("float32", (5, 4)), ("uint16", (40, 33))):
+        image = (rng.integers(0, 6, shape) if dtype != "float32" else rng.random(shape)).astype(dtype)
+        for more in ({}, {"planar": True}, {"predictor": dtype != "float32"}):
+            np.testing.assert_array_equal(decode_tiff(tiff(image, end=end, big=big, **layout, **packed, **more))[0], image)
+
+
+def test_tiff_odd_tags():
+    image = np.arange(12, dtype="uint8").reshape(3, 4)
+    np.testing.assert_array_equal(decode_tiff(tiff(image, counts=False, sample_format=False))[0], image)
+    with pytest.raises(NotImplementedError, match="compression 7"):
+        decode_tiff(tiff(image, compression=7))
+    with pytest.raises(ValueError):
+        decode_tiff(b"plain text")
+    long = np.random.default_rng(1).integers(0, 256, 60_000, dtype="uint8").tobytes() + b"ab" * 3000
+    assert unpack_lzw(lzw(long)) == long and unpack_bits(bits(long[-7000:])) == long[-7000:]
+
+
+def test_pages_are_dealt_and_the_driver_gets_none(spark, tmp_path):
+    frames = np.arange(7 * 6 * 5, dtype="int32").reshape(7, 6, 5)
+    (tmp_path / "a.tif").write_bytes(encode_tiff(frames))
+    with pytest.warns(RuntimeWarning):
+        image = imread(spark, str(tmp_path / "a.tif"), nframes=2)
+    np.testing.assert_array_equal(image.to_numpy(), frames)
+    assert "hashpartitioning" in image.df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_natural_order(spark, tmp_path):
     for k in (10, 9):
         (tmp_path / f"{k}.tif").write_bytes(encode_tiff(np.full((2, 1, 1), k, "int16")))
