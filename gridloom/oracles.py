@@ -6,7 +6,7 @@ values; nothing here shares code with the operators.
 
 from __future__ import annotations
 
-from math import exp, pi
+from math import exp, floor, pi, sqrt
 
 SUPPLIER_WEEKS = """px AS (
     SELECT g.d0, g.d1, coalesce(s.v, 0)::DOUBLE AS v
@@ -171,10 +171,52 @@ ORACLE_SQL = {
 }
 
 
+def _cubic(points: str) -> str:
+    """Samples at x0, x1 of points (d0, d1) by the cubic B-spline over the mirrored image; zero outside."""
+    weight = "CASE WHEN {t} < 1 THEN 2.0 / 3 - {t} ** 2 + {t} ** 3 / 2 WHEN {t} < 2 THEN (2 - {t}) ** 3 / 6 ELSE 0 END"
+    fold = "CASE WHEN {i} < 0 THEN -({i}) WHEN {i} > 63 THEN 126 - ({i}) ELSE {i} END"
+    axis = [f"(floor(x{k})::BIGINT + {t})" for k, t in ((0, "a"), (1, "b"))]
+    cells = ", ".join(f"({a}, {b})" for a in range(-1, 3) for b in range(-1, 3))
+    return f"""p AS ({points}), k(a, b) AS (VALUES {cells}),
+        t AS (SELECT d0, d1, {fold.format(i=axis[0])} AS q0, {fold.format(i=axis[1])} AS q1, {weight.format(t=f'abs(x0 - {axis[0]})')} * {weight.format(t=f'abs(x1 - {axis[1]})')} AS w
+              FROM p CROSS JOIN k WHERE x0 BETWEEN 0 AND 63 AND x1 BETWEEN 0 AND 63),
+        m AS (SELECT t.d0, t.d1, sum(t.w * px.v) AS r FROM t JOIN px ON px.d0 = t.q0 AND px.d1 = t.q1 GROUP BY t.d0, t.d1)"""
+
+
+# A spline's coefficients: the image against sums of powers of the pole, on the mirrored line.
+_POLE = sqrt(3) - 2
+
+
+def _coefficients(source: str, axis: int) -> str:
+    other, at = 1 - axis, f"(s.d{axis} + k.n)"
+    fold = f"CASE WHEN {at} < 0 THEN -{at} WHEN {at} > 63 THEN 126 - {at} ELSE {at} END"
+    return f"SELECT s.d0, s.d1, sum(k.w * q.v) AS v FROM {source} s CROSS JOIN k JOIN {source} q ON q.d{other} = s.d{other} AND q.d{axis} = {fold} GROUP BY s.d0, s.d1"
+
+
+_POWERS = f"k AS (SELECT n::BIGINT AS n, {-6 * _POLE / (1 - _POLE**2)!r} * ({_POLE!r}) ** abs(n) AS w FROM (SELECT unnest(generate_series(-48, 48)) AS n))"
+_TURN, _HALF = sqrt(3) / 2, 0.5
+_GROWN = floor(64 * (_TURN + _HALF) + 0.5)
+_SHIFT = [31.5 - (_TURN + _HALF) * (_GROWN - 1) / 2, 31.5 - (_TURN - _HALF) * (_GROWN - 1) / 2]
+_LINES = """px AS (SELECT g.d0, g.d1, g.d2, coalesce(s.v, 0) AS v
+    FROM (SELECT a.i AS d0, b.i AS d1, c.i AS d2 FROM (SELECT unnest(generate_series(0, 6))::BIGINT AS i) a CROSS JOIN (SELECT unnest(generate_series(0, 15))::BIGINT AS i) b CROSS JOIN (SELECT unnest(generate_series(0, 15))::BIGINT AS i) c) g
+    LEFT JOIN (SELECT (l_linenumber - 1)::BIGINT AS d0, (l_partkey % 16)::BIGINT AS d1, (l_suppkey % 16)::BIGINT AS d2, count(*) AS v FROM lineitem GROUP BY ALL) s USING (d0, d1, d2))"""
+_ROTATED = f"""SELECT i AS d0, j AS d1, {_TURN!r} * i + {_HALF!r} * j + {_SHIFT[0]!r} AS x0, {-_HALF!r} * i + {_TURN!r} * j + {_SHIFT[1]!r} AS x1
+    FROM (SELECT unnest(generate_series(0, {_GROWN - 1}))::BIGINT AS i) CROSS JOIN (SELECT unnest(generate_series(0, {_GROWN - 1}))::BIGINT AS j)"""
+
+ORACLE_SQL |= {
+    "interp_affine_transform_cubic": f"WITH {PART_DAYS}, {_cubic('SELECT d0, d1, 0.93::DOUBLE * d0 + 0.237::DOUBLE * d1 + 2.31::DOUBLE AS x0, -0.211::DOUBLE * d0 + 1.013::DOUBLE * d1 + 7.93::DOUBLE AS x1 FROM px')} SELECT px.d0, px.d1, round(coalesce(m.r, 0), 6) AS r FROM px LEFT JOIN m USING (d0, d1)",
+    "interp_rotate_30": f"WITH {PART_DAYS}, {_linear(_ROTATED, 'c.d0, c.d1')} SELECT p.d0, p.d1, round(coalesce(m.r, 0), 6) AS r FROM p LEFT JOIN m USING (d0, d1)",
+    "interp_spline_filter1d": f"WITH {PART_DAYS}, {_POWERS} SELECT d0, d1, round(v, 6) AS r FROM ({_coefficients('px', 0)})",
+    "interp_spline_filter": f"WITH {PART_DAYS}, {_POWERS}, f AS MATERIALIZED ({_coefficients('px', 0)}) SELECT d0, d1, round(v, 6) AS r FROM ({_coefficients('f', 1)})",
+    "io_imread": f"WITH {_LINES} SELECT d0, d1, d2, v::BIGINT AS r FROM px",
+    "io_imread_files": f"WITH {_LINES} SELECT CASE d0 WHEN 1 THEN 0 ELSE 1 END::BIGINT AS d0, d1, d2, v::BIGINT AS r FROM px WHERE d0 IN (1, 3)",
+}
+
+
 def _plain_zeros(sql: str, columns: tuple[str, ...]) -> str:
     """Turns a negative zero into zero."""
     plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0::DOUBLE ELSE {c} END AS {c}" for c in columns)
     return f"SELECT * REPLACE ({plain}) FROM ({sql})"
 
 
-ORACLE_SQL |= {k: _plain_zeros(v, ("re", "im") if k == "fourier_shift" else ("r",)) for k, v in ORACLE_SQL.items() if k.startswith(("filter_gaussian", "filter_uniform", "fourier_", "interp_affine", "interp_map"))}
+ORACLE_SQL |= {k: _plain_zeros(v, ("re", "im") if k == "fourier_shift" else ("r",)) for k, v in ORACLE_SQL.items() if k.startswith(("filter_gaussian", "filter_uniform", "fourier_", "interp_affine", "interp_map", "interp_rotate_30", "interp_spline"))}

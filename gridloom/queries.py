@@ -238,6 +238,14 @@ def interp_rotate(spark, sf_dir):
     return _exact(interp.rotate(part_days(spark, sf_dir), 90))
 
 
+def interp_rotate_30(spark, sf_dir):
+    return _close(interp.rotate(part_days(spark, sf_dir), 30))
+
+
+def interp_affine_transform_cubic(spark, sf_dir):
+    return _close(interp.affine_transform(part_days(spark, sf_dir), [[0.93, 0.237], [-0.211, 1.013]], [2.31, 7.93], order=3))
+
+
 def interp_map_coordinates(spark, sf_dir):
     points = _table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), ((F.col("event_id") % 250) * 0.25).alias("c0"), ((F.col("user_id") % 126) * 0.5).alias("c1"))
     found = interp.map_coordinates(part_days(spark, sf_dir), points, order=1)
@@ -252,15 +260,37 @@ def interp_spline_filter1d(spark, sf_dir):
     return _close(interp.spline_filter1d(part_days(spark, sf_dir), axis=0))
 
 
+def _written(spark: SparkSession, path: str, frames: np.ndarray) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(encode_tiff(frames)))
+    out.close()
+
+
+def line_counts(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """A stack of 7 frames of 16 by 16: lineitems by line number, part and supplier."""
+    keys = [(F.col("l_linenumber") - 1).alias("d0"), (F.col("l_partkey") % 16).alias("d1"), (F.col("l_suppkey") % 16).alias("d2")]
+    frames = np.zeros((7, 16, 16), "int32")
+    for r in _table(spark, sf_dir, "lineitem").groupBy(*keys).count().filter("d0 BETWEEN 0 AND 6").collect():
+        frames[r["d0"], r["d1"], r["d2"]] = r["count"]
+    return frames
+
+
 def io_imread(spark, sf_dir):
-    """Two files of one frame each, written to the shared folder and read in natural order."""
-    folder = scratch_dir(spark)
-    jvm = spark._jvm
-    for k in (10, 9):
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}.tif")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(encode_tiff(np.full((1, 3, 4), k, "int16"))))
-        out.close()
+    """A file of seven pages, written to the shared folder and read in batches of two."""
+    path = f"{scratch_dir(spark)}/stack.tif"
+    _written(spark, path, line_counts(spark, sf_dir))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        found = imread(spark, path, nframes=2)
+    return found.df.select(*found.coords, F.col("value").cast("bigint").alias("r"))
+
+
+def io_imread_files(spark, sf_dir):
+    """Two files, of which the first frames are read in natural order."""
+    folder, frames = scratch_dir(spark), line_counts(spark, sf_dir)
+    for name, first in (("10", 3), ("9", 1)):
+        _written(spark, f"{folder}/{name}.tif", frames[first:])
     found = imread(spark, f"{folder}/*.tif")
     return found.df.select(*found.coords, F.col("value").cast("bigint").alias("r"))
 
@@ -273,5 +303,5 @@ QUERIES = (
     | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_rank, filter_percentile, filter_generic)}
     | {f"filter_threshold_local_{m}": _above(m) for m in ("gaussian", "mean", "median", "generic")}
     | {f"morph_{n}": _morphed(n) for n in ("erosion", "dilation", "opening", "closing")}
-    | {f.__name__: f for f in (fourier_gaussian, fourier_uniform, fourier_shift, interp_affine_transform, interp_rotate, interp_map_coordinates, interp_spline_filter, interp_spline_filter1d, io_imread)}
+    | {f.__name__: f for f in (fourier_gaussian, fourier_uniform, fourier_shift, interp_affine_transform, interp_affine_transform_cubic, interp_rotate, interp_rotate_30, interp_map_coordinates, interp_spline_filter, interp_spline_filter1d, io_imread, io_imread_files)}
 )

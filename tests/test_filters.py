@@ -169,3 +169,22 @@ def test_strategies_agree(spark, data):
     a = np.random.default_rng(data.draw(st.integers(0, 99))).integers(0, 9, shape).astype(float)
     w = np.arange(1.0, np.prod(size) + 1).reshape(size)
     np.testing.assert_allclose(both(spark, nf.correlate, a, w, mode=mode, cval=1.0), ref.correlate(a, w, mode, 1.0))
+
+
+def test_large_neighbourhoods_plan_at_once_and_copy_strips(spark, monkeypatch):
+    """No product of kernels on the driver, and the same results however small strips are."""
+    empty = spark.range(0).selectExpr("id AS d0", "id AS d1", "id AS d2", "0D AS value")
+    with monkeypatch.context() as held:
+        held.setattr(nf, "_stacks_by_scatter", lambda *a: pytest.fail("the product was formed"))
+        nf.uniform_filter(Image(empty, (500, 500, 500), "float64"), 151)
+    a = np.random.default_rng(2).integers(0, 90, (23, 19)).astype(float)
+    view, mask = np.lib.stride_tricks.sliding_window_view(a, (7, 5)), np.ones((7, 5), bool)
+    whole = np.partition(view[..., mask], 3, axis=-1)[..., 3]
+    for cells in (1, 100, 2000, 10**6):
+        monkeypatch.setattr(nf, "_STRIP_CELLS", cells)
+        np.testing.assert_array_equal(nf._by_strips(view, mask, lambda x: np.partition(x, 3, axis=-1)[..., 3]), whole)
+    image = Image.from_numpy(spark, a)
+    for name, least in (("minimum_filter", np.min), ("maximum_filter", np.max)):
+        got = getattr(nf, name)(image, (7, 5), strategy="tiles", origin=(1, -1), mode="mirror").to_numpy()
+        near = ref.neighbours(a, mask, [1, -1], "mirror", 0.0)
+        np.testing.assert_array_equal(got, np.array([least(v) for v in near]).reshape(a.shape))

@@ -174,3 +174,22 @@ def test_one_shuffle_and_no_python(images):
         image = images[0].with_df(images[0].df.withColumn("lab", F.lit(1)))
         plan = nm.mean(image, "lab", [1, 2])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_index_as_a_table(spark):
+    """Labels asked for by a DataFrame; a missing one gets the default."""
+    a = np.arange(12.0).reshape(3, 4)
+    labels = np.array([[1, 1, 2, 0], [2, 2, 7, 7], [0, 1, 7, 2]])
+    image, label_image = Image.from_numpy(spark, a), Image.from_numpy(spark, labels)
+    index = spark.createDataFrame([(3, 7), (1, 2), (0, 99)], "pos int, label int")
+    rows = nm.sum_labels(image, label_image, index).orderBy("pos").collect()
+    assert [(r.pos, r.label, r.sum_labels) for r in rows] == [(0, 99, 0.0), (1, 2, a[labels == 2].sum()), (3, 7, a[labels == 7].sum())]
+    found = {r.label: r.mean for r in nm.mean(image, label_image, index.select("label")).collect()}
+    assert found[7] == a[labels == 7].mean() and np.isnan(found[99])
+
+
+def test_histogram_of_equal_bounds(spark):
+    image = Image.from_numpy(spark, np.array([[1.0, 2.0], [1.4, 3.0]]))
+    assert nm.histogram(image, 1, 1, 4).collect()[0].counts == np.histogram([1, 2, 1.4, 3], 4, (1, 1))[0].tolist()
+    with pytest.raises(ValueError):
+        nm.histogram(image, 2, 1, 4)

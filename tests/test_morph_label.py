@@ -65,6 +65,12 @@ def test_arguments(spark, kw, error):
         mo.binary_erosion(Image.from_numpy(spark, BITS), **kw)
 
 
+def test_boolean_masks(spark):
+    image = Image.from_numpy(spark, BITS)
+    np.testing.assert_array_equal(mo.binary_erosion(image, mask=True).to_numpy(), mo.binary_erosion(image).to_numpy())
+    np.testing.assert_array_equal(mo.binary_dilation(image, mask=False, iterations=3).to_numpy(), BITS != 0)
+
+
 def test_mask_of_another_shape(spark):
     with pytest.raises(RuntimeError):
         mo.binary_dilation(Image.from_numpy(spark, BITS), mask=Image.from_numpy(spark, MASK[1:]))
