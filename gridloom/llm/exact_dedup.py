@@ -7,6 +7,11 @@ is broadcast and has a bounded size: other rows have no equal and pass straight
 only the possibly repeated ones shuffle to be compared by their SHA-256. A filter that is too
 small for its input lets more rows shuffle; the result is exact all the same.
 
+The filter's places are counted by partial aggregation, so two longs a row and no text move in
+the first pass. Bitmaps built in each of P partitions and joined by OR would move two bytes a row
+and partition (16 bits a row, as all partitions share the filter), which is more from about 20
+partitions on.
+
 Edge cases: a null text counts as empty, and all empty texts are equal; of equal texts the
 longest stays, then the smallest doc_id, where a null doc_id counts as the largest; of rows
 that repeat both, one stays; an empty table gives an empty result. Other columns may have any
@@ -96,5 +101,8 @@ def deduplicate(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 28
     keyed = docs.select("*", F.length(text).cast("bigint").alias("__dedup_chars"), text_sha256(docs["text"]).alias("__dedup_sha"))
     flagged = flag_repeats(keyed, materialize(repeat_filter(digests, bits)), bits)
     single = flagged.filter(~F.col("__dedup_maybe")).select(*docs.columns)
-    groups = flagged.filter("__dedup_maybe").groupBy("__dedup_sha").agg(F.max_by(F.struct(*docs.columns), _rank()).alias("__dedup_kept"))
+    # Rows that tie in length and doc_id are told apart by their text and then their other columns.
+    plain = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    rank = F.struct(_rank(), F.coalesce("text", F.lit("")), F.xxhash64(F.lit(0), *plain))
+    groups = flagged.filter("__dedup_maybe").groupBy("__dedup_sha").agg(F.max_by(F.struct(*docs.columns), rank).alias("__dedup_kept"))
     return single.unionByName(groups.select("__dedup_kept.*"))

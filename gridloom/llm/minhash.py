@@ -13,11 +13,12 @@ are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, met_in_tiles, spread_lookup, texts_of
@@ -67,6 +68,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _cuts_up_to(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``, looked up in two levels of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(v).cast("bigint") for v in values])
+
+    group = F.size(F.filter(longs([g[0] for g in groups]), lambda c: c <= value))
+    within = F.size(F.filter(F.element_at(F.array(*map(longs, groups)), group), lambda c: c <= value))
+    return F.when(value < cuts[0], 0).otherwise((group - 1) * step + within)
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, str]:
     """Texts dealt by ranges of doc_id and sorted, each range with the first row of the next one.
 
@@ -80,8 +96,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, str]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [k / parts for k in range(1, parts)] or [0.5]
     cuts = sorted(set(texts.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts")).collect()[0]["cuts"] or []))
-    above = F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= F.col("doc_id")) if cuts else F.array()
-    ranged = texts.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(above)))
+    ranged = texts.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_cuts_up_to(F.col("doc_id"), cuts)))
     least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("least")
     firsts = [(r["range"], r["least"]["id"]) for r in ranged.select("doc_id", "range").groupBy("range").agg(least).orderBy("range").collect()]
     first = ""

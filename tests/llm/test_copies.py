@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import exact_dedup, minhash, queries, simhash
@@ -281,3 +282,11 @@ def test_class_links_of_a_dense_group(spark, block):
     got = [(r.a, r.b) for r in minhash.class_links(classes, 0.8, block).collect()]
     assert {tuple(sorted(p)) for p in got} <= set(links)
     assert components_of(range(len(sets)), got) == components_of(range(len(sets)), links) and len(links) > 200
+
+
+def test_ranges_are_looked_up_in_two_levels(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5, 17, 100):
+        cuts = sorted(set(rng.integers(-50, 50, n).tolist()))
+        rows = spark.range(-60, 61).select("id", minhash._cuts_up_to(F.col("id"), cuts).alias("n")).collect()
+        assert all(r.n == sum(c <= r.id for c in cuts) for r in rows)

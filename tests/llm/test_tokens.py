@@ -176,3 +176,17 @@ def test_orc_lookup_prunes(spark, documents):
     found = token_orc.lookup(spark, path, [17])
     assert [r.doc_id for r in found.collect()] == [17]
     assert "PushedFilters: [In(doc_id" in (plan := found._jdf.queryExecution().toString()) or "EqualTo(doc_id,17)" in plan
+
+
+def test_orc_files_have_stripes_and_row_indexes(spark, tmp_path):
+    """Small stripes and strides, in the files themselves; Bloom filters add to them."""
+    from pyarrow import orc
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(["alpha", "beta", f"n{rng.random()}"]) for _ in range(40))) for k in range(12_000)], "doc_id bigint, text string").coalesce(1)
+    path = token_orc.write_ids(docs, WORDS, f"file://{tmp_path}/ids", stripe_bytes=1 << 16, row_index_stride=1000)
+    files = [orc.ORCFile(f) for f in sorted((tmp_path / "ids").glob("*.orc"))]
+    assert sum(f.nrows for f in files) == 12_000 and sum(f.nstripes for f in files) > len(files)
+    assert all(f.row_index_stride == 1000 and str(f.compression).upper().endswith("ZSTD") for f in files)
+    found = token_orc.lookup(spark, path, [7, 11_999]).collect()
+    assert sorted(r.doc_id for r in found) == [7, 11_999]
