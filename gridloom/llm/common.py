@@ -40,7 +40,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

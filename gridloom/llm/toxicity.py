@@ -61,7 +61,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
 class Terms:
     """Numbers of words' terms, as places among ``known`` (ascending) if given; with a bounded memo."""
 
-    def __init__(self, known: np.ndarray | None = None, bits: int = HASH_BITS, limit: int = 200_000):
+    def __init__(self, known: np.ndarray | None = None, bits: int = HASH_BITS, limit: int = 60_000):
         self.mask, self.limit = (1 << bits) - 1, limit
         self.memo: dict[str, tuple[int, ...]] = {}
         self.place = None if known is None else {t: k for k, t in enumerate(known.tolist())}
