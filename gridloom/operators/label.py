@@ -142,10 +142,11 @@ def label(image: Image, structure=None, wrap_axes: Sequence[int] | None = None,
     moved = moved.select(*[f"n{k}" for k in range(n)], F.col("root").alias("a"))
     links = moved.join(rim.select(*[F.col(c).alias(f"n{k}") for k, c in enumerate(image_coords)], F.col("root").alias("b")), [f"n{k}" for k in range(n)]).select("a", "b")
     merged = connected(links)
-    rooted = local.join(merged.withColumnRenamed("root", "top"), local["root"] == merged["node"], "left").select(*image_coords, F.coalesce("top", local["root"]).alias("root"))
-    rooted = materialize(rooted)
-    numbers = materialize(dense_index(rooted, "root"))
-    labelled = rooted.join(numbers, "root").select(*image_coords, F.col("number").cast("int").alias("value"))
+    # Pixels know the root within their tile, so no key of theirs has more of them than a tile, however far a component reaches.
+    roots = local.select("root").distinct().join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    roots = materialize(roots.select("root", F.coalesce("top", "root").alias("top")))
+    numbers = materialize(dense_index(roots, "top"))
+    labelled = local.join(roots.join(numbers, "top").select("root", "number"), "root").select(*image_coords, F.col("number").cast("int").alias("value"))
     out = image.df.select(*image_coords).join(labelled, image_coords, "left").select(*image_coords, F.coalesce("value", F.lit(0)).alias("value"))
     return image.with_df(out, "int32"), numbers.agg(F.coalesce(F.max("number"), F.lit(0)).cast("bigint").alias("n"))
 
