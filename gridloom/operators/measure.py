@@ -19,10 +19,11 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.image import Image
+from ..plans.scratch import materialize
 
 _NAN = float("nan")
 
@@ -110,8 +111,25 @@ sum_labels.__doc__ = "Sum of the values; zero for a label without pixels."
 
 
 def median(image: Image, label_image=None, index=None) -> DataFrame:
-    """Exact median, the mean of the two middle values of an even number."""
-    return _measure(image, label_image, index, {"median": F.lit(_NAN)}, lambda im: [_nan_safe(im, F.median(im.as_double())).alias("median")])
+    """Exact median, the mean of the two middle values of an even number.
+
+    Values are counted by label and dealt by ranges of both, so no task holds all values of a
+    label; only the ranges that hold a middle rank are looked through.
+    """
+    df, flat = _wanted(image, label_image, index)
+    counts = df.groupBy("label", image.as_double().alias("v")).agg(F.count("*").alias("n"))
+    dealt = materialize(counts.repartitionByRange("label", "v").withColumn("part", F.spark_partition_id()))
+    ranges = dealt.groupBy("label", "part").agg(F.sum("n").alias("held"), F.bool_or(F.isnan("v")).alias("nan"))
+    own = Window.partitionBy("label")
+    before = F.coalesce(F.sum("held").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("held").over(own)
+    middle = ranges.select(F.col("label").alias("l"), F.col("part").alias("p"), "held", before.alias("before"), F.floor((total - 1) / 2).alias("low"), F.floor(total / 2).alias("high"), F.bool_or("nan").over(own).alias("nan"))
+    middle = middle.filter("before <= high AND before + held > low")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("label", "part").orderBy("v"))
+    ranked = dealt.join(middle, dealt["label"].eqNullSafe(middle["l"]) & (dealt["part"] == middle["p"])).withColumn("upto", upto)
+    at = [F.max(F.when((F.col("upto") > F.col(k)) & (F.col("upto") - F.col("n") <= F.col(k)), F.col("v"))) for k in ("low", "high")]
+    found = ranked.groupBy("label").agg(F.when(F.bool_or("nan"), F.lit(_NAN)).otherwise((at[0] + at[1]) / 2).alias("median"), F.lit(1).alias("__found"))
+    return _answer(image, found, flat, {"median": F.lit(_NAN)})
 
 
 def sum(image: Image, label_image=None, index=None) -> DataFrame:  # noqa: A001

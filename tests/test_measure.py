@@ -193,3 +193,16 @@ def test_histogram_of_equal_bounds(spark):
     assert nm.histogram(image, 1, 1, 4).collect()[0].counts == np.histogram([1, 2, 1.4, 3], 4, (1, 1))[0].tolist()
     with pytest.raises(ValueError):
         nm.histogram(image, 2, 1, 4)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000, 1001])
+def test_median_over_many_ranges(spark, size):
+    """Few and many distinct values, even and odd numbers, over more ranges than values."""
+    rng = np.random.default_rng(size)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for a in (rng.integers(0, 4, (1, size)).astype(float), rng.normal(size=(1, size))):
+            assert nm.median(Image.from_numpy(spark, a)).collect()[0].median == np.median(a)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
