@@ -161,18 +161,23 @@ def rotate(image: Image, angle: float, axes: Sequence[int] = (1, 0), reshape: bo
 def map_coordinates(image: Image, coordinates, order: int = 3, mode: str = "constant", cval: float = 0.0, prefilter: bool = False) -> DataFrame:
     """(point_id, value) at arbitrary points.
 
-    ``coordinates`` is a DataFrame (point_id, c0, ...) or an array (ndim, points).
+    ``coordinates`` is a DataFrame (point_id, c0, ...) or an array (ndim, points), of which the
+    image is filtered to the box it reaches.
     """
     order = _check_order(order)
     _check_mode(mode)
-    n = image.ndim
+    n, box = image.ndim, None
     if not isinstance(coordinates, DataFrame):
         array = np.asarray(coordinates, float)
         if array.ndim != 2 or array.shape[0] != n:
             raise RuntimeError("The coordinates must have a row for each dimension.")
+        if array.size and np.isfinite(array).all():
+            box = array.min(axis=1), array.max(axis=1)
         coordinates = image.spark.createDataFrame(pa.table({"point_id": pa.array(np.arange(array.shape[1]))} | {f"c{k}": pa.array(a) for k, a in enumerate(array)}))
     if prefilter and order > 1:
         image = spline_filter(image, order, mode={"constant": "mirror", "grid-constant": "mirror"}.get(mode, mode))
+    if box is not None:
+        image = _within(image, *box, order)
     made = _sample(image, coordinates, ["point_id"], [F.col(f"c{k}") for k in range(n)], order, mode, cval)
     return made.select("point_id", _store(image, F.col("value")))
 

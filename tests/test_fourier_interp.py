@@ -145,6 +145,20 @@ def test_map_coordinates(spark, order, mode):
     np.testing.assert_allclose([got[k] for k in range(12)], want, atol=1e-9)
 
 
+@pytest.mark.parametrize("mode", ["constant", "nearest", "grid-constant"])
+def test_few_points_read_their_box_only(spark, mode):
+    """Small boxes inside, at an end and outside of an image, whose other pixels aren't read."""
+    a = RNG.random((40, 30))
+    whole = Image.from_numpy(spark, a)
+    for low in ([20, 11], [-0.9, 28.2], [38.6, 0.1], [44, -7]):
+        points = RNG.random((2, 4)) * 0.8 + np.array(low)[:, None]
+        found = ni.map_coordinates(whole, points, 3, mode, 0.5)
+        np.testing.assert_allclose([v for _, v in sorted(found.collect())], [ref.sample(a, p, 3, mode, 0.5) for p in points.T], atol=1e-9)
+        near = (np.abs(np.indices(a.shape) - np.clip(np.array(low), 0, [39, 29])[:, None, None]) < 8).all(axis=0)
+        holed = Image.from_numpy(spark, np.where(near, a, np.nan))
+        np.testing.assert_allclose([v for _, v in sorted(ni.map_coordinates(holed, points, 3, mode, 0.5).collect())], [v for _, v in sorted(found.collect())], atol=1e-9)
+
+
 def test_map_coordinates_arguments(spark):
     image = Image.from_numpy(spark, REAL)
     with pytest.raises(NotImplementedError):
