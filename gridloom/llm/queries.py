@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, packing, quality, secret_scan, sentencepiece_nbest, simhash, token_counts, token_orc, toxicity
+from . import alignment, exact_dedup, minhash, packing, quality, secret_scan, sentencepiece_nbest, simhash, token_counts, token_orc, toxicity, warc_zip
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,15 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality, op4_secrets, op5_exact_dedup, op6_token_orc, op7_simhash, op8_minhash, op9_token_counts, op10_packing)}
+def op11_alignment(spark, sf_dir):
+    return alignment.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_warc(spark, sf_dir):
+    return warc_zip.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality, op4_secrets, op5_exact_dedup, op6_token_orc, op7_simhash, op8_minhash, op9_token_counts, op10_packing, op11_alignment, op13_warc)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
@@ -75,4 +83,11 @@ ORACLE_SQL = {
              k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
     """,
+    "op13_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
 }
