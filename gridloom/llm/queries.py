@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, minhash, packing, quality, secret_scan, sentencepiece_nbest, simhash, token_counts, token_orc, toxicity, warc_zip
+from . import alignment, conversation_repair, exact_dedup, minhash, packing, quality, secret_scan, sentencepiece_nbest, simhash, token_counts, token_orc, toxicity, warc_zip
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +71,26 @@ def op11_alignment(spark, sf_dir):
     return alignment.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_repair(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.digest_all(conversations, conversation_repair.damage(conversations))
+
+
 def op13_warc(spark, sf_dir):
     return warc_zip.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality, op4_secrets, op5_exact_dedup, op6_token_orc, op7_simhash, op8_minhash, op9_token_counts, op10_packing, op11_alignment, op13_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality, op4_secrets, op5_exact_dedup, op6_token_orc, op7_simhash, op8_minhash, op9_token_counts, op10_packing, op11_alignment, op12_repair, op13_warc)}
+
+#: Ways over a turn that stays: its initial (o: any other), the last initial before (-: none) and after, cost, edits, the turn inserted, a new role.
+_STAYS = ", ".join(
+    f"('{initial}', '{p}', '{to}', {2 * (between != '') + 2 * (role != '')}, '{'I' * (between != '')}{'R' if role else 'K'}', '{between}', '{role}')"
+    for initial in "suao"
+    for p in "-sua"
+    for to, role in (("s", ""), ("u", ""), ("a", ""), ("u", "user"), ("a", "assistant"))
+    for between in [("" if (p == "u") == (to == "a") else "assistant:" if p == "u" else "user:") if to != "s" else ""]
+    if (role or initial == to) and (to != "s" or p == "-")
+)
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
@@ -83,6 +98,39 @@ ORACLE_SQL = {
              k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
     """,
+    "op12_repair": f"""
+        WITH RECURSIVE
+             t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+             c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                          xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f
+                   FROM conversations, t),
+             d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                          unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS k
+                   FROM c WHERE f <> 0),
+             n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS i FROM d),
+             e AS (SELECT conv_id, turn, i, role, text, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial,
+                          CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                               WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '-' END AS fault,
+                          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+                   FROM n),
+             w(initial, p, s, cost, edits, between, role) AS (VALUES {_STAYS}),
+             r AS (SELECT conv_id, 0::BIGINT AS i, '-' AS s, 0::BIGINT AS cost, '' AS audit, '' AS rep FROM (SELECT DISTINCT conv_id FROM e)
+                   UNION ALL
+                   SELECT conv_id, i, s, cost, audit, rep FROM (
+                       SELECT e.conv_id, e.i, x.s, r.cost + x.cost + CASE WHEN x.edits <> 'D' AND e.fault = 't' THEN 1 ELSE 0 END AS cost, r.audit || x.edits AS audit,
+                              CASE WHEN x.edits = 'D' THEN r.rep ELSE r.rep || CASE WHEN x.between = '' THEN '' ELSE chr(10) || x.between END || chr(10) || CASE x.role WHEN '' THEN e.role ELSE x.role END || ':' || e.text END AS rep
+                       FROM r JOIN e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i + 1
+                       JOIN (SELECT * FROM w UNION ALL SELECT a.x, b.x, b.x, 3, 'D', '', '' FROM (VALUES ('s'), ('u'), ('a'), ('o')) a(x), (VALUES ('-'), ('s'), ('u'), ('a')) b(x)) x
+                         ON x.initial = e.initial AND x.p = r.s AND (x.edits = 'D' OR e.fault NOT IN ('b', 'd')))
+                   QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) = 1),
+             z(s, cost, edits, rep) AS (VALUES ('-', 0, '', ''), ('s', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 2, 'I', chr(10) || 'assistant:'), ('a', 0, '', '')),
+             m AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, sum((fault = 'b')::INT) AS blank, sum((fault = 'd')::INT) AS duplicate, sum((fault = 't')::INT) AS truncated, sum((pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM e GROUP BY conv_id),
+             b AS (SELECT m.*, r.cost + z.cost AS cost, r.audit || z.edits AS audit, sha256(substr(r.rep || z.rep, 2)) AS sha FROM m JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.n JOIN z ON z.s = r.s
+                   QUALIFY row_number() OVER (PARTITION BY m.conv_id ORDER BY r.cost + z.cost, r.audit || z.edits) = 1)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
     "op13_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
              f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)

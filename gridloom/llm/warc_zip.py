@@ -373,7 +373,9 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False, urls: l
                             rows = []
                     yield _batch(rows)
 
-    return map_batches(found.repartition("path", "offset"), run, RECORD_SCHEMA)
+    # A number of partitions of its own: these rows are few and small, but what they stand for isn't.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return map_batches(found.repartition(tasks, "path", "offset"), run, RECORD_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
