@@ -12,15 +12,13 @@ the files are plain ZIP.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the smallest page_id is a
 response and the others revisit it, without their payload. Two longs and a digest a page decide
-that; payloads shuffle only if the pages that revisit are too many to broadcast (Spark checks their
-size), by a key that is unique.
+that. Payloads are written out once, and shuffle only if the pages that revisit are too many to
+broadcast (Spark checks their size), by a key that is unique.
 
 Edge cases: a null payload is empty; a null page_id comes after all others, so such a page is
 refered to only by others of its kind, with null; repeated page_ids are records of their own, of
 which one is the response; a null url is the record's own name, and control characters and spaces
 in one are escaped; other columns are not read; an empty table writes files without records.
-``pages`` is read twice and must give the same rows in the same partitions, as a table does;
-pages that changed in between are noticed by their digests.
 """
 
 from __future__ import annotations
@@ -147,7 +145,7 @@ def _archive(rows: Iterable[tuple], date: str, member_bytes: int, zip64: bool) -
     for page, row, url, payload, known, refers in rows:
         digest = hashlib.sha256(payload).hexdigest()
         if known is not None and known != digest:
-            raise RuntimeError("The pages changed while they were read.")
+            raise RuntimeError("A row isn't the one that its digest was taken of.")
         name = record_name(page, row)
         target = target_of(url) if url else name.strip("<>")
         packed = gzip.compress(record(name, target, payload, digest, refers, date), 6, mtime=0)
@@ -164,29 +162,31 @@ def _archive(rows: Iterable[tuple], date: str, member_bytes: int, zip64: bool) -
         yield zipped.close()
 
 
-def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(row, digest, refers) of the pages whose payload of ``least`` bytes or more an earlier page_id has.
+def numbered(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, row), written out once, so that a row's number stays its own."""
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    return materialize(pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row")))
+
+
+def revisits(rows: DataFrame, least: int = 100) -> DataFrame:
+    """(row, digest, first_page, first_row) of the ``numbered`` rows whose payload of ``least`` bytes or more an earlier page_id has.
 
     Digests are counted by partial aggregation and only those that repeat are looked up, a hot one
     by salts, so no task holds a group.
     """
-    keys = materialize(_numbered(pages).select("row", "page_id", F.octet_length("payload").alias("size"), F.sha2("payload", 256).alias("digest")))
-    long = keys.filter(F.col("size") >= least).drop("size")
+    keys = materialize(rows.filter(F.octet_length("payload") >= least).select("row", "page_id", F.sha2("payload", 256).alias("digest")))
     first = F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row")).alias("first")
-    shared = long.groupBy("digest").agg(F.count("*").alias("n"), first).filter("n > 1").select("digest", "first")
-    found = spread_lookup(long, "digest", shared).filter(F.col("row") != F.col("first.row"))
-    return found.select("row", "digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"))
-
-
-def _numbered(pages: DataFrame) -> DataFrame:
-    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
+    shared = keys.groupBy("digest").agg(F.count("*").alias("n"), first).filter("n > 1").select("digest", "first")
+    found = spread_lookup(keys, "digest", shared).filter(F.col("row") != F.col("first.row"))
+    return materialize(found.select("row", "digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "2000-01-01T00:00:00Z", member_bytes: int = MEMBER_BYTES, zip64: bool = False) -> str:
     """Writes a record for each row of ``pages`` (page_id, url, html), an archive for each partition."""
-    again = revisits(pages, least).withColumnRenamed("row", "__again")
-    rows = _numbered(pages).join(again, F.col("row") == F.col("__again"), "left").select("page_id", "row", "url", "payload", "digest", "first_page", "first_row")
+    rows = numbered(pages)
+    # A table of known size: Spark broadcasts it if it is small, and else both sides shuffle by a key that is unique.
+    again = revisits(rows, least).withColumnRenamed("row", "__again")
+    joined = rows.join(again, F.col("row") == F.col("__again"), "left").select("page_id", "row", "url", "payload", "digest", "first_page", "first_row")
 
     def run(batches):
         def told():
@@ -198,7 +198,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "2
         for piece in _archive(told(), date, member_bytes, zip64):
             yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.binary())})
 
-    pieces = map_batches(rows, run, "piece binary")
+    pieces = map_batches(joined, run, "piece binary")
     pieces.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).option("compression", "none").text(path)
     return path
 

@@ -1,0 +1,326 @@
+import gzip
+import hashlib
+import itertools
+import random
+import re
+import zipfile
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from gridloom.llm import alignment, conversation_repair, warc_zip
+from gridloom.llm.queries import QUERIES
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+WHITE = " \t\n\x0b\f\r"
+
+
+# --- alignment -------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def aligned_plainly(rows, tokenizers):
+    """By the definition: tokens one after the other, sets of their ends, and counters of pairs."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    a, b = tokenizers
+    letters = {}
+    for code in [*range(0x800), *range(0x800, 0xD800, 0x400), 0xE000, 0xF000, *range(0x10000, 0x110000, 0x10000)]:
+        for byte, c in zip(chr(code).encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]):
+            letters[c] = byte
+    told, pairs = {}, {}
+    for doc, text in rows:
+        told[doc], pairs[doc] = (0, 0, 0, 0, ""), Counter()
+        if not text:
+            continue
+        ia, ib, raw = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text), (" " + text).encode()
+        ta = [bytes(letters[c] for c in a.id_to_token(k)) if all(c in letters for c in a.id_to_token(k)) else None for k in ia]
+        tb = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("\u2581", " ").encode() for k in ib]
+        assert None not in ta
+        if b"".join(ta) != raw or b"".join(tb) != raw:
+            continue
+        cuts = sorted(set(np.cumsum([len(x) for x in ta]).tolist()) & set(np.cumsum([len(x) for x in tb]).tolist()))
+        groups, i, j, at, bt = [], 0, 0, 0, 0
+        for cut in cuts:
+            ga, gb = [], []
+            while at < cut:
+                ga, at, i = [*ga, ia[i]], at + len(ta[i]), i + 1
+            while bt < cut:
+                gb, bt, j = [*gb, ib[j]], bt + len(tb[j]), j + 1
+            groups.append((ga, gb))
+        spelled = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        for x, y in groups:
+            for p, n in Counter(x).items():
+                for q, m in Counter(y).items():
+                    pairs[doc][p, q] += n * m
+        told[doc] = (len(ia), len(ib), len(groups), pairs[doc].total(), hashlib.sha256(spelled.encode()).hexdigest())
+    held = Counter(p for c in pairs.values() for p in c)
+    highest = {}
+    for (p, _), n in held.items():
+        highest[p] = max(highest.get(p, 0), n)
+    return {doc: (*told[doc][:4], sum(n for p, n in c.items() if held[p] == highest[p[0]]), sum(n * held[p] for p, n in c.items()), told[doc][4]) for doc, c in pairs.items()}
+
+
+STRANGE = [
+    (1000, None),
+    (1001, ""),
+    (1002, "a <|endoftext|> b"),
+    (1003, " lead  two "),
+    (1004, "x\u2581y"),
+    (1005, "<0x41> <s> \u00e9\u00e9 " * 5),
+    (1006, "q" * 9000),
+    (1007, "line\nline\n\n and\t tabs\n"),
+    (1008, " "),
+    (1009, "don't I'll we're 1234567 " * 3),
+    (1010, "ab\u00a0cd \u00a0 ef"),
+]
+
+
+def test_alignment_equals_the_plain_definition(spark, texts, tokenizers, monkeypatch):
+    """In few documents a block, so that blocks meet the corpus counts."""
+    monkeypatch.setattr(alignment, "BLOCK_DOCS", 20)
+    rows = [*texts.items(), *STRANGE]
+    want = aligned_plainly(rows, tokenizers)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in alignment.digest(docs, A, B).collect()}
+    assert got == want
+
+
+def test_words_and_whole_texts_agree(texts):
+    own = alignment.aligner(A, B)
+    assert own.by_words
+    for text in [*texts.values()][:60] + [t for _, t in STRANGE if t]:
+        x, y = own.align([text])[0], own.whole(text or "")
+        assert x[:5] == y[:5] and np.array_equal(x.keys, y.keys) and np.array_equal(x.times, y.times)
+
+
+def test_owners_give_overlaps_and_cuts():
+    """Against every byte, in both directions; a long group is counted by its distinct ids."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = rng.integers(1, 5, rng.integers(1, 9))
+        b = np.diff([0, *np.sort(rng.choice(np.arange(1, a.sum()), min(rng.integers(0, 6), a.sum() - 1), replace=False)), a.sum()]) if a.sum() > 1 else a
+        x, y, cut = alignment.overlaps(a, b)
+        at_a, at_b = [k for k, n in enumerate(a) for _ in range(n)], [k for k, n in enumerate(b) for _ in range(n)]
+        assert list(zip(x, y)) == list(dict.fromkeys(zip(at_a, at_b)))
+        assert cut.sum() == len(set(np.cumsum(a)) & set(np.cumsum(b)))
+    with pytest.raises(ValueError):
+        alignment.overlaps(np.array([2]), np.array([3]))
+    ids = rng.integers(0, 40, 300)
+    keys, times = alignment.linked_pairs(ids, ids[::-1].copy(), np.zeros(300, int), np.zeros(300, int), 1, 100)
+    plain = Counter(int(p) * 100 + int(q) for p in ids for q in ids)
+    assert dict(zip(keys.tolist(), times.tolist())) == plain
+
+
+def test_alignment_takes_odd_rows(odd, empty):
+    found = alignment.digest(odd, A, B).collect()
+    assert len(found) == odd.count() and {r.n_a for r in found if r.doc_id in (7, 9)} == {0}
+    assert all((r.groups_sha256 == "") == (r.n_a == 0) for r in found)
+    assert alignment.digest(empty, A, B).count() == 0
+
+
+# --- conversation repair ---------------------------------------------------------------------
+
+
+def damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        out += [(conv, turn, "user" if fault == 4 else role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    return out
+
+
+def cheapest(rows, faults):
+    """(cost, initials, repaired turns): all edits with up to two insertions in a place are tried."""
+    best = None
+    full = {"u": "user", "a": "assistant"}
+
+    def go(at, roles, cost, audit, made):
+        nonlocal best
+        if best and cost > best[0]:
+            return
+        for k in range(3):
+            for extra in itertools.product("ua", repeat=k):
+                said, more = roles + "".join(extra), [*made, *((full[e], "") for e in extra)]
+                if at == len(rows):
+                    if re.fullmatch("(s?(ua)+)?", said) and (best is None or (cost + 2 * k, audit + "I" * k) < best[:2]):
+                        best = cost + 2 * k, audit + "I" * k, more
+                    continue
+                if not re.fullmatch("s?(ua)*u?", said):
+                    continue
+                go(at + 1, said, cost + 2 * k + 3, audit + "I" * k + "D", more)
+                if faults[at] in ("", "truncated"):
+                    for role, price, letter in ((rows[at][0], 0, "K"), ("user", 2, "R"), ("assistant", 2, "R")):
+                        if re.fullmatch("s?(ua)*u?", said + role[:1]):
+                            go(at + 1, said + role[:1], cost + 2 * k + price + (faults[at] == "truncated"), audit + "I" * k + letter, [*more, (role, rows[at][1])])
+
+    go(0, "", 0, "", [])
+    return best
+
+
+def repaired_plainly(rows):
+    out, all_rows = {}, damaged(rows)
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in all_rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        faults, seen = [], set()
+        for _, _, role, text in own:
+            last = text.rstrip(WHITE)[-1:]
+            faults.append("blank" if not last else "duplicate" if (role, text) in seen else "" if last in ".!?" else "truncated")
+            seen.add((role, text))
+        turns = [r[1] for r in own if r[1] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(own, own[1:]))
+        cost, audit, made = cheapest([r[2:] for r in own], faults)
+        out[conv] = (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in made).encode()).hexdigest())
+    return out
+
+
+@pytest.fixture(scope="module")
+def talks():
+    """Short conversations of every kind of fault, with null conv_ids, turns, roles and texts, and ties."""
+    rng = random.Random(3)
+    roles, texts = ["user", "assistant", "system", "user", "assistant", "tool", None], ["Hi.", "Yes!", "no end", "  ", "", None, "Ok? ", "same."]
+    return [(c or None, rng.choice([t, t, t, None, 2 * t]), rng.choice(roles), rng.choice(texts)) for c in range(250) for t in range(rng.randint(0, 6))]
+
+
+@pytest.mark.parametrize("segment", [4096, 2])
+def test_repair_equals_all_edits_tried(spark, talks, monkeypatch, segment):
+    monkeypatch.setattr(conversation_repair, "SEGMENT", segment)
+    table = spark.createDataFrame(talks, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in conversation_repair.digest_all(table, conversation_repair.damage(table)).collect()}
+    assert got == repaired_plainly(talks)
+
+
+def test_a_long_conversation_is_cut_into_segments():
+    """Fronts of segments, joined, are those of the whole, with the same edits."""
+    rng = random.Random(5)
+    for n in (1, 7, 40):
+        for _ in range(20):
+            letters = "".join(rng.choice(list(conversation_repair.LETTERS)) for _ in range(n))
+            whole, _ = conversation_repair.priced(letters, conversation_repair.START)
+            leave = conversation_repair.best_end(whole)
+            front, taken, parts = conversation_repair.entered(conversation_repair.START), [], [letters[k : k + 3] for k in range(0, n, 3)]
+            for part in parts:
+                front, entries = conversation_repair.joined(front, [conversation_repair.priced(part, e)[0] for e in range(4)])
+                taken.append(entries)
+            assert [c for c in front.cost if c < 1 << 39] == [c for c in whole.cost if c < 1 << 39] and conversation_repair.best_end(front) == leave
+            at, edits = leave, []
+            for part, entries in zip(reversed(parts), reversed(taken)):
+                edits = conversation_repair.edits_of(part, entries[at], at) + edits
+                at = entries[at]
+            assert edits == conversation_repair.edits_of(letters, conversation_repair.START, leave)
+
+
+def test_repaired_turns_alternate(spark, talks):
+    schema = "conv_id bigint, turn bigint, role string, text string, pos string, letter string"
+    table = spark.createDataFrame([(*r, "x", "y") for r in talks], schema).repartition(2)
+    rows = conversation_repair.repair(table).collect()
+    for conv in {r.conv_id for r in rows}:
+        own = sorted((r for r in rows if r.conv_id == conv), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(len(own)))
+        assert re.fullmatch("(s?(ua)+)?", "".join(r.role[0] for r in own if r.edit != "D"))
+        assert sum(r.edit != "I" for r in own) == sum(t[0] == conv for t in talks)
+        assert all(r.fault not in ("blank", "duplicate") or r.edit == "D" for r in own)
+    none = spark.createDataFrame([], schema)
+    assert conversation_repair.repair(none).count() == 0 and conversation_repair.digest_all(none, conversation_repair.damage(none)).count() == 0
+
+
+# --- archives --------------------------------------------------------------------------------
+
+PAGES = [
+    (5, "http://a/x y\n", "<p>" + "long enough to be told apart " * 8, "e"),
+    (3, "http://a/2", "<p>" + "long enough to be told apart " * 8, "e"),
+    (3, "http://a/2", "<p>" + "long enough to be told apart " * 8, "e"),
+    (None, None, "<p>" + "long enough to be told apart " * 8, "e"),
+    (None, "http://b", "only of a page without a number, " * 5, None),
+    (None, "http://b", "only of a page without a number, " * 5, None),
+    (7, None, None, None),
+    (8, "http://c", "", None),
+    (9, "http://d", "short", None),
+    (10, "http://d", "short", None),
+    (-4, "http://\u00fc", "\u00fc\U0001f600\r\n\r\n" * 40, None),
+    (2, "http://e", "z" * 3_000_000, None),
+]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame(PAGES, "page_id bigint, url string, html string, row string").repartition(3)
+
+
+def test_archives_tell_each_page(spark, pages):
+    found = sorted(map(tuple, warc_zip.round_trip(pages).collect()), key=str)
+    assert len(found) == len(PAGES)
+    plain = {hashlib.sha256((h or "").encode()).hexdigest(): (h or "").encode() for _, _, h, _ in PAGES}
+    assert all(len(plain[r[2]]) == r[1] for r in found)
+    assert Counter((r[0], r[2]) for r in found) == Counter((p, hashlib.sha256((h or "").encode()).hexdigest()) for p, _, h, _ in PAGES)
+    long = hashlib.sha256(PAGES[0][2].encode()).hexdigest()
+    assert sorted((str(r[0]), r[3], r[4]) for r in found if r[2] == long) == [("3", "response", None), ("3", "revisit", 3), ("5", "revisit", 3), ("None", "revisit", 3)]
+    assert Counter(r[3:] for r in found if r[0] is None and r[2] != long) == Counter({("response", None): 1, ("revisit", None): 1})
+    assert all(r[3:] == ("response", None) for r in found if r[1] < 100)
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_archives_are_plain_zip_and_warc(spark, pages, tmp_path, zip64):
+    """Read by another ZIP reader; members small, so that there are several."""
+    path = warc_zip.write_archives(pages, f"file://{tmp_path}/archives", member_bytes=300, zip64=zip64)
+    seen = 0
+    for file in (tmp_path / "archives").glob("part-*"):
+        if file.stat().st_size:
+            with zipfile.ZipFile(file) as z:
+                assert z.testzip() is None and all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
+                for name in (n for n in z.namelist() if n.startswith("archive/")):
+                    data = gzip.decompress(z.read(name))
+                    entries = warc_zip.index_entries(z.read(name.replace("archive/", "indexes/").replace("warc.gz", "cdxj")))
+                    assert data.count(b"WARC/1.1\r\n") == len(entries)
+                    seen += len(entries)
+    assert seen == len(PAGES)
+    read = {r.page_id: r for r in warc_zip.read_records(spark, path, payloads=True, urls=["http://e", "http://a/x y\n"]).collect()}
+    assert set(read) == {2, 5} and bytes(read[2].payload) == b"z" * 3_000_000 and read[5].payload is None and read[5].record_type == "revisit"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Without an index, unpacked, with other records between, a comment at the end and data before the first member."""
+    name = warc_zip.record_name(-9, 4)
+    one = warc_zip.record(name, "http://x", b"payload", "", None, "2020-01-01T00:00:00Z")
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
+    for k, data in enumerate((info + one, gzip.compress(info) + gzip.compress(one), gzip.compress(info + one))):
+        with zipfile.ZipFile(tmp_path / f"{k}.wacz", "w") as z:
+            z.comment = b"PK\x05\x06 not the end"
+            z.writestr("pages/pages.jsonl", "{}")
+            z.writestr(f"archive/data.warc{'.gz' if k else ''}", data)
+    found = warc_zip.read_records(spark, f"file://{tmp_path}", payloads=True).collect()
+    assert [(r.page_id, bytes(r.payload), r.payload_bytes) for r in found] == [(-9, b"payload", 7)] * 3
+    with zipfile.ZipFile(tmp_path / "9.wacz", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/data.warc.gz", b"x" * 99)
+    with pytest.raises(Exception, match="must be stored"):
+        warc_zip.read_records(spark, f"file://{tmp_path}").collect()
+    with pytest.raises(Exception, match="not a ZIP"):
+        (tmp_path / "other").mkdir()
+        (tmp_path / "other" / "x").write_bytes(b"PK" * 40)
+        warc_zip.read_records(spark, f"file://{tmp_path}/other").collect()
+
+
+def test_no_pages(spark, pages):
+    assert warc_zip.round_trip(pages.limit(0)).count() == 0
+
+
+def test_queries_of_the_tables(spark, sf):
+    """A row for each document, conversation and page."""
+    for name, table, key in (("op11_alignment", "documents", "doc_id"), ("op12_repair", "conversations", "conv_id"), ("op13_warc", "pages", "page_id")):
+        want = spark.read.parquet(f"{sf}/{table}.parquet").select(key).distinct().count()
+        assert QUERIES[name](spark, sf).select(key).distinct().count() == want
