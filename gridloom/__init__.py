@@ -6,8 +6,9 @@ from .operators import interp as ndinterp
 from .operators import measure as ndmeasure
 from .operators import morph as ndmorph
 from .operators.label import label, structure
+from .plans.blocks import Blocks
 from .plans.image import Image, grid
 from .sources.imread import imread
 from .sources.tiles import read_tiles, write_tiles
 
-__all__ = ["Image", "grid", "imread", "label", "ndfilters", "ndfourier", "ndinterp", "ndmeasure", "ndmorph", "read_tiles", "structure", "write_tiles"]
+__all__ = ["Blocks", "Image", "grid", "imread", "label", "ndfilters", "ndfourier", "ndinterp", "ndmeasure", "ndmorph", "read_tiles", "structure", "write_tiles"]

@@ -4,6 +4,8 @@ Every filter takes an image and returns one of the same shape and dtype; an inte
 truncated towards zero once, at the end. Results don't depend on how the pixels are
 partitioned: a boundary mode holds for the whole image. ``strategy`` is auto, scatter or tiles;
 ranks other than the first and last, which no partial aggregation shortens, take tiles always.
+An image may be a block table (``Blocks``); the result is one then, and filters one after the
+other move the blocks' borders only.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.kernels import gaussian_1d, rank_of_percentile
+from ..plans.blocks import Blocks
 from ..plans.image import Image
-from ..plans.stencil import SCATTER_TAPS, correlate_axis, reach, scatter, tiles, windows
+from ..plans.stencil import SCATTER_TAPS, correlate_axis, reach, running_extreme, scatter, tiles, windows
 
 #: Neighbourhood cells that a tile's kernel copies at a time: 32 MB of doubles.
 _STRIP_CELLS = 1 << 22
@@ -29,9 +32,11 @@ def _offsets(mask: np.ndarray, origin: Sequence[int]) -> np.ndarray:
     return np.argwhere(mask) - np.array([s // 2 for s in mask.shape]) - np.array(origin)
 
 
-def _takes_scatter(strategy: str, taps: int) -> bool:
+def _takes_scatter(image: Image | Blocks, strategy: str, taps: int) -> bool:
     if strategy not in ("auto", "scatter", "tiles"):
         raise ValueError(f"no such strategy: {strategy}")
+    if isinstance(image, Blocks):
+        return False
     return strategy == "scatter" or strategy == "auto" and taps <= SCATTER_TAPS
 
 
@@ -66,7 +71,9 @@ def _by_strips(view: np.ndarray, mask: np.ndarray, array: Callable[[np.ndarray],
     return out
 
 
-def _done(image: Image, df, value: Column | None = None) -> Image:
+def _done(image: Image | Blocks, df, value: Column | None = None) -> Image | Blocks:
+    if isinstance(df, Blocks):
+        return df
     return image.with_df(df.select(*image.coords, image.to_dtype(F.col("value") if value is None else value).alias("value")))
 
 
@@ -75,8 +82,8 @@ def _linear(image: Image, weights: np.ndarray, origin: Sequence[int], mode: str,
     mode = checks.mode(mode)
     used = weights != 0
     if not used.any():
-        return image.with_value(image.to_dtype(F.lit(0.0)))
-    if _takes_scatter(strategy, int(used.sum())):
+        return image.map(np.zeros_like) if isinstance(image, Blocks) else image.with_value(image.to_dtype(F.lit(0.0)))
+    if _takes_scatter(image, strategy, int(used.sum())):
         taps = _offsets(used, origin)
         df = scatter(image, taps, weights[used][:, None], lambda v, w, _: [F.sum(v * w[0]).alias("value")], mode, cval)
         return _done(image, df)
@@ -122,7 +129,7 @@ Stack = list  # of (axis, weights, origin): correlations along single axes, one
 def _stacks(image: Image, stacks: list[Stack], mode: str, cval: float, strategy: str, merge_columns: Callable, merge_arrays: Callable) -> Image:
     """Several stacks of one-dimensional correlations, merged pixel by pixel."""
     mode, n = checks.mode(mode), image.ndim
-    if _takes_scatter(strategy, max((prod(np.count_nonzero(w) for _, w, _ in stack) for stack in stacks), default=1)):
+    if _takes_scatter(image, strategy, max((prod(np.count_nonzero(w) for _, w, _ in stack) for stack in stacks), default=1)):
         made = _stacks_by_scatter(image, stacks, mode, cval, strategy, merge_columns)
         if made is not None:
             return made
@@ -146,7 +153,7 @@ def _stacks_by_scatter(image: Image, stacks: list[Stack], mode: str, cval: float
     if not taps:
         taps = [tuple([0] * n)]
         combined[taps[0]] = [0.0] * len(stacks)
-    if _takes_scatter(strategy, len(taps)) and exact:
+    if _takes_scatter(image, strategy, len(taps)) and exact:
         df = scatter(image, np.array(taps), np.array([combined[t] for t in taps]), lambda v, w, _: [F.sum(v * x).alias(f"s{j}") for j, x in enumerate(w)], mode, cval)
         return _done(image, df, merge_columns([F.col(f"s{j}") for j in range(len(stacks))]))
     return None
@@ -261,7 +268,7 @@ def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column
     if not mask.any():
         raise RuntimeError("The footprint must have a cell that is set.")
     mode = checks.mode(mode)
-    if _takes_scatter(strategy, int(mask.sum())) and column is not None:
+    if _takes_scatter(image, strategy, int(mask.sum())) and column is not None:
         taps = _offsets(mask, origin)
         return _done(image, scatter(image, taps, np.zeros((len(taps), 1)), lambda v, _, tap: [column(v).alias("value")], mode, cval))
     low, high = _box(image, mask.shape, origin)
@@ -272,7 +279,7 @@ def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column
         if least is not None and mask.all():
             out = block[tuple(slice(k, None) for k in _skipped(mask.shape, origin, low))]
             for k, s in enumerate(mask.shape):
-                out = least.reduce(np.lib.stride_tricks.sliding_window_view(out, s, k), axis=-1)
+                out = running_extreme(out, s, k, least)
             return out[own]
         return _by_strips(view[own], mask, array)
 
@@ -321,6 +328,9 @@ def generic_filter(image: Image, function: Callable, size=None, footprint=None,
     """
     more = dict(extra_keywords or {})
     if native:
+        if isinstance(image, Blocks):
+            raise TypeError("A native function needs a pixel table.")
+
         def column(v, tap):
             cells = F.array_sort(F.collect_list(F.struct(tap.alias("tap"), v.alias("v"))))
             return function(F.transform(cells, lambda c: c["v"]), *extra_arguments, **more)
@@ -337,7 +347,7 @@ def threshold_local(image: Image, block_size, method: str = "gaussian", offset:
     The methods are generic (``param`` is the function), gaussian (``param`` is sigma, by
     default (block_size - 1) / 6), mean and median.
     """
-    real = image.with_value(image.as_double(), "float64")
+    real = image.with_dtype("float64") if isinstance(image, Blocks) else image.with_value(image.as_double(), "float64")
     sizes = checks.size(image.ndim, block_size)
     if method == "generic":
         if not callable(param):
@@ -352,4 +362,6 @@ def threshold_local(image: Image, block_size, method: str = "gaussian", offset:
         made = median_filter(real, sizes, mode=mode, cval=cval, strategy=strategy)
     else:
         raise ValueError(f"no such method: {method}")
+    if isinstance(made, Blocks):
+        return made.map(lambda x: x - float(offset)) if offset else made
     return made.with_value(F.col("value") - F.lit(float(offset)))

@@ -1,12 +1,16 @@
-"""Neighbourhood operations on a pixel table, in one of two ways.
+"""Neighbourhood operations on a pixel table, in one of three ways.
 
 ``scatter``: every pixel sends its value to the places it is a neighbour of, and one aggregation
 gathers them. All of it is Spark expressions, and sums, minima and maxima are combined before
 the shuffle. Best for small neighbourhoods.
 
 ``tiles``: pixels are dealt to square tiles that overlap by the neighbourhood's reach, and a
-NumPy kernel works on each tile. One shuffle of little more than the image, whatever the
-neighbourhood's size. Best for large neighbourhoods and for Python functions.
+NumPy kernel works on each tile. One shuffle of little more than the image, where the reach is
+small beside a tile. Best for larger neighbourhoods and for Python functions.
+
+Blocks (see ``blocks``): where tiles would overlap by more than half, pixels are dealt once, to
+larger blocks, which exchange their borders as arrays. A block table stays one over several
+operations, which then move borders only.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import HALO, Blocks, edge_for, halo_share
 from .boundary import padded
 from .image import Image
 
@@ -66,13 +71,18 @@ def tile_edge(ndim: int) -> int:
     return max(8, int(round(_TILE_PIXELS ** (1 / ndim))))
 
 
-def tiles(image: Image, low: Sequence[int], high: Sequence[int], mode: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], cval: float = 0.0, edge: int | None = None) -> DataFrame:
-    """Coordinates and a double value of ``kernel`` over tiles of ``edge`` pixels a side.
+def tiles(image: Image | Blocks, low: Sequence[int], high: Sequence[int], mode: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], cval: float = 0.0, edge: int | None = None) -> DataFrame | Blocks:
+    """Coordinates and a double value of ``kernel`` over tiles of ``edge`` pixels a side; of a block table, blocks.
 
     The kernel gets a tile extended by ``low`` and ``high``, with the place of its first pixel,
     and returns the tile. A group is one tile, so its size is bounded.
     """
-    n, shape, edge = image.ndim, image.shape, edge or tile_edge(image.ndim)
+    if isinstance(image, Blocks):
+        return image.with_halo(low, high, mode, kernel, cval)
+    n, shape = image.ndim, image.shape
+    if edge is None and halo_share(tile_edge(n), low, high) > HALO:
+        return Blocks.from_image(image, edge_for(low, high)).with_halo(low, high, mode, kernel, cval, "float64").pixels()
+    edge = edge or tile_edge(n)
     low, high = tuple(low), tuple(high)
     spread = padded(image, low, high, mode, cval).select(*[f"v{k}" for k in range(n)], "value")
     for k in range(n):
@@ -101,6 +111,41 @@ def windows(block: np.ndarray, size: Sequence[int]) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(block, tuple(size))
 
 
+def _along(block: np.ndarray, axis: int, start: int, size: int) -> np.ndarray:
+    return block[(*[slice(None)] * axis, slice(start, start + size))]
+
+
 def correlate_axis(block: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
-    """Correlation along one axis, where neighbourhoods fit."""
-    return np.lib.stride_tricks.sliding_window_view(block, len(weights), axis) @ np.asarray(weights, float)
+    """Correlation along one axis, where neighbourhoods fit; a pass over the block a weight, or running sums where all are alike."""
+    weights = np.asarray(weights, float)
+    left = block.shape[axis] - len(weights) + 1
+    if len(weights) > 8 and (weights == weights[0]).all() and np.isfinite(block).all():
+        return box_sums(block, len(weights), axis) * weights[0]
+    out = np.zeros((*block.shape[:axis], left, *block.shape[axis + 1 :]))
+    for k in np.flatnonzero(weights).tolist():
+        out += weights[k] * _along(block, axis, k, left)
+    return out
+
+
+def box_sums(block: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Sums of ``size`` values along an axis by running sums, whatever the size."""
+    upto = np.cumsum(block, axis=axis)
+    out = _along(upto, axis, size - 1, block.shape[axis] - size + 1).copy()
+    _along(out, axis, 1, out.shape[axis])[...] -= _along(upto, axis, 0, out.shape[axis] - 1)
+    return out
+
+
+def running_extreme(block: np.ndarray, size: int, axis: int, least: np.ufunc) -> np.ndarray:
+    """``least`` (minimum or maximum) of ``size`` values along an axis: three comparisons a value, whatever the size.
+
+    The axis is cut into runs of ``size``; a window is the end of one run and the beginning of the next.
+    """
+    if size == 1:
+        return block
+    n = block.shape[axis]
+    moved = np.moveaxis(block, axis, -1)
+    runs = -(-n // size)
+    whole = np.concatenate([moved, np.repeat(moved[..., -1:], runs * size - n, axis=-1)], axis=-1).reshape(*moved.shape[:-1], runs, size)
+    upto = least.accumulate(whole, axis=-1).reshape(*moved.shape[:-1], runs * size)
+    onward = least.accumulate(whole[..., ::-1], axis=-1)[..., ::-1].reshape(*moved.shape[:-1], runs * size)
+    return np.moveaxis(least(onward[..., : n - size + 1], upto[..., size - 1 : n]), -1, axis)
