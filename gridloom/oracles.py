@@ -213,6 +213,45 @@ ORACLE_SQL |= {
 }
 
 
+SUPPLIER_LINES = """px AS MATERIALIZED (
+    SELECT g.d0, g.d1, g.d2, coalesce(s.v, 0)::DOUBLE AS v
+    FROM (SELECT a.d0, b.d1, c.d2 FROM (SELECT s_suppkey::BIGINT AS d0 FROM supplier) a CROSS JOIN (SELECT unnest(generate_series(0, 6))::BIGINT AS d1) b CROSS JOIN (SELECT unnest(generate_series(0, 83))::BIGINT AS d2) c) g
+    LEFT JOIN (SELECT l_suppkey::BIGINT AS d0, l_linenumber::BIGINT - 1 AS d1, (12 * (year(l_shipdate) - 1995) + month(l_shipdate) - 1)::BIGINT AS d2, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) s USING (d0, d1, d2)),
+    n AS (SELECT max(d0) + 1 AS n0, max(d1) + 1 AS n1, max(d2) + 1 AS n2 FROM px)"""
+
+
+def _along(source: str, axis: int, size: int, agg: str, fold: str) -> str:
+    """``agg`` of ``size`` values along an axis of a volume; ``fold`` of a place {i} and a size {n} stands for one outside."""
+    others = " AND ".join(f"q.d{k} = s.d{k}" for k in range(3) if k != axis)
+    at = fold.format(i=f"(s.d{axis} + k.a)", n=f"n{axis}")
+    return f"""SELECT s.d0, s.d1, s.d2, {agg}(q.v) AS v FROM {source} s CROSS JOIN n CROSS JOIN (SELECT unnest(generate_series({-(size // 2)}, {size - 1 - size // 2}))::BIGINT AS a) k
+        JOIN {source} q ON {others} AND q.d{axis} = {at} GROUP BY ALL"""
+
+
+def _volume(passes: list[tuple[int, int, str, str]], select: str) -> str:
+    parts, last = [SUPPLIER_LINES], "px"
+    for k, (axis, size, agg, fold) in enumerate(passes):
+        parts.append(f"v{k} AS MATERIALIZED ({_along(last, axis, size, agg, fold)})")
+        last = f"v{k}"
+    return f"WITH {', '.join(parts)} SELECT d0, d1, d2, {select} AS r FROM {last}"
+
+
+_REFLECT, _WRAP, _NEAREST = _fold("{i}", "{n}"), "(({i} % {n}) + {n}) % {n}", "greatest(0, least({i}, {n} - 1))"
+_DIAMOND = "SELECT a, b FROM (SELECT unnest(generate_series(-20, 20))::BIGINT AS a) CROSS JOIN (SELECT unnest(generate_series(-20, 20))::BIGINT AS b) WHERE abs(a) + abs(b) <= 20"
+
+ORACLE_SQL |= {
+    "filter_uniform_volume": _volume([(0, 21, "avg", _REFLECT), (1, 5, "avg", _REFLECT), (2, 41, "avg", _REFLECT)], "round(v, 6)"),
+    "filter_range_volume": _volume([(0, 15, "max", _WRAP), (1, 3, "max", _WRAP), (2, 31, "max", _WRAP), (0, 21, "min", _NEAREST), (2, 9, "min", _NEAREST)], "v::BIGINT"),
+    # out[i] = any in[i - k + size // 2 + origin]: 15 and 9 places up and down of the shifted centre.
+    "morph_dilation_wide": f"""WITH {SUPPLIER_WEEKS}, k(a, b) AS (SELECT a, b FROM (SELECT unnest(generate_series(-5, 9))::BIGINT AS a) CROSS JOIN (SELECT unnest(generate_series(-5, 3))::BIGINT AS b)),
+        hit AS (SELECT DISTINCT px.d0 - k.a AS d0, px.d1 - k.b AS d1 FROM px CROSS JOIN k WHERE px.v > 120)
+        SELECT px.d0, px.d1, (hit.d0 IS NOT NULL)::BIGINT AS r FROM px LEFT JOIN hit USING (d0, d1)""",
+    # Twenty steps of a cross reach as far as 20 along both axes together; only pixels of the image clear others.
+    "morph_erosion_iterated": f"""WITH {SUPPLIER_WEEKS}, k(a, b) AS ({_DIAMOND}), hit AS (SELECT DISTINCT px.d0 + k.a AS d0, px.d1 + k.b AS d1 FROM px CROSS JOIN k WHERE NOT px.v < 150)
+        SELECT px.d0, px.d1, (hit.d0 IS NULL)::BIGINT AS r FROM px LEFT JOIN hit USING (d0, d1)""",
+}
+
+
 def _plain_zeros(sql: str, columns: tuple[str, ...]) -> str:
     """Turns a negative zero into zero."""
     plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0::DOUBLE ELSE {c} END AS {c}" for c in columns)

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from .operators import filters, fourier, interp, measure, morph
 from .operators.label import label
+from .plans.blocks import Blocks
 from .plans.image import Image
 from .plans.scratch import scratch_dir
 from .sources.imread import encode_tiff, imread
 
 WEEKS = 358
+MONTHS = 84
 FOLD = 64
 LABELS = [*range(1, 17), 99]
 ASYMMETRIC = [[1, 2, 0], [-1, 3, 1], [0, -2, 4]]
@@ -43,6 +45,14 @@ def part_days(spark: SparkSession, sf_dir: str) -> Image:
     return Image.from_sparse(counts, (FOLD, FOLD))
 
 
+def supplier_lines(spark: SparkSession, sf_dir: str) -> Image:
+    """A volume of suppliers, line numbers and months, with the quantity shipped."""
+    month = 12 * (F.year("l_shipdate") - 1995) + F.month("l_shipdate") - 1
+    keys = [F.col("l_suppkey").cast("bigint").alias("d0"), (F.col("l_linenumber") - 1).cast("bigint").alias("d1"), month.cast("bigint").alias("d2")]
+    sums = _table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum("l_quantity").alias("value"))
+    return Image.from_sparse(sums, (_table(spark, sf_dir, "supplier").count(), 7, MONTHS))
+
+
 def labelled(image: Image) -> Image:
     """The raster with a column ``lab``: sixteen groups of weeks among the pixels over 50."""
     return image.with_df(image.df.withColumn("lab", F.when(F.col("value") > 50, 1 + F.col("d1") % 16).otherwise(0)))
@@ -193,6 +203,18 @@ def filter_percentile(spark, sf_dir):
     return _exact(filters.percentile_filter(supplier_weeks(spark, sf_dir), 30, 3))
 
 
+def filter_uniform_volume(spark, sf_dir):
+    """A wide box in three dimensions: runs on blocks."""
+    return _close(filters.uniform_filter(supplier_lines(spark, sf_dir), (21, 5, 41)))
+
+
+def filter_range_volume(spark, sf_dir):
+    """Two wide filters in a row on a block table, and what lies between them."""
+    blocks = Blocks.from_image(supplier_lines(spark, sf_dir), reach=(10, 1, 15)).kept()
+    wide = filters.maximum_filter(blocks, (15, 3, 31), mode="wrap")
+    return _exact(filters.minimum_filter(wide, (21, 1, 9), mode="nearest").to_image())
+
+
 def filter_generic(spark, sf_dir):
     squares = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     return _exact(filters.generic_filter(supplier_weeks(spark, sf_dir), squares, 3, native=True))
@@ -217,6 +239,18 @@ def _morphed(name: str):
     return query
 
 
+def morph_dilation_wide(spark, sf_dir):
+    """A structure too large to scatter, with an origin."""
+    image = supplier_weeks(spark, sf_dir)
+    return _pixels(morph.binary_dilation(image.with_value(F.col("value") > 120, "bool"), np.ones((15, 9)), origin=(2, -1)), F.col("value").cast("int").cast("bigint"))
+
+
+def morph_erosion_iterated(spark, sf_dir):
+    """Twenty iterations in one exchange; outside the image is set."""
+    image = supplier_weeks(spark, sf_dir)
+    return _pixels(morph.binary_erosion(image.with_value(F.col("value") < 150, "bool"), iterations=20, border_value=1), F.col("value").cast("int").cast("bigint"))
+
+
 def fourier_gaussian(spark, sf_dir):
     return _close(fourier.fourier_gaussian(part_days(spark, sf_dir), 1))
 
@@ -300,8 +334,9 @@ QUERIES = (
     | {f"measure_{n}": _position(n) for n in ("minimum_position", "maximum_position")}
     | {f.__name__: f for f in (measure_area, measure_extrema, measure_center_of_mass, measure_histogram, measure_labeled_comprehension, measure_find_objects)}
     | {"measure_label": _components(None), "measure_label_wrap": _components([1])}
-    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_rank, filter_percentile, filter_generic)}
+    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_rank, filter_percentile, filter_generic, filter_uniform_volume, filter_range_volume)}
     | {f"filter_threshold_local_{m}": _above(m) for m in ("gaussian", "mean", "median", "generic")}
     | {f"morph_{n}": _morphed(n) for n in ("erosion", "dilation", "opening", "closing")}
+    | {f.__name__: f for f in (morph_dilation_wide, morph_erosion_iterated)}
     | {f.__name__: f for f in (fourier_gaussian, fourier_uniform, fourier_shift, interp_affine_transform, interp_affine_transform_cubic, interp_rotate, interp_rotate_30, interp_map_coordinates, interp_spline_filter, interp_spline_filter1d, io_imread, io_imread_files)}
 )
