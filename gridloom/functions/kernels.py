@@ -37,17 +37,14 @@ def spline_start(x: Column, order: int) -> Column:
     return F.floor(x if order % 2 else x + 0.5) - order // 2
 
 
-def spline_weight(t: Column, order: int) -> Column:
-    """The centred B-spline of an order at t."""
+def spline_weights(t: np.ndarray, order: int) -> np.ndarray:
+    """The centred B-spline of an order at places ``t``."""
     if order == 0:
-        return F.lit(1.0)
+        return np.ones(t.shape)
     if order == 1:
-        return F.greatest(F.lit(0.0), 1 - F.abs(t))
-    total = F.lit(0.0)
-    for k in range(order + 2):
-        base = F.greatest(F.lit(0.0), t + ((order + 1) / 2 - k))
-        total = total + F.lit(float((-1) ** k * comb(order + 1, k))) * F.pow(base, F.lit(order))
-    return total / factorial(order)
+        return np.maximum(0.0, 1 - np.abs(t))
+    terms = ((-1) ** k * comb(order + 1, k) * np.maximum(0.0, t + ((order + 1) / 2 - k)) ** order for k in range(order + 2))
+    return sum(terms) / factorial(order)
 
 
 def poles(order: int) -> list[float]:

@@ -1,27 +1,39 @@
 """Resampling with B-splines of order 0 to 5, and their prefilter.
 
-An output point's coordinates are column expressions; the samples around it are looked up by an
-equi-join on coordinates, and one aggregation sums them with their spline weights. The source
-is filtered first to the box that the output can reach, which a Parquet scan prunes by.
+An output point's coordinates are column expressions. Points are dealt, a row each, to the source
+tiles they fall in, and NumPy samples a tile at the points that stream past it. The source is
+filtered first to the box that the output can reach, and to the tiles that points touch; of an
+image in folders of tiles (``read_tiles``) no other folder is opened.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import checks
-from ..functions.kernels import prefilter_lines, spline_start, spline_weight
-from ..plans.boundary import fold_column
+from ..functions.kernels import prefilter_lines, spline_start, spline_weights
+from ..plans.blocks import Tiling, edge_for
+from ..plans.boundary import fold
 from ..plans.image import Image, grid
+from ..plans.scratch import materialize
 
 MODES = ("constant", "nearest", "grid-constant")
 #: Lines that one task filters at a time.
 _LINES = 64
+#: Points of a tile's share, at least, and how many tiles at most can hold more than one share.
+_SHARE, _MOST_HOT = 1 << 18, 10_000
+#: Tiles or folders up to which they are named in a filter.
+_FEW_TILES = 1000
+#: Edge of the output tiles by which the points of a transform are shared out.
+_OUTPUT_PIXELS = 1 << 18
 
 
 def _check_mode(mode: str) -> None:
@@ -35,57 +47,151 @@ def _check_order(order: int) -> int:
     return int(order)
 
 
-def _sample(image: Image, points: DataFrame, keys: Sequence[str], at: Sequence[Column], order: int, mode: str, cval: float) -> DataFrame:
+def sample_block(block: np.ndarray, corner: Sequence[int], shape: Sequence[int], x: np.ndarray, order: int, mode: str, cval: float) -> np.ndarray:
+    """The image's values at points ``x`` (a row each), from a block of it whose first pixel is ``corner``."""
+    n, flat = block.ndim, block.ravel()
+    places, weights, inside = [], [], []
+    for k, size in enumerate(shape):
+        first = np.floor(x[:, k] if order % 2 else x[:, k] + 0.5).astype(np.int64) - order // 2
+        at = first[:, None] + np.arange(order + 1)
+        weights.append(spline_weights(x[:, k, None] - at, order))
+        inside.append((at >= 0) & (at < size))
+        at = fold(at, size, "mirror" if mode == "constant" else "nearest") - corner[k]
+        # A tap of a weight of zero may lie anywhere.
+        places.append(np.clip(at, 0, block.shape[k] - 1))
+    out = np.zeros(len(x))
+    for taps in np.ndindex(*[order + 1] * n):
+        w, at, within = np.ones(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        for k, j in enumerate(taps):
+            w, at, within = w * weights[k][:, j], at * block.shape[k] + places[k][:, j], within & inside[k][:, j]
+        value = flat[at] if mode != "grid-constant" else np.where(within, flat[at], cval)
+        out += np.where(w != 0, w * value, 0.0)
+    return out
+
+
+def _touched(image: Image, tiles: DataFrame, tiling: Tiling, halo: int) -> Image:
+    """The image without the folders that no pixel of ``tiles`` lies in, where it has folders and the tiles are few."""
+    edge = image.folder_edge
+    if edge is None:
+        return image
+    numbers = [r[0] for r in tiles.select("tile").distinct().limit(_FEW_TILES + 1).collect()]
+    if len(numbers) > _FEW_TILES:
+        return image
+    opened: set[tuple[int, ...]] = set()
+    for number in numbers:
+        spans = [range(max(0, a * tiling.edge - halo) // edge, min(s - 1, (a + 1) * tiling.edge - 1 + halo) // edge + 1) for a, s in zip(tiling.at(number), image.shape)]
+        opened.update(product(*spans))
+        if len(opened) > _FEW_TILES:
+            return image
+    chosen = F.lit(False)
+    for folder in sorted(opened):
+        here = F.lit(True)
+        for k, t in enumerate(folder):
+            here = here & (F.col(f"t{k}") == t)
+        chosen = chosen | here
+    return replace(image, df=image.df.filter(chosen))
+
+
+def _tile_rows(image: Image, tiles: DataFrame, tiling: Tiling, halo: int) -> DataFrame:
+    """(tile, pixels binary) of the tiles asked for, each with the image's pixels up to ``halo`` around it."""
+    n, shape, edge = image.ndim, image.shape, tiling.edge
+    rows = image.df.select(*image.coords, image.as_double().alias("value"))
+    number = F.lit(0).cast("bigint")
+    for k, count in enumerate(tiling.counts):
+        first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col(f"d{k}") - halo) / edge))
+        upto = F.least(F.lit(count - 1).cast("bigint"), F.floor((F.col(f"d{k}") + halo) / edge))
+        rows = rows.withColumn(f"a{k}", F.explode(F.sequence(first, upto)))
+        number = number * count + F.col(f"a{k}")
+    asked = tiles.select("tile").distinct()
+    rows = rows.select(number.alias("tile"), *image.coords, "value").join(asked, "tile", "left_semi")
+
+    def run(key, table):
+        at = tiling.at(key[0].as_py())
+        corner = [max(0, a * edge - halo) for a in at]
+        block = np.zeros([min(s, (a + 1) * edge + halo) - c for a, s, c in zip(at, shape, corner)])
+        block[tuple(table.column(f"d{k}").to_numpy() - corner[k] for k in range(n))] = table.column("value").to_numpy()
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int64()), "pixels": pa.array([block.tobytes()], pa.binary())})
+
+    return rows.groupBy("tile").applyInArrow(run, "tile bigint, pixels binary")
+
+
+def _sample(image: Image, points: DataFrame, keys: Sequence[str], at: Sequence[Column], order: int, mode: str, cval: float, share: Column | None = None) -> DataFrame:
     """``points``'s keys and the image's value at coordinates ``at``, a double.
 
     constant: cval where any coordinate is outside [0, n - 1]; inside, samples past an edge
     mirror. nearest: coordinates and samples are clamped. grid-constant: a sample outside is
     cval.
+
+    A point is one row, dealt to the source tile that its first sample lies in; a tile, with a
+    small halo, is one row before its points, which stream past it. ``share`` tells into which of
+    a tile's shares a point goes, each with a copy of the tile; without it, the points are counted
+    and tiles of many are cut into shares.
     """
-    n, shape = image.ndim, image.shape
-    rows = points.select(*keys, *[a.cast("double").alias(f"x{k}") for k, a in enumerate(at)])
-    outside = F.lit(False)
+    n, shape, halo = image.ndim, image.shape, order + 1
+    tiling = Tiling(image.shape, edge_for([halo] * n, [halo] * n))
+    rows = points.select(*keys, *[a.cast("double").alias(f"x{k}") for k, a in enumerate(at)], *([share.cast("bigint").alias("share")] if share is not None else []))
+    if mode == "nearest":
+        rows = rows.withColumns({f"x{k}": F.greatest(F.lit(0.0), F.least(F.col(f"x{k}"), F.lit(float(size - 1)))) for k, size in enumerate(shape)})
+    # Spark takes NaN for the largest number, so it is outside too.
+    room, outside, tile = 0 if mode == "constant" else halo + 1, F.lit(False), F.lit(0).cast("bigint")
     for k, size in enumerate(shape):
         x = F.col(f"x{k}")
-        if mode == "nearest":
-            rows = rows.withColumn(f"x{k}", F.greatest(F.lit(0.0), F.least(x, F.lit(float(size - 1)))))
-        else:
-            outside = outside | (x < 0) | (x > size - 1)
-    inner = rows if mode != "constant" else rows.filter(~outside)
-    weight = F.lit(1.0)
-    for k, size in enumerate(shape):
-        x = F.col(f"x{k}")
-        inner = inner.withColumn(f"i{k}", F.explode(F.sequence(spline_start(x, order), spline_start(x, order) + order)))
-        weight = weight * spline_weight(x - F.col(f"i{k}"), order)
-    beyond = F.lit(False)
-    if mode == "grid-constant":
-        for k, size in enumerate(shape):
-            beyond = beyond | (F.col(f"i{k}") < 0) | (F.col(f"i{k}") >= size)
-    inner = inner.withColumns({"w": weight, "beyond": beyond})
-    for k, size in enumerate(shape):
-        inner = inner.withColumn(f"i{k}", fold_column(F.col(f"i{k}"), size, {"constant": "mirror"}.get(mode, "nearest")))
-    taps = inner.filter("w != 0").select(*keys, "w", "beyond", *[F.col(f"i{k}").alias(f"d{k}") for k in range(n)])
-    source = image.df.select(*image.coords, image.as_double().alias("v"))
-    found = taps.join(source, image.coords).groupBy(*keys).agg(F.sum(F.col("w") * F.when(F.col("beyond"), F.lit(float(cval))).otherwise(F.col("v"))).alias("value"))
-    if mode == "constant":
-        return rows.select(*keys, outside.alias("outside")).join(found, list(keys), "left").select(*keys, F.when(F.col("outside"), F.lit(float(cval))).otherwise(F.coalesce("value", F.lit(0.0))).alias("value"))
-    return found
+        outside = outside | (x < -room) | (x > size - 1 + room)
+        first = F.greatest(F.lit(0).cast("bigint"), F.least(spline_start(x, order), F.lit(size - 1).cast("bigint")))
+        tile = tile * tiling.counts[k] + F.floor(first / tiling.edge)
+    away = rows.filter(outside).select(*keys, F.lit(float(cval)).alias("value"))
+    inner = rows.filter(~outside).withColumn("tile", tile)
+    if share is not None:
+        shares = materialize(inner.select("tile", "share").distinct())
+    else:
+        held = materialize(inner.groupBy("tile").agg(F.count("*").alias("n")))
+        total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+        most = max(_SHARE, total // _MOST_HOT)
+        # At most _MOST_HOT tiles hold more than a share, by their sum.
+        hot = held.filter(F.col("n") > most).select("tile", F.ceil(F.col("n") / most).alias("shares"))
+        cut = F.pmod(F.xxhash64(*keys, *[f"x{k}" for k in range(n)], F.monotonically_increasing_id()), F.coalesce("shares", F.lit(1)))
+        inner = inner.join(F.broadcast(hot), "tile", "left").withColumn("share", cut).drop("shares")
+        shares = held.select("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / most) - 1)).alias("share"))
+    source = _tile_rows(_touched(image, shares, tiling, halo), shares, tiling, halo)
+    blocks = shares.join(source, "tile").select("tile", "share", "pixels")
+    both = inner.withColumn("rank", F.lit(1)).unionByName(blocks.withColumn("rank", F.lit(0)), allowMissingColumns=True)
+    names = [*keys, "value"]
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name in keys), T.StructField("value", T.DoubleType())])
+
+    def run(batches):
+        known, block, corner = None, None, None
+        for batch in batches:
+            tile, share, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "share", "rank"))
+            starts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (share[1:] != share[:-1]) | (rank[1:] != rank[:-1])]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)] if len(tile) else []):
+                if rank[a] == 0:
+                    known, place = (tile[a], share[a]), tiling.at(int(tile[a]))
+                    corner = [max(0, c * tiling.edge - halo) for c in place]
+                    block = np.frombuffer(batch.column("pixels")[a].as_buffer()).reshape([min(s, (c + 1) * tiling.edge + halo) - f for c, s, f in zip(place, shape, corner)])
+                    continue
+                if known != (tile[a], share[a]):
+                    raise RuntimeError("A tile is missing that points lie in.")
+                part = batch.slice(a, b - a)
+                x = np.stack([part.column(f"x{k}").to_numpy() for k in range(n)], axis=1)
+                value = sample_block(block, corner, shape, x, order, mode, cval)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.array(value)], names=names)
+
+    dealt = both.repartition("tile", "share").sortWithinPartitions("tile", "share", "rank")
+    return dealt.mapInArrow(run, schema).unionByName(away)
 
 
 def _within(image: Image, low: np.ndarray, high: np.ndarray, order: int) -> Image:
     """The image's pixels that samples around coordinates in [low, high] can touch, mirrored ones included."""
-    df = image.df
-    for k, size in enumerate(image.shape):
-        a, b = int(np.floor(low[k])) - order - 1, int(np.ceil(high[k])) + order + 1
-        if a <= 0 and b >= size - 1:
-            continue
+    box = []
+    for size, lo, hi in zip(image.shape, low, high):
+        a, b = int(np.floor(lo)) - order - 1, int(np.ceil(hi)) + order + 1
         a, b = min(max(a, 0), size - 1), min(max(b, 0), size - 1)
         if b >= size - 1:
             a = min(a, max(0, size - 2 - order))
         if a <= 0:
             b = max(b, min(size - 1, order + 1))
-        df = df.filter((F.col(f"d{k}") >= a) & (F.col(f"d{k}") <= b))
-    return image.with_df(df)
+        box.append((a, b + 1))
+    return image.within(box)
 
 
 def affine_transform(image: Image, matrix, offset=0.0, output_shape=None, order: int = 1, output_chunks=None, mode: str = "constant", cval: float = 0.0, prefilter: bool = False) -> Image:
@@ -127,7 +233,10 @@ def affine_transform(image: Image, matrix, offset=0.0, output_shape=None, order:
         at.append(x)
     keys = [f"d{k}" for k in range(len(shape))]
     renamed = points.select(*[F.col(c).alias(f"p{k}") for k, c in enumerate(keys)], *[a.alias(f"a{k}") for k, a in enumerate(at)])
-    made = _sample(source, renamed, [f"p{k}" for k in range(len(shape))], [F.col(f"a{k}") for k in range(n)], order, mode, cval)
+    edge, share = max(8, round(_OUTPUT_PIXELS ** (1 / n))), F.lit(0).cast("bigint")
+    for k, s in enumerate(shape):
+        share = share * -(-s // edge) + F.floor(F.col(f"p{k}") / edge)
+    made = _sample(source, renamed, [f"p{k}" for k in range(len(shape))], [F.col(f"a{k}") for k in range(n)], order, mode, cval, share)
     out = made.select(*[F.col(f"p{k}").alias(c) for k, c in enumerate(keys)], _store(image, F.col("value")))
     return Image(out, shape, image.dtype)
 

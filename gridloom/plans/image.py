@@ -39,11 +39,16 @@ def coords(ndim: int) -> list[str]:
 
 @dataclass(frozen=True)
 class Image:
-    """A pixel table with its shape and logical dtype; further columns (labels, a mask) may follow."""
+    """A pixel table with its shape and logical dtype; further columns (labels, a mask) may follow.
+
+    ``folders`` is the edge of the tiles whose numbers the columns t0, ... hold, where the table is
+    partitioned by them; see ``folder_edge``.
+    """
 
     df: DataFrame
     shape: tuple[int, ...]
     dtype: str = "float64"
+    folders: int | None = None
 
     @property
     def ndim(self) -> int:
@@ -65,6 +70,22 @@ class Image:
     def spark(self) -> SparkSession:
         return self.df.sparkSession
 
+    @property
+    def folder_edge(self) -> int | None:
+        """The edge of the tiles that the table is partitioned by, as long as it has their columns."""
+        return self.folders if self.folders and all(f"t{k}" in self.df.columns for k in range(self.ndim)) else None
+
+    def within(self, box: Sequence[tuple[int, int]]) -> Image:
+        """The pixels of a half-open box, in their own coordinates; folders outside it aren't opened."""
+        df, edge = self.df, self.folder_edge
+        for k, (low, high) in enumerate(box):
+            if low <= 0 and high >= self.shape[k]:
+                continue
+            if edge:
+                df = df.filter((F.col(f"t{k}") >= low // edge) & (F.col(f"t{k}") <= (high - 1) // edge))
+            df = df.filter((F.col(f"d{k}") >= low) & (F.col(f"d{k}") <= high - 1))
+        return replace(self, df=df)
+
     def with_df(self, df: DataFrame, dtype: str | None = None) -> Image:
         return replace(self, df=df, dtype=dtype or self.dtype)
 

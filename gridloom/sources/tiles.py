@@ -23,10 +23,11 @@ def write_tiles(image: Image, path: str, edge: int | None = None) -> None:
 
 
 def read_tiles(spark: SparkSession, path: str, box: Sequence[tuple[int, int]] | None = None) -> Image:
-    """The image, or its pixels in a half-open box; its coordinates and shape stay the image's own."""
+    """The image, or its pixels in a half-open box; its coordinates and shape stay the image's own.
+
+    The table keeps its folders' columns, so that what needs a part of the image opens only that.
+    """
     meta = json.loads(spark.read.text(f"{path}/meta").head()[0])
     shape, edge = tuple(meta["shape"]), meta["edge"]
-    df = spark.read.parquet(f"{path}/pixels")
-    for k, (low, high) in enumerate(box or ()):
-        df = df.filter((F.col(f"t{k}") >= low // edge) & (F.col(f"t{k}") <= (high - 1) // edge) & (F.col(f"d{k}") >= low) & (F.col(f"d{k}") < high))
-    return Image(df.drop(*[f"t{k}" for k in range(len(shape))]), shape, meta["dtype"])
+    image = Image(spark.read.parquet(f"{path}/pixels"), shape, meta["dtype"], edge)
+    return image.within(box) if box else image
