@@ -197,9 +197,6 @@ _POWERS = f"k AS (SELECT n::BIGINT AS n, {-6 * _POLE / (1 - _POLE**2)!r} * ({_PO
 _TURN, _HALF = sqrt(3) / 2, 0.5
 _GROWN = floor(64 * (_TURN + _HALF) + 0.5)
 _SHIFT = [31.5 - (_TURN + _HALF) * (_GROWN - 1) / 2, 31.5 - (_TURN - _HALF) * (_GROWN - 1) / 2]
-_LINES = """px AS (SELECT g.d0, g.d1, g.d2, coalesce(s.v, 0) AS v
-    FROM (SELECT a.i AS d0, b.i AS d1, c.i AS d2 FROM (SELECT unnest(generate_series(0, 6))::BIGINT AS i) a CROSS JOIN (SELECT unnest(generate_series(0, 15))::BIGINT AS i) b CROSS JOIN (SELECT unnest(generate_series(0, 15))::BIGINT AS i) c) g
-    LEFT JOIN (SELECT (l_linenumber - 1)::BIGINT AS d0, (l_partkey % 16)::BIGINT AS d1, (l_suppkey % 16)::BIGINT AS d2, count(*) AS v FROM lineitem GROUP BY ALL) s USING (d0, d1, d2))"""
 _ROTATED = f"""SELECT i AS d0, j AS d1, {_TURN!r} * i + {_HALF!r} * j + {_SHIFT[0]!r} AS x0, {-_HALF!r} * i + {_TURN!r} * j + {_SHIFT[1]!r} AS x1
     FROM (SELECT unnest(generate_series(0, {_GROWN - 1}))::BIGINT AS i) CROSS JOIN (SELECT unnest(generate_series(0, {_GROWN - 1}))::BIGINT AS j)"""
 
@@ -208,8 +205,6 @@ ORACLE_SQL |= {
     "interp_rotate_30": f"WITH {PART_DAYS}, {_linear(_ROTATED, 'c.d0, c.d1')} SELECT p.d0, p.d1, round(coalesce(m.r, 0), 6) AS r FROM p LEFT JOIN m USING (d0, d1)",
     "interp_spline_filter1d": f"WITH {PART_DAYS}, {_POWERS} SELECT d0, d1, round(v, 6) AS r FROM ({_coefficients('px', 0)})",
     "interp_spline_filter": f"WITH {PART_DAYS}, {_POWERS}, f AS MATERIALIZED ({_coefficients('px', 0)}) SELECT d0, d1, round(v, 6) AS r FROM ({_coefficients('f', 1)})",
-    "io_imread": f"WITH {_LINES} SELECT d0, d1, d2, v::BIGINT AS r FROM px",
-    "io_imread_files": f"WITH {_LINES} SELECT CASE d0 WHEN 1 THEN 0 ELSE 1 END::BIGINT AS d0, d1, d2, v::BIGINT AS r FROM px WHERE d0 IN (1, 3)",
 }
 
 
@@ -241,6 +236,8 @@ _DIAMOND = "SELECT a, b FROM (SELECT unnest(generate_series(-20, 20))::BIGINT AS
 
 ORACLE_SQL |= {
     "filter_uniform_volume": _volume([(0, 21, "avg", _REFLECT), (1, 5, "avg", _REFLECT), (2, 41, "avg", _REFLECT)], "round(v, 6)"),
+    "io_imread": f"WITH {SUPPLIER_LINES} SELECT d0, d1, d2, v::BIGINT AS r FROM px",
+    "io_imread_files": f"WITH {SUPPLIER_LINES} SELECT d0, d1, d2, v::BIGINT AS r FROM px",
     "filter_range_volume": _volume([(0, 15, "max", _WRAP), (1, 3, "max", _WRAP), (2, 31, "max", _WRAP), (0, 21, "min", _NEAREST), (2, 9, "min", _NEAREST)], "v::BIGINT"),
     # out[i] = any in[i - k + size // 2 + origin]: 15 and 9 places up and down of the shifted centre.
     "morph_dilation_wide": f"""WITH {SUPPLIER_WEEKS}, k(a, b) AS (SELECT a, b FROM (SELECT unnest(generate_series(-5, 9))::BIGINT AS a) CROSS JOIN (SELECT unnest(generate_series(-5, 3))::BIGINT AS b)),

@@ -17,7 +17,8 @@ from .operators.label import label
 from .plans.blocks import Blocks
 from .plans.image import Image
 from .plans.scratch import scratch_dir
-from .sources.imread import encode_tiff, imread
+from .sources.imread import imread
+from .sources.imwrite import write_frames, write_stack
 
 WEEKS = 358
 MONTHS = 84
@@ -294,37 +295,20 @@ def interp_spline_filter1d(spark, sf_dir):
     return _close(interp.spline_filter1d(part_days(spark, sf_dir), axis=0))
 
 
-def _written(spark: SparkSession, path: str, frames: np.ndarray) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(encode_tiff(frames)))
-    out.close()
-
-
-def line_counts(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    """A stack of 7 frames of 16 by 16: lineitems by line number, part and supplier."""
-    keys = [(F.col("l_linenumber") - 1).alias("d0"), (F.col("l_partkey") % 16).alias("d1"), (F.col("l_suppkey") % 16).alias("d2")]
-    frames = np.zeros((7, 16, 16), "int32")
-    for r in _table(spark, sf_dir, "lineitem").groupBy(*keys).count().filter("d0 BETWEEN 0 AND 6").collect():
-        frames[r["d0"], r["d1"], r["d2"]] = r["count"]
-    return frames
-
-
 def io_imread(spark, sf_dir):
-    """A file of seven pages, written to the shared folder and read in batches of two."""
+    """A file with a page for each supplier, written to the shared folder and read in batches of four pages."""
     path = f"{scratch_dir(spark)}/stack.tif"
-    _written(spark, path, line_counts(spark, sf_dir))
+    write_stack(supplier_lines(spark, sf_dir), path)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", RuntimeWarning)
-        found = imread(spark, path, nframes=2)
+        found = imread(spark, path, nframes=4)
     return found.df.select(*found.coords, F.col("value").cast("bigint").alias("r"))
 
 
 def io_imread_files(spark, sf_dir):
-    """Two files, of which the first frames are read in natural order."""
-    folder, frames = scratch_dir(spark), line_counts(spark, sf_dir)
-    for name, first in (("10", 3), ("9", 1)):
-        _written(spark, f"{folder}/{name}.tif", frames[first:])
+    """A file for each supplier, read in natural order."""
+    folder = scratch_dir(spark)
+    write_frames(supplier_lines(spark, sf_dir), folder)
     found = imread(spark, f"{folder}/*.tif")
     return found.df.select(*found.coords, F.col("value").cast("bigint").alias("r"))
 

@@ -8,14 +8,19 @@ import pyarrow as pa
 from pyarrow import fs
 
 
-def open_ranges(path: str) -> pa.NativeFile:
-    """A file that is read by seeking; ``path`` is a URI as Spark lists it, or a plain path.
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and its place there; ``path`` is a URI as Spark lists it, or a plain path.
 
-    A local file is opened by its own name, as Spark's names aren't escaped.
+    A local file goes by its own name, as Spark's names aren't escaped.
     """
     if "://" not in path or path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(re.sub("^file:/*", "/", path))
-    store, place = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
+def open_ranges(path: str) -> pa.NativeFile:
+    """A file that is read by seeking."""
+    store, place = store_of(path)
     return store.open_input_file(place)
 
 

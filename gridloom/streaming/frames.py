@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.imread import decode_frame, frames_of
+from ..sources.imread import frames_of
 
 
 def frame_pixels(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -17,7 +17,7 @@ def frame_pixels(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
     def run(batches):
         for batch in batches:
             for path, time, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                for k, frame in enumerate(map(decode_frame, frames_of(path, data))):
+                for k, frame in enumerate(frames_of(path, data)):
                     at = np.indices(frame.shape)
                     n = frame.size
                     yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([time.as_py()] * n, batch.schema.field(1).type), pa.array(np.full(n, k, np.int64)), pa.array(at[0].ravel()), pa.array(at[1].ravel()), pa.array(frame.ravel().astype(float))], names=["path", "modified", "frame", "d0", "d1", "value"])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom import Image, imread, read_tiles, write_tiles
 from gridloom.plans.boundary import fold
-from gridloom.sources.imread import decode_tiff, encode_tiff, natural_key, unpack_bits, unpack_lzw
+from gridloom.sources.imread import FrameSource, decode_tiff, encode_tiff, frame_at, natural_key, numbered, reader_of, tiff_directory, unpack_bits, unpack_lzw
+from gridloom.sources.imwrite import write_frames, write_stack
 from gridloom.streaming.frames import frame_pixels, frame_statistics
 
 from . import reference as ref
@@ -138,13 +139,103 @@ def test_tiff_odd_tags():
     assert unpack_lzw(lzw(long)) == long and unpack_bits(bits(long[-7000:])) == long[-7000:]
 
 
-def test_pages_are_dealt_and_the_driver_gets_none(spark, tmp_path):
+def test_pages_are_read_by_their_tasks(spark, tmp_path):
+    """Two pages a partition, and nothing shuffles."""
     frames = np.arange(7 * 6 * 5, dtype="int32").reshape(7, 6, 5)
     (tmp_path / "a.tif").write_bytes(encode_tiff(frames))
     with pytest.warns(RuntimeWarning):
         image = imread(spark, str(tmp_path / "a.tif"), nframes=2)
     np.testing.assert_array_equal(image.to_numpy(), frames)
-    assert "hashpartitioning" in image.df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in image.df._jdf.queryExecution().executedPlan().toString()
+    parts = image.df.groupBy(F.spark_partition_id()).agg(F.min("d0"), F.max("d0")).collect()
+    assert sorted(tuple(r)[1:] for r in parts) == [(0, 1), (2, 3), (4, 5), (6, 6)]
+
+
+def test_a_task_reads_its_own_ranges(tmp_path):
+    """A page's directory and pieces, and of the others' directories only their heads."""
+    frames = np.arange(50 * 40 * 30, dtype="int32").reshape(50, 40, 30)
+    data, seen = encode_tiff(frames), []
+
+    def read(at, size):
+        seen.append((at, size))
+        return data[at : at + size]
+
+    places = list(tiff_directory(read))
+    assert len(places) == 50 and sum(n for _, n in seen) < 50 * 64
+    seen.clear()
+    np.testing.assert_array_equal(frame_at("a.tif", read, places[31]), frames[31])
+    assert sum(n for _, n in seen) < 40 * 30 * 4 + 300
+
+
+def test_a_file_of_many_gigabytes(spark, tmp_path):
+    """A BigTIFF whose pages lie beyond four gigabytes, with holes between them, and a large array."""
+    image = np.arange(20, dtype="uint16").reshape(4, 5)
+    page = tiff(image, big=True, rows=2)
+    with open(tmp_path / "big.tif", "wb") as f:
+        f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 5 << 30))
+        for k in range(3):
+            at = (5 + k) << 30
+            f.seek(at)
+            data = 100 * k + image
+            tags = [(256, 4, 5), (257, 4, 4), (258, 3, 16), (259, 3, 1), (273, 16, at + 512), (277, 3, 1), (278, 4, 4), (279, 4, 40), (339, 3, 1)]
+            f.write(struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", t, kind, 1, v) for t, kind, v in tags) + struct.pack("<Q", (6 + k) << 30 if k < 2 else 0))
+            f.seek(at + 512)
+            f.write(data.astype("<u2").tobytes())
+    np.testing.assert_array_equal(imread(spark, str(tmp_path / "big.tif")).to_numpy(), np.stack([100 * k + image for k in range(3)]))
+    assert decode_tiff(page).shape == (1, 4, 5)
+    with pytest.raises(ValueError, match="circle"):
+        list(tiff_directory(reader_of(struct.pack("<2sHIHI", b"II", 42, 8, 0, 8))))
+
+
+def test_arrays_in_either_order(spark, tmp_path):
+    a = np.arange(60, dtype=">i4").reshape(5, 4, 3)
+    np.save(tmp_path / "c.npy", a)
+    np.save(tmp_path / "f.npy", np.asfortranarray(a))
+    for name in "cf":
+        image = imread(spark, str(tmp_path / f"{name}.npy"))
+        assert image.dtype == "int32"
+        np.testing.assert_array_equal(image.to_numpy(), a)
+
+
+def test_written_frames_and_stacks(spark, tmp_path):
+    """By the tasks that have the frames, a file each or one BigTIFF of all; read back by ranges."""
+    for dtype in ("uint8", "int32", "float64"):
+        a = np.random.default_rng(9).integers(0, 200, (13, 4, 5)).astype(dtype)
+        image = Image.from_numpy(spark, a)
+        write_stack(image, f"{tmp_path}/{dtype}.tif")
+        np.testing.assert_array_equal(decode_tiff((tmp_path / f"{dtype}.tif").read_bytes()), a)
+        np.testing.assert_array_equal(imread(spark, f"{tmp_path}/{dtype}.tif").to_numpy(), a)
+        write_frames(image, f"{tmp_path}/{dtype}")
+        assert len(list((tmp_path / dtype).glob("*.tif"))) == 13
+        np.testing.assert_array_equal(imread(spark, f"{tmp_path}/{dtype}/*.tif").to_numpy(), a)
+    with pytest.raises(ValueError):
+        write_stack(Image.from_numpy(spark, np.zeros(3)), f"{tmp_path}/x.tif")
+
+
+def test_the_data_source_by_itself(spark, tmp_path):
+    frames = np.arange(24, dtype="uint8").reshape(4, 2, 3)
+    (tmp_path / "a.tif").write_bytes(encode_tiff(frames))
+    spark.dataSource.register(FrameSource)
+    df = spark.read.format("gridloom_frames").option("nframes", 3).load(str(tmp_path / "a.tif"))
+    assert df.schema.simpleString() == "struct<d0:bigint,d1:bigint,d2:bigint,value:smallint>" and df.rdd.getNumPartitions() == 2
+    assert df.filter("d0 = 2").agg(F.sum("value")).head()[0] == frames[2].sum()
+
+
+def test_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    """Files come as rows of binaryFile; the results are the same."""
+    from gridloom.sources import imread as module
+
+    monkeypatch.setattr(module, "_reachable", lambda path: False)
+    frames = np.arange(24, dtype="uint8").reshape(4, 2, 3)
+    for k in (9, 10):
+        (tmp_path / f"{k}.tif").write_bytes(encode_tiff(frames + k))
+    np.testing.assert_array_equal(imread(spark, str(tmp_path / "9.tif")).to_numpy(), frames + 9)
+    np.testing.assert_array_equal(imread(spark, str(tmp_path / "*.tif")).to_numpy(), np.stack([frames[0] + 9, frames[0] + 10]))
+
+
+def test_no_files(spark, tmp_path):
+    with pytest.raises(Exception, match="no image files|PATH_NOT_FOUND"):
+        imread(spark, str(tmp_path / "none*.tif"))
 
 
 def test_natural_order(spark, tmp_path):
@@ -154,6 +245,15 @@ def test_natural_order(spark, tmp_path):
     assert sorted(["a10", "a9", "a"], key=natural_key) == ["a", "a9", "a10"]
 
 
+def test_paths_are_numbered_as_they_sort(spark):
+    """Over several partitions, with numbers of any length and equal ones."""
+    rng = np.random.default_rng(8)
+    paths = [f"file:/x/{'ab'[k % 2]}{rng.integers(0, 10 ** rng.integers(1, 12))}-{k}.tif" for k in range(300)] + ["file:/x/a007-1.tif", "file:/x/a7-1.tif"]
+    got = numbered(spark.createDataFrame([(p,) for p in paths], "path string").repartition(5)).orderBy("frame").collect()
+    assert [r.frame for r in got] == list(range(len(paths)))
+    assert [natural_key(r.path) for r in got] == sorted(map(natural_key, paths))
+
+
 def test_numpy_files_and_nframes(spark, tmp_path):
     a = np.arange(24.0).reshape(4, 2, 3)
     np.save(tmp_path / "a.npy", a)
