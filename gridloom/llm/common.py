@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,18 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def keeps_columns(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For an operator that returns rows of ``docs`` as they are: inside it, all columns but doc_id and
+    text have names that nothing of its own can have, so no name of the caller's clashes."""
+
+    @wraps(fn)
+    def kept(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        apart = docs.toDF(*[c if c in ("doc_id", "text") else f"__of_caller_{k}" for k, c in enumerate(docs.columns)])
+        return fn(apart, *args, **kwargs).toDF(*docs.columns)
+
+    return kept
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns are left unread."""
     return docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keeps_columns, materialize
 
 _SPACE = " \t\n\v\f\r"
 _BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
@@ -93,6 +93,7 @@ def decide(docs: DataFrame, salts: int = 256, bits_per_row: int = 16, max_bits:
     return single.unionByName(told)
 
 
+@keeps_columns
 def deduplicate(docs: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. Rows without an equal don't shuffle."""
     digests = _digests(docs)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, met_in_tiles, spread_lookup, texts_of
+from .common import keeps_columns, map_batches, materialize, met_in_tiles, spread_lookup, texts_of
 from .simhash import connected
 
 SHINGLE_WORDS = 5
@@ -183,47 +183,69 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, wo
     return both.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
+class _Holders:
+    """Which sets hold each value, for a part of the sets."""
+
+    def __init__(self, own: list[np.ndarray], chosen: np.ndarray):
+        values = np.concatenate([own[k] for k in chosen.tolist()]) if len(chosen) else np.zeros(0, np.int32)
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.sets = np.repeat(chosen.astype(np.int32), [len(own[k]) for k in chosen.tolist()])[order]
+        self.size = len(chosen)
+
+    def common(self, own: np.ndarray, sets: int) -> np.ndarray:
+        """How many of the values ``own`` each set holds."""
+        first, last = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
+        sizes = last - first
+        ends = sizes.cumsum()
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.sets[at], minlength=sets)
+
+
 def set_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Links (places in ``sets``) that join sets as all pairs of Jaccard ``threshold`` or more would.
 
-    Breadth first: a set that was reached is compared with those not reached yet, so a dense
-    group is used up after a few rounds.
+    Breadth first: a set that was reached is compared with those not reached yet that share a value
+    with it, so a dense group is used up after a few rounds and unlike sets cost their values.
     """
-    sizes = np.array([len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    own = [at[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist())]
-    links, rest, inside = [], np.arange(1, len(sets)), np.zeros(len(values), bool)
-    frontier = [0]
-    while len(rest):
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(at.astype(np.int32), sizes.cumsum()[:-1])
+    left = np.ones(n, bool)
+    left[0] = False
+    links, frontier, holders = [], [0], _Holders(own, np.arange(1, n))
+    while left.any():
         if not frontier:
-            frontier, rest = [int(rest[0])], rest[1:]
+            frontier = [int(np.argmax(left))]
+            left[frontier[0]] = False
             continue
+        if 2 * left.sum() < holders.size:
+            holders = _Holders(own, np.flatnonzero(left))
         a = frontier.pop()
-        inside[own[a]] = True
-        within = np.concatenate([own[b] for b in rest.tolist()])
-        common = np.add.reduceat(inside[within], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
-        inside[own[a]] = False
-        near = common / (sizes[rest] + sizes[a] - common) >= threshold
-        found = rest[near].tolist()
-        rest = rest[~near]
+        common = holders.common(own[a], n)
+        found = np.flatnonzero(left & (common >= threshold * (sizes + sizes[a] - common)) & (common > 0)).tolist()
+        left[found] = False
         links += [(a, b) for b in found]
         frontier += found
     return links
 
 
-def class_links(classes: DataFrame, threshold: float = 0.8, block: int = 1000) -> DataFrame:
+def class_links(classes: DataFrame, threshold: float = 0.8, block: int = 1000, shingles: int = 1 << 21) -> DataFrame:
     """Links (a, b) between rows (id, hashes, bands) with the same connected parts as all pairs
     that share a band and have a Jaccard of ``threshold`` or more.
 
     Of band keys that hold the same rows one is taken. The rows of a key are compared in one
-    task; a key of more than ``block`` rows is dealt over parts, and each two parts meet in a task.
+    task; a key of more than ``block`` rows, or of ``shingles`` in all, is dealt over parts, and each
+    two parts meet in a task.
     """
-    banded = classes.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("at"))
+    size = F.octet_length("hashes") / 4
+    sized = classes.select("id", size.cast("bigint").alias("size"), F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("at"))
+    banded = sized.drop("size")
     digest = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    held = banded.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("least"), *digest).filter("n > 1")
-    once = held.groupBy("n", "least", "x0", "x1").agg(F.min("at").alias("at"))
-    shared = materialize(once.select("at", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    held = sized.groupBy("at").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("least"), *digest).filter("n > 1")
+    once = held.groupBy("n", "size", "least", "x0", "x1").agg(F.min("at").alias("at"))
+    parts = F.greatest(F.ceil(F.col("n") / block), F.least(F.col("n"), F.ceil(F.col("size") / shingles)))
+    shared = materialize(once.select("at", parts.cast("int").alias("parts")))
     dealt = met_in_tiles(spread_lookup(banded, "at", shared), "at", "id")
     tiles = dealt.select("id", "tile").join(classes.select("id", "hashes"), "id").select("tile", "id", "hashes")
 
@@ -247,6 +269,7 @@ def class_links(classes: DataFrame, threshold: float = 0.8, block: int = 1000) -
     return map_batches(tiles.repartition("tile").sortWithinPartitions("tile"), run, "a bigint, b bigint")
 
 
+@keeps_columns
 def deduplicate(docs: DataFrame, threshold: float = 0.8, bands: int = 32, words: int = SHINGLE_WORDS, permutations: int = PERMUTATIONS) -> DataFrame:
     """One row of each group that links of shingle Jaccard ``threshold`` or more join, with its columns.
 

@@ -11,7 +11,11 @@ prefix of a format (and the separators in it) and its length are learnt, not its
 
 Credentials of several segments, or of no fixed length, have an automaton of their own, in which
 states of any depth merge, so that loops are learnt. Besides a whole candidate, its parts between
-separators are scored, as a credential may be glued to a name, a path or an address.
+separators are scored, as a credential may be glued to a name, a path or an address: from each
+start that a format may have, one pass carries the likelihood along and takes the last end where it
+is enough; starts within what was taken are passed over. A start is given up when it lies far below
+what it must gain, or where an earlier one was in the same state with no less, so a token of any
+length costs about its length.
 
 Formats outside the list are found by their shape alone: one automaton is learnt from the classes
 of all labelled credentials, prefix and all, another from those of plain tokens (words, names of
@@ -30,7 +34,9 @@ import math
 import pickle
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,8 +89,19 @@ SEGMENTED = (
     ("sk-proj-", (("url", 40, 160),), ""),
     ("sk-ant-", (("url", 40, 110),), ""),
 )
+# Further ones, of which no shape is learnt, as hexadecimal digits are in names and sums too.
+UNSHAPED = (
+    ("key-", (("lowhex", 32, 32),), ""),
+    ("shpat_", (("lowhex", 32, 32),), ""),
+    ("dop_v1_", (("lowhex", 64, 64),), ""),
+    ("ya29.", (("url", 60, 220),), ""),
+)
 _ALPHABETS |= {"url": _ALPHABETS["alnum"] + "-_", "lowhex": "0123456789abcdef"}
 _SEPARATORS = "=/.+-_"
+#: A start is given up when it lies so many nats below what a credential must gain.
+_GIVEN_UP = 60.0
+#: Characters of a start after which only states and classes decide what follows.
+_SETTLED = 16
 #: The least length of a credential known by its shape alone, and the parts that may be one.
 _SHAPED = 20
 #: The threshold lies by a margin (nats) above what this share of further plain tokens gains.
@@ -100,14 +117,14 @@ def labelled_credentials(each: int = 40, seed: int = 5) -> list[str]:
     return [prefix + "".join(rng.choice(_ALPHABETS[kind]) for _ in range(length)) for prefix, kind, length in FORMATS for _ in range(each)]
 
 
-def labelled_segmented(each: int = 200, seed: int = 6) -> list[tuple[str, str]]:
+def labelled_segmented(each: int = 200, seed: int = 6, formats=SEGMENTED) -> list[tuple[str, str]]:
     """Made-up credentials of segments, as (prefix, the rest)."""
     rng = random.Random(seed)
 
     def segment(kind, least, most):
         return "".join(rng.choice(_ALPHABETS[kind]) for _ in range(rng.randint(least, most)))
 
-    return [(prefix, between.join(segment(*part) for part in parts)) for prefix, parts, between in SEGMENTED for _ in range(each)]
+    return [(prefix, between.join(segment(*part) for part in parts)) for prefix, parts, between in formats for _ in range(each)]
 
 
 def classes(rest: str) -> str:
@@ -276,6 +293,20 @@ class Automaton:
         return total + math.log((self.ends[state] + smooth) / (self.seen[state] + smooth * 64))
 
 
+class Compiled:
+    """An automaton's moves with their log-probabilities, as ``log_likelihood`` has them."""
+
+    def __init__(self, automaton: Automaton, smooth: float = 0.02):
+        self.moves: list[dict[str, tuple[int, float]]] = []
+        self.lost: list[float] = []
+        self.ends: list[float] = []
+        for moves, seen, ends in zip(automaton.moves, automaton.seen, automaton.ends):
+            n = seen + smooth * 64
+            self.moves.append({c: (to, math.log((count + smooth) / n)) for c, (to, count) in moves.items() if count})
+            self.lost.append(math.log(smooth / n) + (0 if moves else math.log(smooth)))
+            self.ends.append(math.log((ends + smooth) / n))
+
+
 class Scanner:
     """Base patterns and the learnt formats."""
 
@@ -290,9 +321,9 @@ class Scanner:
         #: Automata and plain characters of credentials of segments, by prefix.
         self.segmented: dict[str, tuple[Automaton, dict[str, float], int]] = {}
         rests: dict[str, list[str]] = {}
-        for prefix, rest in labelled_segmented() if credentials is None else ():
+        for prefix, rest in labelled_segmented(formats=SEGMENTED + UNSHAPED) if credentials is None else ():
             rests.setdefault(prefix, []).append(classes(rest))
-        least = {prefix: sum(n for _, n, _ in parts) + len(between) * (len(parts) - 1) for prefix, parts, between in SEGMENTED}
+        least = {prefix: sum(n for _, n, _ in parts) + len(between) * (len(parts) - 1) for prefix, parts, between in SEGMENTED + UNSHAPED}
         for prefix, known in rests.items():
             counts = Counter(c for w in known for c in w)
             plain = {c: math.log(n / counts.total()) for c, n in counts.items()}
@@ -305,6 +336,8 @@ class Scanner:
         self.least_shape = gains[int(_PLAIN_BELOW * len(gains))] + _SHAPE_MARGIN
         #: The first three characters of all credentials: no part that begins otherwise scores.
         self.heads = {w[:3] for w in words} | {p[:3] for p in self.segmented}
+        self.compiled = Compiled(self.automaton)
+        self.compiled_segmented = {prefix: (Compiled(automaton), plain, least) for prefix, (automaton, plain, least) in self.segmented.items()}
 
     def score(self, token: str) -> float:
         """Likelihood gained per character over plain characters. Credentials of known formats
@@ -334,27 +367,71 @@ class Scanner:
         fixed = self.score(token) if self.background.keys() >= set(symbols(token)[4:]) else -math.inf
         return max(fixed, self.segmented_score(token))
 
-    def parts(self, token: str) -> list[tuple[int, int]]:
-        """Where credentials lie in a candidate: of parts between separators the best-scoring first, each as long as it scores."""
-        found = []
-        starts = [k for k in range(len(token)) if (k == 0 or token[k - 1] in _SEPARATORS) and token[k : k + 3] in self.heads]
+    def _last_end(self, automaton: Compiled, letters, plain, least: int, token: str, start: int, seen: dict) -> int:
+        """The last end of a part from ``start`` that gains enough, or 0.
+
+        ``letters(k)`` is what the automaton reads at ``k`` of the token (None: no part goes on) and
+        ``plain`` the log-probability of it in plain text. ``seen`` holds, by place and state, the
+        most that a start which has gone by had over what it must gain.
+        """
+        moves, lost, ends, n = automaton.moves, automaton.lost, automaton.ends, len(token)
+        state, over, found = 0, 0.0, 0
+        for at in range(start, n + 1):
+            length = at - start
+            if length >= least and (at == n or token[at] in _SEPARATORS) and token[at - 1] not in ".=-" and over + ends[state] >= 0:
+                found = at
+            if at == n or (c := letters(at)) is None:
+                break
+            if length >= _SETTLED:
+                if seen.get((at, state), -math.inf) >= over:
+                    break
+                seen[at, state] = over
+            to, gain = moves[state].get(c) or (state, lost[state])
+            state, over = to, over + gain - plain(c) - self.gain
+            if over < -_GIVEN_UP:
+                break
+        return found
+
+    def _format_end(self, token: str, kinds: str, start: int, seen: dict[str, dict]) -> int:
+        """The last end of a part from ``start`` that scores by any automaton, or 0."""
+        head = token[start : start + 11]
+        cut = start + (max((head.rfind(c) for c in "_-."), default=-1) + 1 or 4)
+        background, other = self.background, self.other
+
+        def letters(at):
+            c = token[at] if at < cut else kinds[at]
+            return c if at < start + 4 or c in background else None
+
+        end = self._last_end(self.compiled, letters, lambda c: background.get(c, other), 16, token, start, seen.setdefault("", {}))
+        for prefix, (automaton, plain, least) in self.compiled_segmented.items():
+            if token.startswith(prefix, start):
+                rest = start + len(prefix)
+                end = max(end, self._last_end(automaton, lambda at: kinds[at] if kinds[at] in plain else None, plain.__getitem__, max(least, 16 - len(prefix)), token, rest, seen.setdefault(prefix, {})))
+        return end
+
+    def parts(self, token: str, shapes: bool = True) -> list[tuple[int, int]]:
+        """Where credentials lie in a candidate, from left to right: parts of known formats, each as long
+        as it scores, and with ``shapes`` parts that have the shape of one."""
+        kinds, n, at = classes(token), len(token), 0
+        starts = [k for k in range(n - 15) if (k == 0 or token[k - 1] in _SEPARATORS) and token[k : k + 3] in self.heads]
         if len(token.rstrip(".=-")) >= 16 and 0 not in starts and self.part_score(token.rstrip(".=-")) >= self.gain:
             starts.insert(0, 0)
-        for a in starts:
-            ends = [k for k in range(a + 16, min(len(token), a + 1200)) if token[k] in _SEPARATORS] + [len(token)]
-            for b in reversed(ends):
-                b = a + len(token[a:b].rstrip(".=-"))
-                if b - a >= 16 and (score := self.part_score(token[a:b])) >= self.gain:
-                    found.append((-score, a, b))
-                    break
         taken: list[tuple[int, int]] = []
-        for _, a, b in sorted(found):
-            if not any(s < b and a < e for s, e in taken):
-                taken.append((a, b))
+        seen: dict[str, dict] = {}
+        for a in starts:
+            if a >= at and (end := self._format_end(token, kinds, a, seen)):
+                taken.append((a, end))
+                at = end
+        if not shapes:
+            return taken
+        found, rest = [], iter([*taken, (n, n)])
+        start, end = next(rest)
         for m in _SHAPED_PART.finditer(token):
-            if not any(s < m.end() and m.start() < e for s, e in taken) and self.shape_gain(m.group()) >= self.least_shape:
-                taken.append(m.span())
-        return taken
+            while end <= m.start() and end < n:
+                start, end = next(rest)
+            if (m.end() <= start or end <= m.start()) and self.shape_gain(m.group()) >= self.least_shape:
+                found.append(m.span())
+        return sorted(taken + found)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the fixed patterns' matches."""
@@ -369,14 +446,16 @@ class Scanner:
                     found.append((m.start(), k, m.end()))
         return found
 
-    def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    def spans(self, text: str, shapes: bool = True) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans and all spans, sorted by start and then kind. A part that lies within a base span adds none."""
         base = sorted(self.base(text))
+        starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
         more = []
         for m in CANDIDATE.finditer(text):
-            for a, b in self.parts(m.group()):
+            for a, b in self.parts(m.group(), shapes):
                 a, b = m.start() + a, m.start() + b
-                if not any(s <= a and b <= e for s, _, e in base):
+                before = bisect_right(starts, a)
+                if not before or furthest[before - 1] < b:
                     more.append((a, len(BASE), b))
         return base, sorted(base + more)
 
@@ -414,8 +493,12 @@ def redact_text(text: str, spans: list[tuple[int, int, int]], mask: str = "<{}>"
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """``docs`` with all spans of text replaced; a column n_chars is set to the new length."""
+def redact(docs: DataFrame, scanner: Scanner, shapes: bool = False) -> DataFrame:
+    """``docs`` with the spans of text replaced; a column n_chars is set to the new length.
+
+    Only fixed patterns and known formats are overwritten: a shape alone may be a checksum or a
+    name, so it is reported by ``scan`` and replaced with ``shapes`` only.
+    """
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scanner))
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -425,7 +508,7 @@ def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
         for batch in batches:
             texts, sizes = batch.column(at).to_pylist(), None if chars is None else batch.column(chars).to_pylist()
             for k, text in enumerate(texts):
-                if text and (spans := own.spans(text)[1]):
+                if text and (spans := own.spans(text, shapes)[1]):
                     texts[k] = redact_text(text, spans)
                     if sizes is not None:
                         sizes[k] = len(texts[k])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, met_in_tiles, spread_lookup, texts_of
+from .common import keeps_columns, map_batches, materialize, met_in_tiles, spread_lookup, texts_of
 
 SEGMENT_BITS = 2
 _HALF = 32
@@ -241,6 +241,7 @@ def components(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42) -
     return spread_lookup(rows, "fp", materialize(classes)).select("doc_id", "fp", "component_id")
 
 
+@keeps_columns
 def deduplicate(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their component, with their columns.
 

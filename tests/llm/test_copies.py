@@ -290,3 +290,44 @@ def test_ranges_are_looked_up_in_two_levels(spark):
         cuts = sorted(set(rng.integers(-50, 50, n).tolist()))
         rows = spark.range(-60, 61).select("id", minhash._cuts_up_to(F.col("id"), cuts).alias("n")).collect()
         assert all(r.n == sum(c <= r.id for c in cuts) for r in rows)
+
+
+def test_columns_of_the_caller_keep_their_names(spark):
+    """Columns named as an operator's own ones, in any case, come back as they were."""
+    names = ["doc_id", "__near_row", "text", "row", "id", "tile", "root", "best", "__dedup_row", "__dedup_sha", "fp", "__salt", "class", "ROOT2", "__of_caller_1"]
+    rows = [tuple(f"c{k}-{j}" if c not in ("doc_id", "text") else k if c == "doc_id" else ("some words that repeat in all of these texts here " * 4 + str(k % 2)) for j, c in enumerate(names)) for k in range(5)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'bigint' if c == 'doc_id' else 'string'}" for c in names))
+    for operator in (minhash.deduplicate, exact_dedup.deduplicate, simhash.deduplicate):
+        kept = operator(docs)
+        assert kept.columns == names and 1 <= kept.count() <= 2
+        assert set(map(tuple, kept.collect())) <= set(rows)
+
+
+def test_links_of_sets_join_as_all_pairs_do():
+    """Families of near sets, unlike ones, and sets of one and no value."""
+    rng = np.random.default_rng(13)
+    for _ in range(30):
+        base = [rng.choice(1000, 40, replace=False) for _ in range(4)]
+        sets = [np.unique(np.concatenate([b[rng.random(40) < 0.95], rng.choice(1000, 2)])).astype(np.uint32) for b in base for _ in range(6)]
+        sets += [np.array([1], np.uint32), np.array([1], np.uint32), np.array([2], np.uint32)]
+        rng.shuffle(sets)
+        near = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        found = minhash.set_links(sets, 0.8)
+        assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in near}
+
+        def groups(links):
+            root = list(range(len(sets)))
+            for a, b in links:
+                ra, rb = root[a], root[b]
+                root = [ra if r == rb else r for r in root]
+            return [root.index(r) for r in root]
+
+        assert groups(found) == groups(near)
+
+
+def test_many_unlike_sets_are_quick():
+    import time
+
+    rng, began = np.random.default_rng(14), time.time()
+    assert minhash.set_links([np.unique(rng.integers(0, 1 << 32, 1000, dtype=np.uint32)) for _ in range(2000)], 0.8) == []
+    assert time.time() - began < 5

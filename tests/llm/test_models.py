@@ -347,3 +347,40 @@ def test_formats_outside_the_list_are_found_by_shape(spark, texts):
         word = secret_scan.classes(w)
         assert abs(forward(scanner.shapes, word, 0.5) - forward(scanner.plain_shapes, word, 0.5) - scanner.shape_gain(w)) < 1e-6
     assert not any(k == len(secret_scan.BASE) for t in texts.values() for _, k, _ in scanner.spans(t)[1])
+
+
+def test_long_tokens_take_their_length():
+    """Tokens whose every part may begin a credential, and many base spans in one text."""
+    import time
+
+    scanner = secret_scan.Scanner()
+    for text in ("eyJa." * 200_000, "ghp_" * 50_000, "xoxb-1234567890-" * 20_000, "token=abc123 " * 20_000):
+        began = time.time()
+        scanner.spans(text)
+        assert time.time() - began < 10
+
+
+def test_long_credentials_are_found_whole():
+    """Of thousands of characters, with and without more after them; formats of hexadecimal digits with their prefix."""
+    scanner, rng = secret_scan.Scanner(), random.Random(33)
+    url = secret_scan._ALPHABETS["alnum"] + "-_"
+
+    def some(n, of=url):
+        return "".join(rng.choice(of) for _ in range(n))
+
+    for _ in range(15):
+        for word in (f"eyJ{some(33)}.{some(5000)}.{some(42)}x", f"ya29.{some(140)}a", "key-" + some(32, "0123456789abcdef"), "shpat_" + some(32, "0123456789abcdef"), "dop_v1_" + some(64, "0123456789abcdef")):
+            for form in ("{}", "{}/tail"):
+                assert any(a <= 4 and b >= 4 + len(word) for a, _, b in scanner.spans(f"see {form.format(word)} here")[1])
+
+
+def test_shapes_are_told_but_not_overwritten(spark):
+    """A checksum has the shape of a credential; only fixed patterns and known formats are replaced."""
+    scanner = secret_scan.Scanner()
+    sure = "token = hunter2secret, ghp_" + "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"
+    unsure = "sum Zk3Pq8Rw1Xv6Yb4Nc9Md2Lf7Ge5Hj0Ks3Ta8Ub1 of it"
+    assert any(k == len(secret_scan.BASE) for _, k, _ in scanner.spans(unsure)[1]) and not scanner.spans(unsure, shapes=False)[1]
+    docs = spark.createDataFrame([(1, sure), (2, unsure)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs, scanner).collect()}
+    assert got == {1: "<assign>, <format>", 2: unsure}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs, scanner, shapes=True).collect()}[2] == "sum <format> of it"
