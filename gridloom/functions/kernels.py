@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb, factorial, sqrt
+from math import ceil, comb, factorial, log, sqrt
 
 import numpy as np
 from pyspark.sql import Column
@@ -98,3 +98,35 @@ def prefilter_lines(lines: np.ndarray, order: int, boundary: str) -> np.ndarray:
             c[..., i] = z * (c[..., i + 1] - c[..., i])
     return c
 
+
+def spline_depth(order: int, tolerance: float = 1e-18) -> int:
+    """How far a sample's weight in the coefficients goes: the largest pole's power below ``tolerance``."""
+    return 0 if order < 2 else ceil(log(tolerance) / log(max(map(abs, poles(order)))))
+
+
+def prefilter_stretch(samples: np.ndarray, order: int) -> np.ndarray:
+    """Spline coefficients along the last axis of a stretch of a longer line; those ``spline_depth`` from its ends are right.
+
+    Both recursions begin as if the stretch's end went on unchanged, which a pole's powers forget.
+    A few long lines are cut into many that overlap, so that a step works on many values.
+    """
+    c = np.array(samples, float)
+    n, depth, step = c.shape[-1], spline_depth(order), 512
+    if c.size // n < 64 and n > 4 * (step + 2 * depth):
+        parts = -(-(n - 2 * depth) // step)
+        long = np.concatenate([c, np.repeat(c[..., -1:], parts * step + 2 * depth - n, axis=-1)], axis=-1)
+        windows = np.lib.stride_tricks.sliding_window_view(long, step + 2 * depth, axis=-1)[..., ::step, :]
+        inner = prefilter_stretch(windows, order)[..., depth : depth + step].reshape(*c.shape[:-1], parts * step)
+        out = np.zeros(c.shape)
+        out[..., depth : n - depth] = inner[..., : n - 2 * depth]
+        return out
+    lines = np.ascontiguousarray(np.moveaxis(c, -1, 0))
+    for z in poles(order):
+        lines *= (1 - z) * (1 - 1 / z)
+        lines[0] /= 1 - z
+        for k in range(1, n):
+            lines[k] += z * lines[k - 1]
+        lines[-1] *= z / (z - 1)
+        for k in range(n - 2, -1, -1):
+            lines[k] = z * (lines[k + 1] - lines[k])
+    return np.moveaxis(lines, 0, -1)

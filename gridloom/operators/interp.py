@@ -19,15 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import checks
-from ..functions.kernels import prefilter_lines, spline_start, spline_weights
-from ..plans.blocks import Tiling, edge_for
+from ..functions.kernels import prefilter_lines, prefilter_stretch, spline_depth, spline_start, spline_weights
+from ..plans.blocks import Blocks, Tiling, edge_for
 from ..plans.boundary import fold
 from ..plans.image import Image, grid
 from ..plans.scratch import materialize
 
 MODES = ("constant", "nearest", "grid-constant")
-#: Lines that one task filters at a time.
-_LINES = 64
 #: Points of a tile's share, at least, and how many tiles at most can hold more than one share.
 _SHARE, _MOST_HOT = 1 << 18, 10_000
 #: Tiles or folders up to which they are named in a filter.
@@ -194,6 +192,14 @@ def _within(image: Image, low: np.ndarray, high: np.ndarray, order: int) -> Imag
     return image.within(box)
 
 
+def _coefficients(image: Image, low: np.ndarray, high: np.ndarray, order: int, mode: str | None) -> Image:
+    """What samples around coordinates in [low, high] need of the image or, with ``mode``, of its spline
+    coefficients, which need the image as far around as the filter remembers."""
+    if mode is not None and order > 1:
+        image = spline_filter(_within(image, low, high, order + spline_depth(order)), order, mode=mode)
+    return _within(image, low, high, order)
+
+
 def affine_transform(image: Image, matrix, offset=0.0, output_shape=None, order: int = 1, output_chunks=None, mode: str = "constant", cval: float = 0.0, prefilter: bool = False) -> Image:
     """out[o] = image at matrix @ o + offset.
 
@@ -217,12 +223,11 @@ def affine_transform(image: Image, matrix, offset=0.0, output_shape=None, order:
     if prefilter and order > 1:
         if mode != "constant":
             raise NotImplementedError(f"A prefilter is not supported with mode {mode}.")
-        image = spline_filter(image, order, mode=mode)
     full = np.diag(matrix) if matrix.ndim == 1 else matrix
     shape = tuple(int(s) for s in (output_shape if output_shape is not None else image.shape))
     corners = np.array(np.meshgrid(*[[0, max(s - 1, 0)] for s in shape], indexing="ij")).reshape(len(shape), -1)
     reached = full @ corners + offset[:, None]
-    source = _within(image, reached.min(axis=1), reached.max(axis=1), order)
+    source = _coefficients(image, reached.min(axis=1), reached.max(axis=1), order, mode if prefilter else None)
     points = grid(image.spark, shape)
     at = []
     for row, shift in zip(full, offset):
@@ -261,9 +266,8 @@ def rotate(image: Image, angle: float, axes: Sequence[int] = (1, 0), reshape: bo
     grown = np.floor(np.abs(turn) @ size + 0.5).astype(int) if reshape else size
     offset = (size - 1) / 2 - turn @ ((grown - 1) / 2)
     if image.is_complex:
-        parts = [rotate(Image(image.df.select(*image.coords, F.col(f"value.{p}").alias("value")), image.shape), angle, axes, reshape, **kwargs) for p in ("re", "im")]
-        both = parts[0].df.withColumnRenamed("value", "re").join(parts[1].df.withColumnRenamed("value", "im"), image.coords)
-        return Image(both.select(*image.coords, F.struct("re", "im").alias("value")), parts[0].shape, image.dtype)
+        turned = _parts(image, lambda part: rotate(part, angle, axes, reshape, **kwargs))
+        return replace(turned, shape=tuple(grown.tolist()), dtype=image.dtype)
     return affine_transform(image, turn, offset, tuple(grown.tolist()), **kwargs)
 
 
@@ -283,10 +287,10 @@ def map_coordinates(image: Image, coordinates, order: int = 3, mode: str = "cons
         if array.size and np.isfinite(array).all():
             box = array.min(axis=1), array.max(axis=1)
         coordinates = image.spark.createDataFrame(pa.table({"point_id": pa.array(np.arange(array.shape[1]))} | {f"c{k}": pa.array(a) for k, a in enumerate(array)}))
-    if prefilter and order > 1:
-        image = spline_filter(image, order, mode={"constant": "mirror", "grid-constant": "mirror"}.get(mode, mode))
     if box is not None:
-        image = _within(image, *box, order)
+        image = _coefficients(image, *box, order, mode if prefilter else None)
+    elif prefilter and order > 1:
+        image = spline_filter(image, order, mode=mode)
     made = _sample(image, coordinates, ["point_id"], [F.col(f"c{k}") for k in range(n)], order, mode, cval)
     return made.select("point_id", _store(image, F.col("value")))
 
@@ -307,51 +311,71 @@ def _check_filter(order, output, mode: str) -> int:
     return _check_order(order)
 
 
-def spline_filter1d(image: Image, order: int = 3, axis: int = -1, output="float64", mode: str = "mirror", output_chunks=None, *, depth=None) -> Image:
+def _parts(image: Image, run) -> Image:
+    """A real operation on both parts of a complex image."""
+    both = [run(Image(image.df.select(*image.coords, F.col(f"value.{p}").alias("value")), image.shape)).df.withColumnRenamed("value", p) for p in ("re", "im")]
+    joined = both[0].join(both[1], image.coords)
+    return image.with_df(joined.select(*image.coords, F.struct("re", "im").alias("value")), "complex128")
+
+
+def _depths(depth, ndim: int, order: int) -> list[int]:
+    """How far each axis's recursion looks: as far as doubles tell, or what ``depth`` says."""
+    out = [depth] * ndim if depth is None or np.isscalar(depth) else list(depth)
+    if len(out) != ndim or any(d is not None and (d != int(d) or d < 0) for d in out):
+        raise ValueError("A depth is a whole number, zero or more, one for all axes or one for each.")
+    return [spline_depth(order) if d is None else int(d) for d in out]
+
+
+def _filtered(blocks: Blocks, order: int, axis: int, boundary: str, depth: int) -> Blocks:
+    """Coefficients along one axis. A line within one block is filtered whole; one over several blocks
+    goes on into its neighbours by ``depth``, and at an end by the samples that stand beyond it."""
+    alone = blocks.tiling.counts[axis] == 1
+    low = [0 if alone or k != axis else depth for k in range(blocks.ndim)]
+
+    def kernel(block, at):
+        lines = np.moveaxis(block, axis, -1)
+        if alone:
+            return np.moveaxis(prefilter_lines(lines, order, boundary), -1, axis)
+        out = np.moveaxis(prefilter_stretch(lines, order), -1, axis)
+        return out[tuple(slice(lo, n - lo) for lo, n in zip(low, out.shape))]
+
+    return blocks.with_halo(low, low, boundary, kernel, dtype="float64")
+
+
+def spline_filter1d(image: Image | Blocks, order: int = 3, axis: int = -1, output="float64", mode: str = "mirror", output_chunks=None, *, depth=None) -> Image | Blocks:
     """Spline coefficients along one axis.
 
-    The filter is a recursion over whole lines, which are filtered by NumPy, many at a time; a
-    task holds its lines only. ``depth`` and ``output_chunks`` concern blocks of an image and
-    have no effect, as whole lines are exact.
+    The filter is a recursion whose memory is a power of a pole, so a block needs ``depth`` samples
+    on either side: by default as many as doubles can tell, which equals the filter of whole lines;
+    fewer move less and are less exact. A line of any length runs in as many tasks as it has blocks.
+    ``output_chunks`` names a physical layout and is ignored.
     """
     order = _check_filter(order, output, mode)
     if depth is not None and not np.isscalar(depth):
         raise ValueError("The depth must be a scalar.")
-    axis, n, dtype = checks.axis(image.ndim, axis), image.ndim, np.dtype(output).name
+    return _spline(image, order, [checks.axis(image.ndim, axis)], output, mode, _depths(depth, image.ndim, order))
+
+
+def spline_filter(image: Image | Blocks, order: int = 3, output="float64", mode: str = "mirror", output_chunks=None, *, depth=None) -> Image | Blocks:
+    """Spline coefficients along all axes, one after the other; ``depth`` may be one for each. Between axes only borders move."""
+    order = _check_filter(order, output, mode)
+    return _spline(image, order, list(range(image.ndim)), output, mode, _depths(depth, image.ndim, order))
+
+
+def _spline(image: Image | Blocks, order: int, axes: list[int], output, mode: str, depths: list[int]) -> Image | Blocks:
+    dtype = np.dtype(output).name
+    if isinstance(image, Image) and image.is_complex:
+        return _parts(image, lambda part: _spline(part, order, axes, "float64", mode, depths)) if order > 1 else image
     if order < 2:
+        if isinstance(image, Blocks):
+            return image.with_dtype(dtype)
         return image.with_value(image.as_double() if dtype == "float64" else image.to_dtype(image.as_double(), dtype), dtype)
-    others = [k for k in range(n) if k != axis]
-    line = F.lit(0).cast("bigint")
-    for k in others:
-        line = line * image.shape[k] + F.col(f"d{k}")
-    length, boundary = image.shape[axis], _BOUNDARY[mode]
-    is_complex = image.is_complex
-    values = [F.col("value.re"), F.col("value.im")] if is_complex else [image.as_double()]
-    rows = image.df.select(*image.coords, *[v.alias(f"v{j}") for j, v in enumerate(values)], line.alias("line"), F.floor(line / _LINES).alias("bundle"))
-    names = [f"v{j}" for j in range(len(values))]
-
-    def run(table):
-        lines, row = np.unique(table.column("line").to_numpy(), return_inverse=True)
-        at = table.column(f"d{axis}").to_numpy()
-        out = {c: table.column(c) for c in coords}
-        for c in names:
-            block = np.zeros((len(lines), length))
-            block[row, at] = table.column(c).to_numpy()
-            out[c] = pa.array(prefilter_lines(block, order, boundary)[row, at])
-        return pa.table(out)
-
-    coords = image.coords
-    made = rows.groupBy("bundle").applyInArrow(run, ", ".join(f"{c} bigint" for c in coords) + "".join(f", {c} double" for c in names))
-    if is_complex:
-        return image.with_df(made.select(*coords, F.struct(F.col("v0").alias("re"), F.col("v1").alias("im")).alias("value")), "complex128")
-    return image.with_df(made.select(*coords, image.to_dtype(F.col("v0"), dtype).alias("value")), dtype)
-
-
-def spline_filter(image: Image, order: int = 3, output="float64", mode: str = "mirror", output_chunks=None, *, depth=None) -> Image:
-    """Spline coefficients along all axes."""
-    _check_filter(order, output, mode)
-    out = image
-    for k in range(image.ndim):
-        out = spline_filter1d(out, order, k, "float64", mode)
-    name = np.dtype(output).name
-    return out if out.is_complex or name == "float64" else out.with_value(out.to_dtype(F.col("value"), name), name)
+    blocks = image
+    if isinstance(image, Image):
+        blocks = Blocks.from_image(image, max(edge_for(*[[d if k == axis else 0 for k, d in enumerate(depths)]] * 2) for axis in axes))
+    for axis in axes:
+        blocks = _filtered(blocks, order, axis, _BOUNDARY[mode], depths[axis])
+    if isinstance(image, Blocks):
+        return blocks.with_dtype(dtype)
+    out = blocks.to_image()
+    return out if dtype == "float64" else out.with_value(out.to_dtype(F.col("value"), dtype), dtype)

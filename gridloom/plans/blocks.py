@@ -200,6 +200,8 @@ class Blocks:
 
         def run(key, blocks, strips):
             number = key[0].as_py()
+            if not blocks.num_rows:  # strips of a part of an image, to a block that isn't in it
+                return pa.table({"block": pa.array([], pa.int64()), "pixels": pa.array([], pa.binary())})
             at = tiling.at(number)
             size = tiling.extent(at)
             block = np.full([s + lo + hi for s, lo, hi in zip(size, low, high)], float(cval))
