@@ -320,11 +320,13 @@ def percentile_filter(image: Image, percentile: float, size=None, footprint=None
     return _ranked(image, lambda cells: rank_of_percentile(cells, percentile), size, footprint, mode, cval, origin, strategy)
 
 
-def generic_filter(image: Image, function: Callable, size=None, footprint=None, mode: str = "reflect", cval: float = 0.0, origin=0, extra_arguments=(), extra_keywords=None, native: bool = False) -> Image:
+def generic_filter(image: Image, function: Callable, size=None, footprint=None, mode: str = "reflect", cval: float = 0.0, origin=0, extra_arguments=(), extra_keywords=None, native: bool = False, vectorized: bool = False) -> Image:
     """``function`` of every neighbourhood, flat and in C order, footprint cells only.
 
-    A Python function gets an array of doubles and runs on tiles. With ``native`` it gets an
-    array<double> column and returns a column, and no Python runs on the executors.
+    A Python function gets an array of doubles and runs on tiles. With ``vectorized`` it gets many
+    neighbourhoods at once, an array of (pixels, cells) of at most 32 MB, and returns a value for
+    each. With ``native`` it gets an array<double> column and returns a column, and no Python runs
+    on the executors.
     """
     more = dict(extra_keywords or {})
     if native:
@@ -338,6 +340,8 @@ def generic_filter(image: Image, function: Callable, size=None, footprint=None,
         mask = checks.footprint(image.ndim, size, footprint)
         taps = _offsets(mask, checks.origin(mask.shape, origin))
         return _done(image, scatter(image, taps, np.zeros((len(taps), 1)), lambda v, _, tap: [column(v, tap).alias("value")], checks.mode(mode), cval))
+    if vectorized:
+        return _ordered(image, size, footprint, mode, cval, origin, "tiles", None, lambda x: np.asarray(function(x.reshape(-1, x.shape[-1]), *extra_arguments, **more), float).reshape(x.shape[:-1]))
     return _ordered(image, size, footprint, mode, cval, origin, "tiles", None, lambda x: np.apply_along_axis(lambda v: function(v, *extra_arguments, **more), -1, x))
 
 

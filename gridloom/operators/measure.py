@@ -13,8 +13,11 @@ null where all pixels count together. NaN values give NaN, as in NumPy.
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from math import prod
 
 import numpy as np
@@ -212,11 +215,12 @@ def histogram(image: Image, min, max, bins, label_image=None, index=None) -> Dat
         low, high = low - 0.5, high + 0.5
     df, flat = _wanted(image, label_image, index)
     v = image.as_double()
-    edges = np.linspace(low, high, n + 1)
     k = F.least(F.floor((v - low) * F.lit(n / (high - low))), F.lit(n - 1)).cast("int")
     # Rounding may put a value just beside an edge in the wrong bin; the edges themselves decide.
-    edge = F.array(*[F.lit(float(e)) for e in edges])
-    k = F.when(v < F.element_at(edge, k + 1), k - 1).when((v >= F.element_at(edge, k + 2)) & (k < n - 1), k + 1).otherwise(k)
+    def edge(i: Column) -> Column:
+        return F.lit(float(low)) + i * F.lit((high - low) / n)
+
+    k = F.when(v < edge(k), k - 1).when((v >= edge(k + 1)) & (k < n - 1), k + 1).otherwise(k)
     inside = (v >= low) & (v <= high)
     counts = df.groupBy("label", F.when(inside, k).alias("bin")).agg(F.count("*").alias("n"))
     per_label = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("m"), F.lit(1).alias("__found"))
@@ -224,28 +228,93 @@ def histogram(image: Image, min, max, bins, label_image=None, index=None) -> Dat
     return _answer(image, dense, flat, {"counts": F.lit(None).cast("array<bigint>")})
 
 
-def labeled_comprehension(image: Image, label_image, index, func: Callable, out_type: str, default, pass_positions: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Mergeable:
+    """An aggregate of any kind, made of parts: ``update`` takes a state on by an array of values (and one
+    of their linear positions), ``merge`` joins two states, ``finish`` gives the result.
+
+    Values come in no order and in any number of arrays, so a state must not depend on it; states are
+    pickled. Each task makes a state for each label that it meets, and only states shuffle.
+    """
+
+    start: Callable[[], object]
+    update: Callable[[object, np.ndarray, np.ndarray], object]
+    merge: Callable[[object, object], object]
+    finish: Callable[[object], object] = lambda state: state
+
+
+#: Labels whose states a task holds at a time.
+_STATES = 100_000
+
+
+def _plain(out):
+    return out.item() if isinstance(out, np.generic) else out.tolist() if isinstance(out, np.ndarray) else out
+
+
+def _merged(rows: DataFrame, whole: Mergeable, out_type: str, none: bool) -> DataFrame:
+    def partial(batches):
+        held: dict[int, object] = {}
+
+        def told():
+            batch = pa.RecordBatch.from_pydict({"label": pa.array(held, pa.int64()), "state": pa.array([pickle.dumps(s) for s in held.values()], pa.binary())})
+            held.clear()
+            return batch
+
+        for batch in batches:
+            label, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            value = _values(batch.column(2))
+            order = np.argsort(label, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(label[order])) + 1).tolist(), len(order)] if len(order) else []
+            for a, b in zip(cuts, cuts[1:]):
+                own = order[a:b]
+                key = int(label[own[0]])
+                held[key] = whole.update(held[key] if key in held else whole.start(), value[own], at[own])
+            if len(held) > _STATES:
+                yield told()
+        if held:
+            yield told()
+
+    def final(key, table):
+        state = reduce(whole.merge, (pickle.loads(s.as_py()) for s in table.column("state")))
+        return pa.table({"label": pa.array([None if none else key[0].as_py()], pa.int64()), "result": pa.array([_plain(whole.finish(state))]), "__found": pa.array([1], pa.int64())})
+
+    states = rows.select("label", "at", "value").mapInArrow(partial, "label bigint, state binary")
+    return states.groupBy("label").applyInArrow(final, f"label bigint, result {out_type}, __found bigint")
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """A column of numbers, Booleans or decimals as an array."""
+    if pa.types.is_decimal(column.type) or pa.types.is_struct(column.type) or column.null_count:
+        return np.array(column.to_pylist())
+    return column.to_numpy(zero_copy_only=False)
+
+
+def labeled_comprehension(image: Image, label_image, index, func: Callable | Mergeable, out_type: str, default, pass_positions: bool = False, native: bool = False) -> DataFrame:
     """``func`` of each label's values in C order (and their linear positions), as column result.
 
-    ``out_type`` is a Spark type. A function needs all values of a label at once, so a label's
-    pixels go to one task; the built-in statistics above don't need that.
+    ``out_type`` is a Spark type. A plain function needs all values of a label at once, so a label's
+    pixels go to one task. A ``Mergeable`` is updated where the pixels are, and with ``native`` the
+    function is given the value's column (and the position's) and returns an aggregate of Spark;
+    both are combined before the shuffle, so no task holds a label.
     """
     df, flat = _wanted(image, label_image, index)
-    rows = df.select(F.coalesce(F.col("label"), F.lit(0)).cast("bigint").alias("label"), image.linear().alias("at"), "value")
     none = flat is None
+    missing = F.lit(default).cast(out_type) if not isinstance(default, Column) else default
+    if native:
+        made = func(F.col("value"), image.linear()) if pass_positions else func(F.col("value"))
+        return _answer(image, df.groupBy("label").agg(made.cast(out_type).alias("result"), F.count("*").alias("__found")), flat, {"result": missing})
+    rows = df.select(F.coalesce(F.col("label"), F.lit(0)).cast("bigint").alias("label"), image.linear().alias("at"), "value")
+    if isinstance(func, Mergeable):
+        return _answer(image, _merged(rows, func, out_type, none), flat, {"result": missing})
 
     def run(key, table):
         table = table.sort_by("at")
-        values = np.array(table.column("value").to_pylist())
+        values = _values(table.column("value").combine_chunks())
         out = func(values, table.column("at").to_numpy()) if pass_positions else func(values)
-        if isinstance(out, np.generic):
-            out = out.item()
-        elif isinstance(out, np.ndarray):
-            out = out.tolist()
-        return pa.table({"label": pa.array([None if none else key[0].as_py()], pa.int64()), "result": pa.array([out]), "__found": pa.array([1], pa.int64())})
+        return pa.table({"label": pa.array([None if none else key[0].as_py()], pa.int64()), "result": pa.array([_plain(out)]), "__found": pa.array([1], pa.int64())})
 
     made = rows.groupBy("label").applyInArrow(run, f"label bigint, result {out_type}, __found bigint")
-    return _answer(image, made, flat, {"result": F.lit(default).cast(out_type) if not isinstance(default, Column) else default})
+    return _answer(image, made, flat, {"result": missing})
 
 
 def find_objects(label_image: Image) -> DataFrame:

@@ -154,6 +154,7 @@ ORACLE_SQL = {
     "filter_rank": _stencil(SUPPLIER_WEEKS, CROSS, "list_sort(list(q.v))[2]::BIGINT"),
     "filter_percentile": _stencil(SUPPLIER_WEEKS, BOX, "list_sort(list(q.v))[3]::BIGINT"),
     "filter_generic": _stencil(SUPPLIER_WEEKS, BOX, "sum(q.v * q.v)::BIGINT"),
+    "filter_generic_vectorized": _stencil(SUPPLIER_WEEKS, BOX, "(max(greatest(q.v, 25)) - min(greatest(q.v, 25)))::BIGINT"),
     "filter_threshold_local_gaussian": _above(_GT, "sum(t.w0 * q.v)"),
     "filter_threshold_local_mean": _above(BOX, "sum(q.v) / 9"),
     "filter_threshold_local_median": _above(BOX, "list_sort(list(q.v))[5]"),

@@ -121,7 +121,8 @@ def measure_histogram(spark, sf_dir):
 
 
 def measure_labeled_comprehension(spark, sf_dir):
-    found = measure.labeled_comprehension(labelled(supplier_weeks(spark, sf_dir)), "lab", LABELS, lambda v: float(v.max() - v.min()), "double", -1.0)
+    spread = measure.Mergeable(lambda: (np.inf, -np.inf), lambda s, v, _: (min(s[0], v.min()), max(s[1], v.max())), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda s: float(s[1] - s[0]))
+    found = measure.labeled_comprehension(labelled(supplier_weeks(spark, sf_dir)), "lab", LABELS, spread, "double", -1.0)
     return found.select("label", F.col("result").cast("bigint").alias("r"))
 
 
@@ -252,6 +253,11 @@ def morph_erosion_iterated(spark, sf_dir):
     return _pixels(morph.binary_erosion(image.with_value(F.col("value") < 150, "bool"), iterations=20, border_value=1), F.col("value").cast("int").cast("bigint"))
 
 
+def filter_generic_vectorized(spark, sf_dir):
+    """A Python function of many neighbourhoods at once: the range of values over 25."""
+    return _exact(filters.generic_filter(supplier_weeks(spark, sf_dir), lambda x: np.ptp(np.where(x > 25, x, 25), axis=1), 3, vectorized=True))
+
+
 def fourier_gaussian(spark, sf_dir):
     return _close(fourier.fourier_gaussian(part_days(spark, sf_dir), 1))
 
@@ -318,7 +324,7 @@ QUERIES = (
     | {f"measure_{n}": _position(n) for n in ("minimum_position", "maximum_position")}
     | {f.__name__: f for f in (measure_area, measure_extrema, measure_center_of_mass, measure_histogram, measure_labeled_comprehension, measure_find_objects)}
     | {"measure_label": _components(None), "measure_label_wrap": _components([1])}
-    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_rank, filter_percentile, filter_generic, filter_uniform_volume, filter_range_volume)}
+    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_rank, filter_percentile, filter_generic, filter_generic_vectorized, filter_uniform_volume, filter_range_volume)}
     | {f"filter_threshold_local_{m}": _above(m) for m in ("gaussian", "mean", "median", "generic")}
     | {f"morph_{n}": _morphed(n) for n in ("erosion", "dilation", "opening", "closing")}
     | {f.__name__: f for f in (morph_dilation_wide, morph_erosion_iterated)}
