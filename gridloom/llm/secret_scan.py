@@ -240,6 +240,14 @@ class Automaton:
                     waiting.append(to)
         return found
 
+    def compacted(self) -> Automaton:
+        """Without the states that merging left behind."""
+        left = sorted(self.states())
+        number = {state: k for k, state in enumerate(left)}
+        self.moves = [{c: [number[to], count] for c, (to, count) in self.moves[state].items()} for state in left]
+        self.ends, self.seen = [self.ends[state] for state in left], [self.seen[state] for state in left]
+        return self
+
     def merged(self, alpha: float = 0.05) -> Automaton:
         """Merges compatible states, red-blue: each blue state joins the first red one that is
         alike or turns red. Only states of the same depth merge, which keeps the lengths of
@@ -261,7 +269,7 @@ class Automaton:
                 red.append(state)
                 blue += [(to, state, x) for x, (to, _) in sorted(self.moves[state].items())]
             blue.sort(key=lambda b: (depth[b[1]], b[0]))
-        return self
+        return self.compacted()
 
     def looped(self, alpha: float = 0.05) -> Automaton:
         """Merges compatible states of any depth, so that lengths which vary become loops."""
@@ -270,7 +278,7 @@ class Automaton:
         while True:
             blue = [(-self.seen[to], to, p, c) for p in red for c, (to, _) in self.moves[p].items() if to not in red]
             if not blue:
-                return self
+                return self.compacted()
             _, state, parent, c = min(blue)
             for r in red[1:]:
                 if self._alike(r, state, bound):
