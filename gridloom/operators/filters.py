@@ -21,10 +21,12 @@ from ..functions import checks
 from ..functions.kernels import gaussian_1d, rank_of_percentile
 from ..plans.blocks import Blocks
 from ..plans.image import Image
-from ..plans.stencil import SCATTER_TAPS, correlate_axis, reach, running_extreme, scatter, tiles, windows
+from ..plans.stencil import SCATTER_TAPS, correlate_axis, reach, running_extreme, scatter, sliding_rank, slides, tiles, windows
 
 #: Neighbourhood cells that a tile's kernel copies at a time: 32 MB of doubles.
 _STRIP_CELLS = 1 << 22
+#: Cells above which windows of ranks may slide.
+_SLIDING_CELLS = 100
 
 
 def _offsets(mask: np.ndarray, origin: Sequence[int]) -> np.ndarray:
@@ -261,8 +263,8 @@ def uniform_filter(image: Image, size=3, mode: str = "reflect", cval: float = 0.
     return _stacks(image, [stack], mode, cval, strategy, _total, _total)
 
 
-def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column: Callable[[Column], Column] | None, array: Callable[[np.ndarray], np.ndarray], least: np.ufunc | None = None) -> Image:
-    """``column`` aggregates what can be combined before a shuffle; without it, tiles are taken. ``least`` works axis by axis on a full box."""
+def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column: Callable[[Column], Column] | None, array: Callable[[np.ndarray], np.ndarray], least: np.ufunc | None = None, rank: int | None = None) -> Image:
+    """``column`` aggregates what can be combined before a shuffle; without it, tiles are taken. ``least`` works axis by axis on a full box, ``rank`` by windows that slide."""
     mask = checks.footprint(image.ndim, size, footprint)
     origin = checks.origin(mask.shape, origin)
     if not mask.any():
@@ -281,6 +283,10 @@ def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column
             for k, s in enumerate(mask.shape):
                 out = running_extreme(out, s, k, least)
             return out[own]
+        if rank is not None and mask.sum() > _SLIDING_CELLS:
+            used = block[tuple(slice(k, k + n - lo - hi + m - 1) for k, n, lo, hi, m in zip(_skipped(mask.shape, origin, low), block.shape, low, high, mask.shape))]
+            if slides(view[own].shape[: mask.ndim], mask, used.size):
+                return sliding_rank(used, mask, rank)
         return _by_strips(view[own], mask, array)
 
     return _done(image, tiles(image, low, high, mode, kernel, cval))
@@ -303,7 +309,7 @@ def _ranked(image, rank_of: Callable[[int], int], size, footprint, mode, cval, o
         raise RuntimeError("The rank is not within the footprint.")
     if rank in (0, cells - 1):
         return (minimum_filter if rank == 0 else maximum_filter)(image, size, footprint, mode, cval, origin, strategy)
-    return _ordered(image, size, footprint, mode, cval, origin, strategy, None, lambda x: np.partition(x, rank, axis=-1)[..., rank])
+    return _ordered(image, size, footprint, mode, cval, origin, strategy, None, lambda x: np.partition(x, rank, axis=-1)[..., rank], rank=rank)
 
 
 def median_filter(image: Image, size=None, footprint=None, mode: str = "reflect", cval: float = 0.0, origin=0, strategy: str = "auto") -> Image:

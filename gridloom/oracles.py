@@ -6,7 +6,7 @@ values; nothing here shares code with the operators.
 
 from __future__ import annotations
 
-from math import exp, floor, pi, sqrt
+from math import exp, pi, sqrt
 
 SUPPLIER_WEEKS = """px AS (
     SELECT g.d0, g.d1, coalesce(s.v, 0)::DOUBLE AS v
@@ -15,11 +15,11 @@ SUPPLIER_WEEKS = """px AS (
     LEFT JOIN (SELECT l_suppkey::BIGINT AS d0, (date_diff('day', DATE '1995-01-02', l_shipdate::DATE) // 7)::BIGINT AS d1, sum(l_quantity) AS v
                FROM lineitem GROUP BY ALL) s USING (d0, d1))"""
 
-PART_DAYS = """px AS (
+PART_DAYS = """size AS (SELECT floor(10 * sqrt(count(*)))::BIGINT AS side FROM supplier), px AS (
     SELECT g.d0, g.d1, coalesce(s.v, 0)::DOUBLE AS v
-    FROM (SELECT a.d0, b.d1 FROM (SELECT unnest(generate_series(0, 63))::BIGINT AS d0) a
-          CROSS JOIN (SELECT unnest(generate_series(0, 63))::BIGINT AS d1) b) g
-    LEFT JOIN (SELECT (l_partkey % 64)::BIGINT AS d0, (dayofyear(l_shipdate) % 64)::BIGINT AS d1, count(*) AS v FROM lineitem GROUP BY ALL) s USING (d0, d1))"""
+    FROM (SELECT a.d0, b.d1 FROM (SELECT unnest(generate_series(0, side - 1))::BIGINT AS d0 FROM size) a
+          CROSS JOIN (SELECT unnest(generate_series(0, side - 1))::BIGINT AS d1 FROM size) b) g
+    LEFT JOIN (SELECT (l_partkey % side)::BIGINT AS d0, (dayofyear(l_shipdate) % side)::BIGINT AS d1, count(*) AS v FROM lineitem CROSS JOIN size GROUP BY ALL) s USING (d0, d1))"""
 
 LABELLED = SUPPLIER_WEEKS + """,
     lx AS (SELECT *, CASE WHEN v > 50 THEN 1 + d1 % 16 ELSE 0 END AS lab FROM px),
@@ -95,7 +95,7 @@ def _components(wrap: bool) -> str:
 
 
 def _f(d: str) -> str:
-    return f"(CASE WHEN {d} < 32 THEN {d} ELSE {d} - 64 END / 64.0)"
+    return f"(CASE WHEN {d} < (side + 1) // 2 THEN {d} ELSE {d} - side END / side::DOUBLE)"
 
 
 def _sinc(x: str) -> str:
@@ -106,8 +106,8 @@ _ANGLE = f"(-2 * {pi!r} * (1.5 * {_f('d0')} - 2 * {_f('d1')}))"
 
 
 def _linear(points: str, keys: str) -> str:
-    """Order 1 at points (keys, x0, x1) of the 64 by 64 raster; zero outside."""
-    return f"""p AS ({points}), c AS (SELECT *, floor(x0)::BIGINT AS i, floor(x1)::BIGINT AS j FROM p WHERE x0 BETWEEN 0 AND 63 AND x1 BETWEEN 0 AND 63),
+    """Order 1 at points (keys, x0, x1) of the square raster; zero outside."""
+    return f"""p AS ({points}), c AS (SELECT p.*, floor(x0)::BIGINT AS i, floor(x1)::BIGINT AS j FROM p CROSS JOIN size WHERE x0 BETWEEN 0 AND side - 1 AND x1 BETWEEN 0 AND side - 1),
         k(a, b) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1)),
         m AS (SELECT {keys}, sum(px.v * (1 - abs(c.x0 - (c.i + k.a))) * (1 - abs(c.x1 - (c.j + k.b)))) AS r
               FROM c CROSS JOIN k JOIN px ON px.d0 = c.i + k.a AND px.d1 = c.j + k.b GROUP BY {keys})"""
@@ -151,6 +151,7 @@ ORACLE_SQL = {
     "filter_maximum": _stencil(SUPPLIER_WEEKS, CROSS, "max(q.v)::BIGINT"),
     "filter_median": _stencil(SUPPLIER_WEEKS, BOX, "list_sort(list(q.v))[5]::BIGINT"),
     "filter_median_wide": _stencil(PART_DAYS, [(a, b) for a in range(-3, 4) for b in range(-3, 4)], "list_sort(list(q.v))[25]::BIGINT"),
+    "filter_median_sliding": _stencil(SUPPLIER_WEEKS, [(a, b) for a in range(-8, 9) for b in range(-8, 9)], "list_sort(list(q.v))[145]::BIGINT"),
     "filter_rank": _stencil(SUPPLIER_WEEKS, CROSS, "list_sort(list(q.v))[2]::BIGINT"),
     "filter_percentile": _stencil(SUPPLIER_WEEKS, BOX, "list_sort(list(q.v))[3]::BIGINT"),
     "filter_generic": _stencil(SUPPLIER_WEEKS, BOX, "sum(q.v * q.v)::BIGINT"),
@@ -163,24 +164,24 @@ ORACLE_SQL = {
     "morph_dilation": _morph(["bool_or"]),
     "morph_opening": _morph(["bool_and", "bool_or"]),
     "morph_closing": _morph(["bool_or", "bool_and"]),
-    "fourier_gaussian": f"WITH {PART_DAYS} SELECT d0, d1, round(v * exp(-0.5 * (2 * {pi!r}) ** 2 * ({_f('d0')} ** 2 + {_f('d1')} ** 2)), 6) AS r FROM px",
-    "fourier_uniform": f"WITH {PART_DAYS} SELECT d0, d1, round(v * {_sinc(f'(2 * {pi!r} * {_f('d0')})')} * {_sinc(f'(2 * {pi!r} * {_f('d1')})')}, 6) AS r FROM px",
-    "fourier_shift": f"WITH {PART_DAYS} SELECT d0, d1, round(v * cos({_ANGLE}), 6) AS re, round(v * sin({_ANGLE}), 6) AS im FROM px",
+    "fourier_gaussian": f"WITH {PART_DAYS} SELECT d0, d1, round(v * exp(-0.5 * (2 * {pi!r}) ** 2 * ({_f('d0')} ** 2 + {_f('d1')} ** 2)), 6) AS r FROM px CROSS JOIN size",
+    "fourier_uniform": f"WITH {PART_DAYS} SELECT d0, d1, round(v * {_sinc(f'(2 * {pi!r} * {_f('d0')})')} * {_sinc(f'(2 * {pi!r} * {_f('d1')})')}, 6) AS r FROM px CROSS JOIN size",
+    "fourier_shift": f"WITH {PART_DAYS} SELECT d0, d1, round(v * cos({_ANGLE}), 6) AS re, round(v * sin({_ANGLE}), 6) AS im FROM px CROSS JOIN size",
     "interp_affine_transform": f"WITH {PART_DAYS}, {_linear('SELECT d0, d1, d0 + 0.25 * d1 + 2 AS x0, -0.25 * d0 + d1 + 8 AS x1 FROM px', 'c.d0, c.d1')} SELECT px.d0, px.d1, round(coalesce(m.r, 0), 6) AS r FROM px LEFT JOIN m USING (d0, d1)",
-    "interp_rotate": f"WITH {PART_DAYS} SELECT 63 - d1 AS d0, d0 AS d1, v::BIGINT AS r FROM px",
-    "interp_map_coordinates": f"WITH {PART_DAYS}, {_linear('SELECT event_id AS point_id, (event_id % 250) * 0.25 AS x0, (user_id % 126) * 0.5 AS x1 FROM events', 'c.point_id')} SELECT p.point_id, round(coalesce(m.r, 0), 6)::DOUBLE AS r FROM p LEFT JOIN m USING (point_id)",
+    "interp_rotate": f"WITH {PART_DAYS} SELECT side - 1 - d1 AS d0, d0 AS d1, v::BIGINT AS r FROM px CROSS JOIN size",
+    "interp_map_coordinates": f"WITH {PART_DAYS}, {_linear('SELECT event_id AS point_id, (event_id % (4 * side)) * 0.25::DOUBLE AS x0, (user_id % (2 * side)) * 0.5::DOUBLE AS x1 FROM events CROSS JOIN size', 'c.point_id')} SELECT p.point_id, round(coalesce(m.r, 0), 6)::DOUBLE AS r FROM p LEFT JOIN m USING (point_id)",
 }
 
 
 def _cubic(points: str) -> str:
     """Samples at x0, x1 of points (d0, d1) by the cubic B-spline over the mirrored image; zero outside."""
     weight = "CASE WHEN {t} < 1 THEN 2.0 / 3 - {t} ** 2 + {t} ** 3 / 2 WHEN {t} < 2 THEN (2 - {t}) ** 3 / 6 ELSE 0 END"
-    fold = "CASE WHEN {i} < 0 THEN -({i}) WHEN {i} > 63 THEN 126 - ({i}) ELSE {i} END"
+    fold = "CASE WHEN {i} < 0 THEN -({i}) WHEN {i} > side - 1 THEN 2 * side - 2 - ({i}) ELSE {i} END"
     axis = [f"(floor(x{k})::BIGINT + {t})" for k, t in ((0, "a"), (1, "b"))]
     cells = ", ".join(f"({a}, {b})" for a in range(-1, 3) for b in range(-1, 3))
     return f"""p AS ({points}), k(a, b) AS (VALUES {cells}),
         t AS (SELECT d0, d1, {fold.format(i=axis[0])} AS q0, {fold.format(i=axis[1])} AS q1, {weight.format(t=f'abs(x0 - {axis[0]})')} * {weight.format(t=f'abs(x1 - {axis[1]})')} AS w
-              FROM p CROSS JOIN k WHERE x0 BETWEEN 0 AND 63 AND x1 BETWEEN 0 AND 63),
+              FROM p CROSS JOIN k CROSS JOIN size WHERE x0 BETWEEN 0 AND side - 1 AND x1 BETWEEN 0 AND side - 1),
         m AS (SELECT t.d0, t.d1, sum(t.w * px.v) AS r FROM t JOIN px ON px.d0 = t.q0 AND px.d1 = t.q1 GROUP BY t.d0, t.d1)"""
 
 
@@ -190,16 +191,16 @@ _POLE = sqrt(3) - 2
 
 def _coefficients(source: str, axis: int) -> str:
     other, at = 1 - axis, f"(s.d{axis} + k.n)"
-    fold = f"CASE WHEN {at} < 0 THEN -{at} WHEN {at} > 63 THEN 126 - {at} ELSE {at} END"
-    return f"SELECT s.d0, s.d1, sum(k.w * q.v) AS v FROM {source} s CROSS JOIN k JOIN {source} q ON q.d{other} = s.d{other} AND q.d{axis} = {fold} GROUP BY s.d0, s.d1"
+    fold = f"CASE WHEN {at} < 0 THEN -{at} WHEN {at} > side - 1 THEN 2 * side - 2 - {at} ELSE {at} END"
+    return f"SELECT s.d0, s.d1, sum(k.w * q.v) AS v FROM {source} s CROSS JOIN size CROSS JOIN k JOIN {source} q ON q.d{other} = s.d{other} AND q.d{axis} = {fold} GROUP BY s.d0, s.d1"
 
 
 _POWERS = f"k AS (SELECT n::BIGINT AS n, {-6 * _POLE / (1 - _POLE**2)!r} * ({_POLE!r}) ** abs(n) AS w FROM (SELECT unnest(generate_series(-48, 48)) AS n))"
 _TURN, _HALF = sqrt(3) / 2, 0.5
-_GROWN = floor(64 * (_TURN + _HALF) + 0.5)
-_SHIFT = [31.5 - (_TURN + _HALF) * (_GROWN - 1) / 2, 31.5 - (_TURN - _HALF) * (_GROWN - 1) / 2]
-_ROTATED = f"""SELECT i AS d0, j AS d1, {_TURN!r} * i + {_HALF!r} * j + {_SHIFT[0]!r} AS x0, {-_HALF!r} * i + {_TURN!r} * j + {_SHIFT[1]!r} AS x1
-    FROM (SELECT unnest(generate_series(0, {_GROWN - 1}))::BIGINT AS i) CROSS JOIN (SELECT unnest(generate_series(0, {_GROWN - 1}))::BIGINT AS j)"""
+_ROTATED = f"""SELECT i AS d0, j AS d1, {_TURN!r}::DOUBLE * i + {_HALF!r}::DOUBLE * j + (side - 1) / 2.0::DOUBLE - {_TURN + _HALF!r}::DOUBLE * (grown - 1) / 2 AS x0,
+           {-_HALF!r}::DOUBLE * i + {_TURN!r}::DOUBLE * j + (side - 1) / 2.0::DOUBLE - {_TURN - _HALF!r}::DOUBLE * (grown - 1) / 2 AS x1
+    FROM (SELECT side, floor(side * {_TURN + _HALF!r}::DOUBLE + 0.5)::BIGINT AS grown, unnest(generate_series(0, floor(side * {_TURN + _HALF!r}::DOUBLE + 0.5)::BIGINT - 1))::BIGINT AS i FROM size)
+    CROSS JOIN (SELECT unnest(generate_series(0, floor(side * {_TURN + _HALF!r}::DOUBLE + 0.5)::BIGINT - 1))::BIGINT AS j FROM size)"""
 
 ORACLE_SQL |= {
     "interp_affine_transform_cubic": f"WITH {PART_DAYS}, {_cubic('SELECT d0, d1, 0.93::DOUBLE * d0 + 0.237::DOUBLE * d1 + 2.31::DOUBLE AS x0, -0.211::DOUBLE * d0 + 1.013::DOUBLE * d1 + 7.93::DOUBLE AS x1 FROM px')} SELECT px.d0, px.d1, round(coalesce(m.r, 0), 6) AS r FROM px LEFT JOIN m USING (d0, d1)",

@@ -149,3 +149,69 @@ def running_extreme(block: np.ndarray, size: int, axis: int, least: np.ufunc) ->
     upto = least.accumulate(whole, axis=-1).reshape(*moved.shape[:-1], runs * size)
     onward = least.accumulate(whole[..., ::-1], axis=-1)[..., ::-1].reshape(*moved.shape[:-1], runs * size)
     return np.moveaxis(least(onward[..., : n - size + 1], upto[..., size - 1 : n]), -1, axis)
+
+
+#: Counters that a sliding window holds at a time (32 MB).
+_COUNTERS = 1 << 24
+
+
+def _sliding_rows(rows: int, distinct: int) -> tuple[int, int]:
+    """How many rows of windows slide together, and the bins of either level of their counters."""
+    bins = max(2, int(np.ceil(np.sqrt(distinct))))
+    return max(1, min(rows, _COUNTERS // bins**2)), bins
+
+
+def slides(places: tuple[int, ...], mask: np.ndarray, distinct: int) -> bool:
+    """Whether windows that slide cost less than windows looked through one by one: a step of all
+    rows costs its entering and leaving cells and two levels of bins, with some fixed time."""
+    rows, length = int(np.prod(places[:-1])), places[-1]
+    together, bins = _sliding_rows(rows, distinct)
+    borders = 2 * int(np.count_nonzero(np.diff(np.pad(mask.astype(np.int8), [(0, 0)] * (mask.ndim - 1) + [(1, 1)]), axis=-1)))
+    steps = length * -(-rows // together)
+    return steps * (60e-6 + together * (20e-9 * borders + 6e-9 * bins)) < rows * length * 14e-9 * int(mask.sum())
+
+
+def sliding_rank(block: np.ndarray, mask: np.ndarray, rank: int) -> np.ndarray:
+    """The value of ``rank`` under the mask's cells, wherever the mask fits in the block.
+
+    Windows slide along the last axis, many rows at once. Each holds counts of the ranks of the
+    block's distinct values, on two levels; a step counts the cells that enter and leave, so a
+    window of any width costs its borders.
+    """
+    places = tuple(b - m + 1 for b, m in zip(block.shape, mask.shape))
+    values, codes = np.unique(block, return_inverse=True)
+    codes = codes.reshape(block.shape).astype(np.int64)
+    rows, length, width = int(np.prod(places[:-1])), places[-1], mask.shape[-1]
+    together, bins = _sliding_rows(rows, len(values))
+    # Cells of the mask by row, where runs of cells begin and end along the last axis.
+    edge = np.diff(np.pad(mask.astype(np.int8), [(0, 0)] * (mask.ndim - 1) + [(1, 1)]), axis=-1).reshape(-1, width + 1)
+    flat_mask = mask.reshape(-1, width)
+    strides = np.array([int(np.prod(block.shape[k + 1 : -1])) for k in range(block.ndim - 1)], np.int64)
+    shift = np.indices(mask.shape[:-1]).reshape(block.ndim - 1, -1).T @ strides if block.ndim > 1 else np.zeros(1, np.int64)
+    at = np.indices(places[:-1]).reshape(block.ndim - 1, -1).T @ strides if block.ndim > 1 else np.zeros(1, np.int64)
+    lines = codes.reshape(-1, block.shape[-1])
+    enter, leave = np.argwhere(edge == -1), np.argwhere(edge == 1)
+    out = np.empty((rows, length))
+    for first in range(0, rows, together):
+        own = at[first : first + together]
+        n = len(own)
+        fine, coarse = np.zeros(n * bins * bins, np.int32), np.zeros(n * bins, np.int32)
+        base = np.arange(n, dtype=np.int64)
+
+        def count(cells: np.ndarray, x: int, by: int):
+            """Adds ``by`` for the codes under ``cells`` (mask row, column) of every row's window at x."""
+            seen = lines[own[:, None] + shift[cells[:, 0]], x + cells[:, 1]]
+            np.add.at(fine, (seen + base[:, None] * (bins * bins)).ravel(), np.int32(by))
+            np.add.at(coarse, (seen // bins + base[:, None] * bins).ravel(), np.int32(by))
+
+        count(np.argwhere(flat_mask), 0, 1)
+        for x in range(length):
+            if x:
+                count(leave, x - 1, -1)
+                count(enter, x - 1, 1)
+            upto = np.cumsum(coarse.reshape(n, bins), axis=1)
+            bin_of = (upto > rank).argmax(axis=1)
+            before = np.where(bin_of > 0, upto[base, bin_of - 1], 0)
+            within = np.cumsum(fine.reshape(n, bins, bins)[base, bin_of], axis=1)
+            out[first : first + n, x] = values[bin_of * bins + (within > (rank - before)[:, None]).argmax(axis=1)]
+    return out.reshape(places)

@@ -1,7 +1,8 @@
 """A query for every operator, over rasters made from the driver's tables.
 
 ``supplier_weeks`` has a row for each supplier and a column for each week, with the quantity
-shipped; ``part_days`` counts lineitems by part and day of year, folded to 64 by 64.
+shipped; ``part_days`` counts lineitems by part and day of year, folded to a square whose pixels grow
+with the table; ``supplier_lines`` is a volume of suppliers, line numbers and months.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from .sources.imwrite import write_frames, write_stack
 
 WEEKS = 358
 MONTHS = 84
-FOLD = 64
 LABELS = [*range(1, 17), 99]
 ASYMMETRIC = [[1, 2, 0], [-1, 3, 1], [0, -2, 4]]
 WIDE = [[1, -2, 3], [0, 4, -1]]
@@ -40,10 +40,16 @@ def supplier_weeks(spark: SparkSession, sf_dir: str) -> Image:
     return Image.from_sparse(sums, (_table(spark, sf_dir, "supplier").count(), WEEKS))
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """The side of a square of 100 pixels for each supplier."""
+    return int(10 * _table(spark, sf_dir, "supplier").count() ** 0.5)
+
+
 def part_days(spark: SparkSession, sf_dir: str) -> Image:
-    keys = [(F.col("l_partkey") % FOLD).cast("bigint").alias("d0"), (F.dayofyear("l_shipdate") % FOLD).cast("bigint").alias("d1")]
+    n = side(spark, sf_dir)
+    keys = [(F.col("l_partkey") % n).cast("bigint").alias("d0"), (F.dayofyear("l_shipdate") % n).cast("bigint").alias("d1")]
     counts = _table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.count("*").cast("double").alias("value"))
-    return Image.from_sparse(counts, (FOLD, FOLD))
+    return Image.from_sparse(counts, (n, n))
 
 
 def supplier_lines(spark: SparkSession, sf_dir: str) -> Image:
@@ -197,6 +203,11 @@ def filter_median_wide(spark, sf_dir):
     return _exact(filters.median_filter(part_days(spark, sf_dir), 7))
 
 
+def filter_median_sliding(spark, sf_dir):
+    """Windows of 17 by 17 that slide."""
+    return _exact(filters.median_filter(supplier_weeks(spark, sf_dir), 17))
+
+
 def filter_rank(spark, sf_dir):
     return _exact(filters.rank_filter(supplier_weeks(spark, sf_dir), 1, footprint=np.array(PLUS)))
 
@@ -288,7 +299,8 @@ def interp_affine_transform_cubic(spark, sf_dir):
 
 
 def interp_map_coordinates(spark, sf_dir):
-    points = _table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), ((F.col("event_id") % 250) * 0.25).alias("c0"), ((F.col("user_id") % 126) * 0.5).alias("c1"))
+    n = side(spark, sf_dir)
+    points = _table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), ((F.col("event_id") % (4 * n)) * 0.25).alias("c0"), ((F.col("user_id") % (2 * n)) * 0.5).alias("c1"))
     found = interp.map_coordinates(part_days(spark, sf_dir), points, order=1)
     return found.select("point_id", _six(F.col("value")).alias("r"))
 
@@ -324,7 +336,7 @@ QUERIES = (
     | {f"measure_{n}": _position(n) for n in ("minimum_position", "maximum_position")}
     | {f.__name__: f for f in (measure_area, measure_extrema, measure_center_of_mass, measure_histogram, measure_labeled_comprehension, measure_find_objects)}
     | {"measure_label": _components(None), "measure_label_wrap": _components([1])}
-    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_rank, filter_percentile, filter_generic, filter_generic_vectorized, filter_uniform_volume, filter_range_volume)}
+    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_median_sliding, filter_rank, filter_percentile, filter_generic, filter_generic_vectorized, filter_uniform_volume, filter_range_volume)}
     | {f"filter_threshold_local_{m}": _above(m) for m in ("gaussian", "mean", "median", "generic")}
     | {f"morph_{n}": _morphed(n) for n in ("erosion", "dilation", "opening", "closing")}
     | {f.__name__: f for f in (morph_dilation_wide, morph_erosion_iterated)}

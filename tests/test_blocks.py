@@ -5,7 +5,7 @@ import pytest
 
 from gridloom import Blocks, Image, ndfilters, ndmorph
 from gridloom.plans.blocks import edge_for, halo_share
-from gridloom.plans.stencil import box_sums, running_extreme
+from gridloom.plans.stencil import box_sums, running_extreme, sliding_rank, slides
 
 from . import reference
 
@@ -152,3 +152,29 @@ def test_large_structures(spark):
         assert np.array_equal(ndmorph.binary_dilation(image, shape).to_numpy(), reference.morph(a, shape, False))
         closed = reference.morph(reference.morph(a, shape, False), shape, True)
         assert np.array_equal(ndmorph.binary_closing(image, shape).to_numpy(), closed)
+
+
+def test_sliding_ranks_equal_windows(monkeypatch):
+    """One to three dimensions, ties, holes in the mask, values that are no numbers, few counters at a time."""
+    from gridloom.plans import stencil
+
+    rng = np.random.default_rng(8)
+    for counters in (1 << 24, 300):
+        monkeypatch.setattr(stencil, "_COUNTERS", counters)
+        for shape, size in (((30, 40), (7, 9)), ((12, 13, 14), (3, 5, 4)), ((50,), (11,)), ((9, 9), (9, 9))):
+            a = rng.integers(0, 30, shape).astype(float)
+            a[tuple(s // 2 for s in shape)] = np.nan
+            mask = rng.random(size) < 0.7
+            view = np.lib.stride_tricks.sliding_window_view(a, size)[..., mask]
+            for rank in (0, int(mask.sum()) // 2, int(mask.sum()) - 1):
+                assert np.array_equal(sliding_rank(a, mask, rank), np.partition(view, rank, axis=-1)[..., rank], equal_nan=True)
+    monkeypatch.undo()
+    assert slides((256, 256), np.ones((51, 51)), 1 << 16) and not slides((256, 256), np.ones((3, 3)), 1 << 16)
+
+
+@pytest.mark.parametrize("origin", [0, (3, -5)])
+def test_wide_medians(spark, origin):
+    a = np.random.default_rng(9).integers(0, 40, (40, 37)).astype(float)
+    origins = [origin, origin] if origin == 0 else list(origin)
+    found = ndfilters.median_filter(Image.from_numpy(spark, a), (13, 15), mode="mirror", origin=origin).to_numpy()
+    assert np.array_equal(found, reference.rank(a, np.ones((13, 15), bool), 97, "mirror", origin=origins))
