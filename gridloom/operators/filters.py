@@ -2,8 +2,9 @@
 
 Every filter takes an image and returns one of the same shape and dtype; an integral result is
 truncated towards zero once, at the end. Results don't depend on how the pixels are
-partitioned: a boundary mode holds for the whole image. ``strategy`` is auto, scatter or tiles;
-ranks other than the first and last, which no partial aggregation shortens, take tiles always.
+partitioned: a boundary mode holds for the whole image. ``strategy`` is auto, scatter, tiles or, for
+means and extremes of a full box, frames: windows of Spark, without Python.
+Ranks other than the first and last, which no partial aggregation shortens, take tiles always.
 An image may be a block table (``Blocks``); the result is one then, and filters one after the
 other move the blocks' borders only.
 """
@@ -21,7 +22,7 @@ from ..functions import checks
 from ..functions.kernels import gaussian_1d, rank_of_percentile
 from ..plans.blocks import Blocks
 from ..plans.image import Image
-from ..plans.stencil import SCATTER_TAPS, correlate_axis, reach, running_extreme, scatter, sliding_rank, slides, tiles, windows
+from ..plans.stencil import SCATTER_TAPS, correlate_axis, frames, reach, running_extreme, scatter, sliding_rank, slides, tiles, windows
 
 #: Neighbourhood cells that a tile's kernel copies at a time: 32 MB of doubles.
 _STRIP_CELLS = 1 << 22
@@ -35,7 +36,7 @@ def _offsets(mask: np.ndarray, origin: Sequence[int]) -> np.ndarray:
 
 
 def _takes_scatter(image: Image | Blocks, strategy: str, taps: int) -> bool:
-    if strategy not in ("auto", "scatter", "tiles"):
+    if strategy not in ("auto", "scatter", "tiles", "frames"):
         raise ValueError(f"no such strategy: {strategy}")
     if isinstance(image, Blocks):
         return False
@@ -255,10 +256,17 @@ def gaussian_laplace(image: Image, sigma, mode: str = "reflect", cval: float = 0
     return _gaussian_each(image, sigma, 2, mode, cval, truncate, strategy, _total, _total)
 
 
+def _passes(size: Sequence[int], origin: Sequence[int]) -> list[tuple[int, int, int]]:
+    """A box as (axis, places below, places above) of each axis that it is longer than one along, or moved."""
+    return [(k, s // 2 + o, s - 1 - s // 2 - o) for k, (s, o) in enumerate(zip(size, origin)) if s > 1 or o]
+
+
 def uniform_filter(image: Image, size=3, mode: str = "reflect", cval: float = 0.0, origin=0, strategy: str = "auto") -> Image:
     """The mean of a box."""
     size = checks.size(image.ndim, size)
     origin = checks.origin(size, origin)
+    if strategy == "frames" and isinstance(image, Image):
+        return _done(image, frames(image, _passes(size, origin), F.avg, checks.mode(mode), cval))
     stack = [(k, np.full(s, 1.0 / s), o) for k, (s, o) in enumerate(zip(size, origin)) if s > 1]
     return _stacks(image, [stack], mode, cval, strategy, _total, _total)
 
@@ -270,6 +278,8 @@ def _ordered(image: Image, size, footprint, mode, cval, origin, strategy, column
     if not mask.any():
         raise RuntimeError("The footprint must have a cell that is set.")
     mode = checks.mode(mode)
+    if strategy == "frames" and isinstance(image, Image) and least is not None and mask.all():
+        return _done(image, frames(image, _passes(mask.shape, origin), column, mode, cval))
     if _takes_scatter(image, strategy, int(mask.sum())) and column is not None:
         taps = _offsets(mask, origin)
         return _done(image, scatter(image, taps, np.zeros((len(taps), 1)), lambda v, _, tap: [column(v).alias("value")], mode, cval))

@@ -8,7 +8,8 @@ DataFrame (label, and pos if wanted), which never passes through the driver. All
 one aggregation: partial sums are combined before the shuffle.
 
 Results are DataFrames (pos, label, ...): pos is the place in the flattened index, and label is
-null where all pixels count together. NaN values give NaN, as in NumPy.
+null where all pixels count together. For an index of several dimensions, i0, i1, ... are the
+place in it. NaN values give NaN, as in NumPy.
 """
 
 from __future__ import annotations
@@ -42,7 +43,15 @@ def _labelled(image: Image, label_image) -> DataFrame:
     return image.df.join(value, image.coords)
 
 
-def _wanted(image: Image, label_image, index) -> tuple[DataFrame, list[int] | DataFrame | None]:
+class _Asked(list):
+    """The labels of an index, flattened, and the shape that it had."""
+
+    def __init__(self, labels: np.ndarray):
+        super().__init__(int(v) for v in labels.ravel())
+        self.shape = labels.shape
+
+
+def _wanted(image: Image, label_image, index) -> tuple[DataFrame, _Asked | DataFrame | None]:
     """Pixels with a label each, and the labels asked for (None: all pixels are one group)."""
     if label_image is None:
         return image.df.withColumn("label", F.lit(None).cast("bigint")), None
@@ -55,20 +64,23 @@ def _wanted(image: Image, label_image, index) -> tuple[DataFrame, list[int] | Da
     labels = np.asarray(index)
     if labels.ndim > 1:
         warnings.warn("An index of more than one dimension is deprecated.", FutureWarning, stacklevel=4)
-    flat = [int(v) for v in labels.ravel()]
+    flat = _Asked(labels)
     return df.filter(F.col("label").isin(sorted(set(flat)))), flat
 
 
-def _answer(image: Image, grouped: DataFrame, flat: list[int] | DataFrame | None, defaults: dict[str, Column]) -> DataFrame:
+def _answer(image: Image, grouped: DataFrame, flat: _Asked | DataFrame | None, defaults: dict[str, Column]) -> DataFrame:
     """A row for each label asked for. Without labels there is one group, the only one that is broadcast."""
+    places: list[Column] = []
     spark, groups = image.spark, grouped.withColumnRenamed("label", "__label")
     if flat is None:
         out = spark.createDataFrame([(0, None)], "pos bigint, label bigint").join(F.broadcast(groups), F.lit(True), "left")
     else:
         asked = flat if isinstance(flat, DataFrame) else spark.createDataFrame(list(enumerate(flat)), "pos bigint, label bigint")
         out = asked.join(groups, F.col("label") == F.col("__label"), "left")
+        if isinstance(flat, _Asked) and len(flat.shape) > 1:
+            places = [F.expr(f"(pos div {prod(flat.shape[k + 1 :])}) % {size}").alias(f"i{k}") for k, size in enumerate(flat.shape)]
     filled = [F.when(F.col("__found").isNull(), d).otherwise(F.col(c)).alias(c) for c, d in defaults.items()]
-    return out.select("pos", "label", *filled)
+    return out.select("pos", "label", *places, *filled)
 
 
 def _measure(image: Image, label_image, index, defaults: dict[str, Column], aggs: Callable[[Image], list[Column]]) -> DataFrame:

@@ -152,6 +152,8 @@ ORACLE_SQL = {
     "filter_median": _stencil(SUPPLIER_WEEKS, BOX, "list_sort(list(q.v))[5]::BIGINT"),
     "filter_median_wide": _stencil(PART_DAYS, [(a, b) for a in range(-3, 4) for b in range(-3, 4)], "list_sort(list(q.v))[25]::BIGINT"),
     "filter_median_sliding": _stencil(SUPPLIER_WEEKS, [(a, b) for a in range(-8, 9) for b in range(-8, 9)], "list_sort(list(q.v))[145]::BIGINT"),
+    "filter_uniform_frames": _stencil(SUPPLIER_WEEKS, [(a, b) for a in range(-7, 8) for b in range(-7, 8)], "round(sum(q.v) / 225, 6)"),
+    "filter_maximum_frames": _stencil(SUPPLIER_WEEKS, [(a, b) for a in range(-7, 8) for b in range(-7, 8)], "max(q.v)::BIGINT"),
     "filter_rank": _stencil(SUPPLIER_WEEKS, CROSS, "list_sort(list(q.v))[2]::BIGINT"),
     "filter_percentile": _stencil(SUPPLIER_WEEKS, BOX, "list_sort(list(q.v))[3]::BIGINT"),
     "filter_generic": _stencil(SUPPLIER_WEEKS, BOX, "sum(q.v * q.v)::BIGINT"),

@@ -1,4 +1,4 @@
-"""Neighbourhood operations on a pixel table, in one of three ways.
+"""Neighbourhood operations on a pixel table, in one of four ways.
 
 ``scatter``: every pixel sends its value to the places it is a neighbour of, and one aggregation
 gathers them. All of it is Spark expressions, and sums, minima and maxima are combined before
@@ -8,6 +8,9 @@ the shuffle. Best for small neighbourhoods.
 NumPy kernel works on each tile. One shuffle of little more than the image, where the reach is
 small beside a tile. Best for larger neighbourhoods and for Python functions.
 
+``frames``: a separable box as one window frame of Spark an axis, of bounded pieces of lines. No
+Python, one shuffle an axis, and a pass over the frame for each pixel.
+
 Blocks (see ``blocks``): where tiles would overlap by more than half, pixels are dealt once, to
 larger blocks, which exchange their borders as arrays. A block table stays one over several
 operations, which then move borders only.
@@ -19,7 +22,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import HALO, Blocks, edge_for, halo_share
@@ -67,6 +70,33 @@ def scatter(image: Image, taps: np.ndarray, weights: np.ndarray, aggs: Callable[
     return spread.groupBy(*[F.col(f"o{k}").alias(f"d{k}") for k in range(n)]).agg(*made, *kept)
 
 
+#: Places of a line that one window partition holds beside its halo.
+_PIECE = 4096
+
+
+def frames(image: Image, passes: Sequence[tuple[int, int, int]], agg: Callable[[Column], Column], mode: str, cval: float = 0.0) -> DataFrame:
+    """``agg`` of a box, axis by axis: of the values ``low`` below to ``high`` above along each ``axis``.
+
+    Lines are cut into pieces that overlap by the frame, so a window's partition is bounded.
+    """
+    now = image.with_df(image.df.select(*image.coords, image.as_double().alias("value")), "float64")
+    for axis, low, high in passes:
+        reaches = [[abs(v) if k == axis else 0 for k in range(image.ndim)] for v in (min(-low, 0), max(high, 0))]
+        lo, hi = reaches[0][axis], reaches[1][axis]
+        line = padded(now, tuple(reaches[0]), tuple(reaches[1]), mode, cval).select(*[F.col(f"v{k}") for k in range(image.ndim)], "value")
+        at, size = F.col(f"v{axis}"), image.shape[axis]
+        last = F.lit((size - 1) // _PIECE).cast("bigint")
+        first = F.greatest(F.lit(0).cast("bigint"), F.floor((at - hi) / _PIECE))
+        upto = F.least(last, F.floor((at + lo) / _PIECE))
+        line = line.withColumn("piece", F.explode(F.sequence(first, upto)))
+        others = [f"v{k}" for k in range(image.ndim) if k != axis]
+        made = agg(F.col("value")).over(Window.partitionBy(*others, "piece").orderBy(at).rowsBetween(-low, high))
+        own = (at >= 0) & (at < size) & (F.floor(at / _PIECE) == F.col("piece"))
+        done = line.withColumn("made", made).filter(own).select(*[F.col(f"v{k}").alias(f"d{k}") for k in range(image.ndim)], F.col("made").alias("value"))
+        now = now.with_df(done)
+    return now.df
+
+
 def tile_edge(ndim: int) -> int:
     return max(8, int(round(_TILE_PIXELS ** (1 / ndim))))
 

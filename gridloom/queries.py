@@ -221,6 +221,15 @@ def filter_uniform_volume(spark, sf_dir):
     return _close(filters.uniform_filter(supplier_lines(spark, sf_dir), (21, 5, 41)))
 
 
+def filter_uniform_frames(spark, sf_dir):
+    """A box of 15 by 15 as windows of Spark, without Python."""
+    return _close(filters.uniform_filter(supplier_weeks(spark, sf_dir), 15, strategy="frames"))
+
+
+def filter_maximum_frames(spark, sf_dir):
+    return _exact(filters.maximum_filter(supplier_weeks(spark, sf_dir), 15, strategy="frames"))
+
+
 def filter_range_volume(spark, sf_dir):
     """Two wide filters in a row on a block table, and what lies between them."""
     blocks = Blocks.from_image(supplier_lines(spark, sf_dir), reach=(10, 1, 15)).kept()
@@ -336,7 +345,7 @@ QUERIES = (
     | {f"measure_{n}": _position(n) for n in ("minimum_position", "maximum_position")}
     | {f.__name__: f for f in (measure_area, measure_extrema, measure_center_of_mass, measure_histogram, measure_labeled_comprehension, measure_find_objects)}
     | {"measure_label": _components(None), "measure_label_wrap": _components([1])}
-    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_median_sliding, filter_rank, filter_percentile, filter_generic, filter_generic_vectorized, filter_uniform_volume, filter_range_volume)}
+    | {f.__name__: f for f in (filter_correlate, filter_convolve, filter_laplace, filter_sobel, filter_prewitt, filter_uniform, filter_gaussian, filter_gaussian_filter, filter_gaussian_gradient_magnitude, filter_gaussian_laplace, filter_minimum, filter_maximum, filter_median, filter_median_wide, filter_median_sliding, filter_rank, filter_percentile, filter_generic, filter_generic_vectorized, filter_uniform_volume, filter_range_volume, filter_uniform_frames, filter_maximum_frames)}
     | {f"filter_threshold_local_{m}": _above(m) for m in ("gaussian", "mean", "median", "generic")}
     | {f"morph_{n}": _morphed(n) for n in ("erosion", "dilation", "opening", "closing")}
     | {f.__name__: f for f in (morph_dilation_wide, morph_erosion_iterated)}

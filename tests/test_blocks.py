@@ -178,3 +178,17 @@ def test_wide_medians(spark, origin):
     origins = [origin, origin] if origin == 0 else list(origin)
     found = ndfilters.median_filter(Image.from_numpy(spark, a), (13, 15), mode="mirror", origin=origin).to_numpy()
     assert np.array_equal(found, reference.rank(a, np.ones((13, 15), bool), 97, "mirror", origin=origins))
+
+
+@pytest.mark.parametrize("mode", PAD)
+def test_frames_of_spark_equal_tiles(spark, monkeypatch, mode):
+    """Boxes as windows, in pieces shorter than a line; with origins that leave a pixel out of its own window."""
+    from gridloom.plans import stencil
+
+    monkeypatch.setattr(stencil, "_PIECE", 6)
+    image = Image.from_numpy(spark, np.random.default_rng(10).integers(0, 99, (17, 14)).astype(float))
+    for size, origin in (((5, 4), 0), ((15, 1), 0), ((3, 6), (1, 2)), ((4, 5), (-2, -2))):
+        for run in (ndfilters.uniform_filter, ndfilters.minimum_filter, ndfilters.maximum_filter):
+            made = run(image, size, mode=mode, cval=4.0, origin=origin, strategy="frames")
+            assert "Arrow" not in made.df._jdf.queryExecution().executedPlan().toString()
+            np.testing.assert_allclose(made.to_numpy(), run(image, size, mode=mode, cval=4.0, origin=origin, strategy="tiles").to_numpy(), atol=1e-9)

@@ -87,3 +87,23 @@ def test_histograms_of_many_bins(spark):
     found = ndmeasure.histogram(Image.from_numpy(spark, a), 0, 10, 100_000)
     assert found.head().counts == np.histogram(a[~np.isnan(a)], 100_000, (0, 10))[0].tolist()
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+@pytest.mark.parametrize("index", [[[1, 2, 3, 4]], [[1, 2], [3, 4]], [[[1], [2], [3], [4]]]])
+def test_an_index_of_several_dimensions(spark, index):
+    """Each row tells its place in the index."""
+    a, labels = RNG.random((15, 16)), RNG.integers(0, 4, (15, 16))
+    image, marked = Image.from_numpy(spark, a), Image.from_numpy(spark, labels)
+    index = np.array(index)
+    with pytest.warns(FutureWarning):
+        found = ndmeasure.mean(image, marked, index).collect()
+    out = np.zeros(index.shape)
+    for r in found:
+        at = tuple(r[f"i{k}"] for k in range(index.ndim))
+        assert index[at] == r.label and np.ravel_multi_index(at, index.shape) == r.pos
+        out[at] = r.mean
+    want = [a[labels == k].mean() if (labels == k).any() else np.nan for k in index.ravel()]
+    np.testing.assert_allclose(out.ravel(), want)
+    with pytest.warns(FutureWarning):
+        assert ndmeasure.maximum_position(image, marked, index).columns == ["pos", "label", *(f"i{k}" for k in range(index.ndim)), "pos0", "pos1"]
+    assert ndmeasure.mean(image, marked, [1, 2]).columns == ["pos", "label", "mean"]
