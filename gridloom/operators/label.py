@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..plans.image import Image
 from ..plans.scratch import materialize
+from ..plans.spread import spread_lookup
 from ..plans.stencil import tile_edge
 
 
@@ -50,7 +51,8 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every end of links (a, b): the least node of its component.
 
     A round moves every node to the neighbour, or itself, of the least hash, drawn anew, and
-    contracts the links, of which about half a chain's nodes and all a star's leaves are gone.
+    contracts the links, of which about half a chain's nodes and all a star's leaves are gone. A
+    node may gather many links, and a root many nodes, so lookups are salted.
     """
     rounds: list[DataFrame] = []
     edges = materialize(_ordered(links))
@@ -59,16 +61,16 @@ def connected(links: DataFrame) -> DataFrame:
         own, other = (F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("up")) for c in ("a", "b"))
         up = materialize(both.groupBy("a").agg(F.min(other).alias("m")).select("a", F.least(own, F.col("m"))["up"].alias("up")))
         rounds.append(up)
-        left = edges.join(up, "a").select(F.col("up").alias("a"), "b")
-        edges = materialize(_ordered(left.join(up.withColumnRenamed("a", "b"), "b").select("a", F.col("up").alias("b"))))
+        left = spread_lookup(edges, "a", up).select(F.col("up").alias("a"), "b")
+        edges = materialize(_ordered(spread_lookup(left, "b", up.withColumnRenamed("a", "b")).select("a", F.col("up").alias("b"))))
     if not rounds:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     found = rounds[0].select(F.col("a").alias("node"), F.col("up").alias("root"))
     for up in rounds[1:]:
-        found = found.join(up.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    found = materialize(found)  # read twice below
+        step = spread_lookup(found, "root", up.withColumnRenamed("a", "root"), how="left").select("node", F.coalesce("up", "root").alias("root"))
+        found = materialize(step)  # read twice, by the next round or below
     least = found.groupBy("root").agg(F.least(F.col("root"), F.min("node")).alias("least"))
-    return found.join(least, "root").select("node", F.col("least").alias("root"))
+    return spread_lookup(found, "root", least).select("node", F.col("least").alias("root"))
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def label(image: Image, structure=None, wrap_axes: Sequence[int] | None = None,
     roots = local.select("root").distinct().join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     roots = materialize(roots.select("root", F.coalesce("top", "root").alias("top")))
     numbers = materialize(dense_index(roots, "top"))
-    labelled = local.join(roots.join(numbers, "top").select("root", "number"), "root").select(*image_coords, F.col("number").cast("int").alias("value"))
+    labelled = local.join(spread_lookup(roots, "top", numbers).select("root", "number"), "root").select(*image_coords, F.col("number").cast("int").alias("value"))
     out = image.df.select(*image_coords).join(labelled, image_coords, "left").select(*image_coords, F.coalesce("value", F.lit(0)).alias("value"))
     return image.with_df(out, "int32"), numbers.agg(F.coalesce(F.max("number"), F.lit(0)).cast("bigint").alias("n"))
 
