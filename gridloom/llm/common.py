@@ -1,39 +1,21 @@
-"""What the text operators share: scratch tables, Arrow batches and skew-proof lookups."""
+"""What the text operators share: Arrow batches, columns kept apart, and the engine's scratch tables and salted lookups."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts are long, so a batch of the default 10,000 rows may not fit a worker.
-BATCH_ROWS = 256
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that is unset (tests on one machine) a temporary folder is taken.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "gridloom-scratch")
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+from ..plans.scratch import materialize, scratch_dir
+from ..plans.spread import spread_lookup
 
+__all__ = ["keeps_columns", "map_batches", "materialize", "met_in_tiles", "scratch_dir", "spread_lookup", "texts_of"]
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts its lineage."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of one Arrow batch: texts are long, so a batch of the default 10,000 rows may not fit a worker.
+BATCH_ROWS = 256
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -66,19 +48,6 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def spread_lookup(rows: DataFrame, key: str, table: DataFrame, salts: int = 64, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``table`` (one row for each ``key``) without gathering a hot key in one task.
-
-    Rows get a random-looking salt; the keys in use are found for each salt by partial
-    aggregation, so a hot key has ``salts`` rows at most there. Those are joined to the table,
-    and the rows then join on key and salt. ``how`` is inner or left.
-    """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), F.lit(salts)).cast("int"))
-    used = salted.groupBy(key, "__salt").agg(F.lit(1).alias("__used")).drop("__used")
-    found = used.join(table, key)
-    return salted.join(found, [key, "__salt"], how).drop("__salt")
-
-
 def met_in_tiles(members: DataFrame, group: str, key: str) -> DataFrame:
     """``members`` with ``tile`` = (group, p, q): every two members of a group share a tile.
 

@@ -179,7 +179,7 @@ def test_orc_lookup_prunes(spark, documents):
 
 
 def test_orc_files_have_stripes_and_row_indexes(spark, tmp_path):
-    """Small stripes and strides, in the files themselves; Bloom filters add to them."""
+    """Small stripes and strides, in the files themselves, and every stripe's streams of row indexes and Bloom filters."""
     from pyarrow import orc
 
     rng = random.Random(3)
@@ -190,3 +190,11 @@ def test_orc_files_have_stripes_and_row_indexes(spark, tmp_path):
     assert all(f.row_index_stride == 1000 and str(f.compression).upper().endswith("ZSTD") for f in files)
     found = token_orc.lookup(spark, path, [7, 11_999]).collect()
     assert sorted(r.doc_id for r in found) == [7, 11_999]
+    java, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for file in (tmp_path / "ids").glob("*.orc"):
+        reader = java.org.apache.orc.OrcFile.createReader(java.org.apache.hadoop.fs.Path(f"file:{file}"), java.org.apache.orc.OrcFile.readerOptions(conf))
+        rows, column = reader.rows(), reader.getSchema().findSubtype("doc_id").getId()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            streams = [footer.getStreams(k) for k in range(footer.getStreamsCount())]
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= {x.getKind().toString() for x in streams if x.getColumn() == column}
