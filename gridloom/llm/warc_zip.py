@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "2
             yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.binary())})
 
     pieces = map_batches(joined, run, "piece binary")
-    pieces.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).option("compression", "none").text(path)
+    pieces.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
     return path
 
 
