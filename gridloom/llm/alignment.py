@@ -232,20 +232,28 @@ class Aligner:
         keys, times = linked_pairs(a, b, a_group, b_group, n, self.width)
         return Aligned(len(a), len(b), n, int(times.sum()), self.spelled(a, b, a_group, b_group, n, np.array([len(b) - 1]))[0], keys, times)
 
+    def _same(self, words: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> bool:
+        """Whether the tokens of each word, of both kinds, are a space and the word: all bytes agree, and so do the words' ends."""
+        spaced = [(" " + w).encode() for w in words]
+        raw, ends = b"".join(spaced), np.fromiter(map(len, spaced), np.int64, len(spaced)).cumsum()
+        for ids, counts, sizes, names in ((a, n_a, self.a_size, self.a.bytes_of), (b, n_b, self.b_size, self.b.bytes_of)):
+            if not counts.all() or not np.array_equal(sizes[ids].cumsum()[counts.cumsum() - 1], ends) or b"".join([names[k] for k in ids.tolist()]) != raw:
+                return False
+        return True
+
     def _learn(self, words: list[str]) -> None:
         """Aligns words, all at once: the border between two of them cuts both tokenizers' tokens."""
-        flat, a_count = self.a.memo.encode(pa.array([" " + w for w in words], pa.string()))
-        a_ids = np.split(flat.astype(np.int64), a_count.cumsum()[:-1])
-        b_ids = self.b.processor.encode(words, num_threads=1)
-        a_bytes, b_bytes = self.a.bytes_of, self.b.bytes_of
-        same = [b"".join([a_bytes[k] for k in x.tolist()]) == (" " + w).encode() == b"".join([b_bytes[k] for k in y]) for w, x, y in zip(words, a_ids, b_ids)]
-        odd = [w for w, s in zip(words, same) if not s]
-        self.words.put(odd, np.array([[0], [0], [0], [0], [1]]).repeat(len(odd), 1), [""] * len(odd), np.zeros(0, np.int64))
-        good = [k for k, s in enumerate(same) if s]
-        if not good:
+        flat, n_a = self.a.memo.encode(pa.array([" " + w for w in words], pa.string()))
+        a, b_ids = flat.astype(np.int64), self.b.processor.encode(words, num_threads=1)
+        n_b = np.fromiter(map(len, b_ids), np.int64, len(b_ids))
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
+        if not self._same(words, a, n_a, b, n_b):
+            if len(words) > 1:  # those that a tokenizer changes are found by halves
+                for half in (words[: len(words) // 2], words[len(words) // 2 :]):
+                    self._learn(half)
+                return
+            self.words.put(words, np.array([[0], [0], [0], [0], [1]]), [""], np.zeros(0, np.int64))
             return
-        n_a, n_b = a_count[good], np.array([len(b_ids[k]) for k in good])
-        a, b = np.concatenate([a_ids[k] for k in good]), np.fromiter(chain.from_iterable(b_ids[k] for k in good), np.int64)
         a_group, b_group, groups = self.groups(a, b)
         last = n_b.cumsum() - 1
         spelled = self.spelled(a, b, a_group, b_group, groups, last)
@@ -259,7 +267,7 @@ class Aligner:
         b_size = np.bincount(b_group, minlength=groups)
         of = a_group[chosen]
         keys = np.repeat(a[chosen], b_size[of]) * self.width + b[runs((b_size.cumsum() - b_size)[of], b_size[of])]
-        self.words.put([words[k] for k in good], np.stack([n_a, n_b, n_groups, np.where(many, 0, n_links), many]), spelled, keys)
+        self.words.put(words, np.stack([n_a, n_b, n_groups, np.where(many, 0, n_links), many]), spelled, keys)
 
     def align(self, texts: list[str]) -> list[Aligned]:
         """The alignment of each text."""
