@@ -361,10 +361,11 @@ def generic_filter(image: Image, function: Callable, size=None, footprint=None,
     return _ordered(image, size, footprint, mode, cval, origin, "tiles", None, lambda x: np.apply_along_axis(lambda v: function(v, *extra_arguments, **more), -1, x))
 
 
-def threshold_local(image: Image, block_size, method: str = "gaussian", offset: float = 0, mode: str = "reflect", param=None, cval: float = 0, strategy: str = "auto") -> Image:
+def threshold_local(image: Image, block_size, method: str = "gaussian", offset: float = 0, mode: str = "reflect", param=None, cval: float = 0, strategy: str = "auto", vectorized: bool = False) -> Image:
     """A threshold for each pixel from its surroundings, less ``offset``, as doubles.
 
-    The methods are generic (``param`` is the function), gaussian (``param`` is sigma, by
+    The methods are generic (``param`` is the function, of many neighbourhoods at once if
+    ``vectorized``), gaussian (``param`` is sigma, by
     default (block_size - 1) / 6), mean and median.
     """
     real = image.with_dtype("float64") if isinstance(image, Blocks) else image.with_value(image.as_double(), "float64")
@@ -372,7 +373,7 @@ def threshold_local(image: Image, block_size, method: str = "gaussian", offset:
     if method == "generic":
         if not callable(param):
             raise ValueError("The generic method needs a function as param.")
-        made = generic_filter(real, param, sizes, mode=mode, cval=cval)
+        made = generic_filter(real, param, sizes, mode=mode, cval=cval, vectorized=vectorized)
     elif method == "gaussian":
         sigma = [(s - 1) / 6.0 for s in sizes] if param is None else param
         made = gaussian_filter(real, sigma, mode=mode, cval=cval, strategy=strategy)

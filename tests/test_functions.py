@@ -107,3 +107,10 @@ def test_an_index_of_several_dimensions(spark, index):
     with pytest.warns(FutureWarning):
         assert ndmeasure.maximum_position(image, marked, index).columns == ["pos", "label", *(f"i{k}" for k in range(index.ndim)), "pos0", "pos1"]
     assert ndmeasure.mean(image, marked, [1, 2]).columns == ["pos", "label", "mean"]
+
+
+def test_thresholds_of_a_vectorized_function(spark):
+    image = Image.from_numpy(spark, RNG.random((12, 9)))
+    many = ndfilters.threshold_local(image, 3, "generic", param=lambda x: x.max(axis=1) / 2, offset=0.1, vectorized=True)
+    one = ndfilters.threshold_local(image, 3, "generic", param=lambda x: x.max() / 2, offset=0.1)
+    np.testing.assert_allclose(many.to_numpy(), one.to_numpy())
