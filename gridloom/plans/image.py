@@ -32,6 +32,14 @@ SPARK_TYPES = {
     "complex128": "struct<re: double, im: double>",
 }
 
+#: Pixels that a task joins or gathers, about.
+_TASK_PIXELS = 1 << 18
+
+
+def tasks_for(shape: Sequence[int]) -> int:
+    """Tasks over the pixels of a box, so that what each holds doesn't grow with the box."""
+    return max(1, -(-prod(int(s) for s in shape) // _TASK_PIXELS))
+
 
 def coords(ndim: int) -> list[str]:
     return [f"d{k}" for k in range(ndim)]
@@ -116,11 +124,12 @@ class Image:
     def from_sparse(cls, df: DataFrame, shape: Sequence[int], fill=0, dtype: str = "float64", columns: Sequence[str] = ("value",)) -> Image:
         """Fills the box: missing coordinates get ``fill``, rows outside it are left out.
 
-        The grid is one range whose numbers are taken apart, so no cross join is needed.
+        The grid is one range whose numbers are taken apart, so no cross join is needed. It is joined
+        in as many tasks as its pixels need.
         """
         shape = tuple(int(s) for s in shape)
         names = coords(len(shape))
-        return cls(grid(df.sparkSession, shape).join(df.select(*[F.col(c).cast("bigint").alias(c) for c in names], *columns), names, "left").fillna(fill, list(columns)), shape, dtype)
+        return cls(grid(df.sparkSession, shape).repartition(tasks_for(shape), *names).join(df.select(*[F.col(c).cast("bigint").alias(c) for c in names], *columns), names, "left").fillna(fill, list(columns)), shape, dtype)
 
     @classmethod
     def from_numpy(cls, spark: SparkSession, array: np.ndarray) -> Image:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .operators import filters, fourier, interp, measure, morph
 from .operators.label import label
 from .plans.blocks import Blocks
-from .plans.image import Image
+from .plans.image import Image, tasks_for
 from .plans.scratch import scratch_dir
 from .sources.imread import imread
 from .sources.imwrite import write_frames, write_stack
@@ -34,10 +34,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shipped(spark: SparkSession, sf_dir: str, keys: list[Column], shape: tuple[int, ...]) -> Image:
+    """The quantity shipped by pixel. There are about as many lineitems as pixels, so these are dealt
+    by pixel as they are: sums made before would hold all the pixels of a file's part in one task."""
+    names = [f"d{k}" for k in range(len(shape))]
+    rows = _table(spark, sf_dir, "lineitem").select(*keys, "l_quantity").repartition(tasks_for(shape), *names)
+    return Image.from_sparse(rows.groupBy(*names).agg(F.sum("l_quantity").alias("value")), shape)
+
+
 def supplier_weeks(spark: SparkSession, sf_dir: str) -> Image:
     week = F.floor(F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1995-01-02").cast("date")) / 7)
-    sums = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("bigint").alias("d0"), week.alias("d1")).agg(F.sum("l_quantity").alias("value"))
-    return Image.from_sparse(sums, (_table(spark, sf_dir, "supplier").count(), WEEKS))
+    keys = [F.col("l_suppkey").cast("bigint").alias("d0"), week.alias("d1")]
+    return _shipped(spark, sf_dir, keys, (_table(spark, sf_dir, "supplier").count(), WEEKS))
 
 
 def side(spark: SparkSession, sf_dir: str) -> int:
@@ -56,8 +64,7 @@ def supplier_lines(spark: SparkSession, sf_dir: str) -> Image:
     """A volume of suppliers, line numbers and months, with the quantity shipped."""
     month = 12 * (F.year("l_shipdate") - 1995) + F.month("l_shipdate") - 1
     keys = [F.col("l_suppkey").cast("bigint").alias("d0"), (F.col("l_linenumber") - 1).cast("bigint").alias("d1"), month.cast("bigint").alias("d2")]
-    sums = _table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum("l_quantity").alias("value"))
-    return Image.from_sparse(sums, (_table(spark, sf_dir, "supplier").count(), 7, MONTHS))
+    return _shipped(spark, sf_dir, keys, (_table(spark, sf_dir, "supplier").count(), 7, MONTHS))
 
 
 def labelled(image: Image) -> Image:

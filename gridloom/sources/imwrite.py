@@ -9,14 +9,22 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from ..plans.image import Image
 from .imread import encode_tiff
-from .ranges import store_of
+from .ranges import open_ranges, store_of
+
+#: Pixels of the frames that one task makes pages of, unless one frame has more.
+_RUN_PIXELS = 1 << 20
+#: Bytes of a file that are copied at a time.
+_COPIED = 1 << 23
 
 
 def _checked(image: Image) -> None:
@@ -34,18 +42,28 @@ def _write(path: str, chunks: Iterable[bytes]) -> None:
     store.move(part, place)
 
 
-def big_tiff(frames: Iterable[np.ndarray], count: int) -> Iterator[bytes]:
-    """An uncompressed little-endian BigTIFF of ``count`` frames of one shape, piece by piece."""
-    at = 16
-    for k, frame in enumerate(frames):
+def _page_tail(shape: tuple[int, int], dtype: np.dtype, number: int, count: int) -> bytes:
+    """What follows the samples of a BigTIFF's page: its directory. Pages are alike, so each one's place follows from its number."""
+    height, width = shape
+    size = height * width * dtype.itemsize
+    at = 16 + number * page_size(shape, dtype)
+    tags = [(256, width), (257, height), (258, dtype.itemsize * 8), (259, 1), (262, 1), (273, at), (277, 1), (278, height), (279, size), (339, {"u": 1, "i": 2, "f": 3}[dtype.kind])]
+    following = at + page_size(shape, dtype) + size if number + 1 < count else 0
+    return struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", tag, 16, 1, value) for tag, value in tags) + struct.pack("<Q", following)
+
+
+def page_size(shape: tuple[int, int], dtype: np.dtype) -> int:
+    """Bytes of one page: samples, and a directory of ten tags."""
+    return shape[0] * shape[1] * dtype.itemsize + 16 + 20 * 10
+
+
+def big_tiff(frames: Iterable[np.ndarray], count: int, first: int = 0) -> Iterator[bytes]:
+    """The pages from number ``first`` on of an uncompressed little-endian BigTIFF of ``count`` frames of one shape, piece by piece; before page 0 the file's head."""
+    for number, frame in enumerate(frames, first):
         raw = np.ascontiguousarray(frame.astype(frame.dtype.newbyteorder("<"))).tobytes()
-        if not k:
-            yield struct.pack("<2sHHHQ", b"II", 43, 8, 0, at + len(raw))
-        height, width = frame.shape
-        tags = [(256, width), (257, height), (258, frame.dtype.itemsize * 8), (259, 1), (262, 1), (273, at), (277, 1), (278, height), (279, len(raw)), (339, {"u": 1, "i": 2, "f": 3}[frame.dtype.kind])]
-        after = at + len(raw) + 16 + 20 * len(tags)
-        yield raw + struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", tag, 16, 1, value) for tag, value in tags) + struct.pack("<Q", after + len(raw) if k + 1 < count else 0)
-        at = after
+        if not number:
+            yield struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16 + len(raw))
+        yield raw + _page_tail(frame.shape, frame.dtype, number, count)
 
 
 def write_frames(image: Image, folder: str) -> None:
@@ -62,27 +80,74 @@ def write_frames(image: Image, folder: str) -> None:
     image.df.select("d0", "d1", "d2", "value").groupBy("d0").applyInArrow(run, "frame bigint").write.format("noop").mode("overwrite").save()
 
 
+def _run_frames(shape: tuple[int, int], dtype: str, number: int, upto: int, pieces: Iterable[tuple]) -> Iterator[np.ndarray]:
+    """Frames ``number`` to ``upto`` from pixels (d0, d1, d2, value) sorted by d0; one frame is held at a time."""
+    frame = np.zeros(shape, dtype)
+    for d0, d1, d2, value in pieces:
+        cuts = [0, *(np.flatnonzero(np.diff(d0)) + 1).tolist(), len(d0)]
+        for a, b in zip(cuts, cuts[1:]):
+            while number < d0[a]:
+                yield frame
+                number, frame = number + 1, np.zeros(shape, dtype)
+            frame[d1[a:b], d2[a:b]] = value[a:b]
+    while number < upto:
+        yield frame
+        number, frame = number + 1, np.zeros(shape, dtype)
+
+
 def write_stack(image: Image, path: str) -> None:
-    """One file of all frames. It is one stream, so one task writes it, of sorted rows that it holds a frame of."""
+    """One file of all frames.
+
+    Each task makes the pages of a run of frames, of bounded size, as a file beside ``path``; as a
+    file is one stream, a last task then joins these, in pieces of bounded size, and pixels don't
+    pass through it.
+    """
     _checked(image)
+    if not image.shape[0]:
+        raise ValueError("A stack has a frame at least.")
     count, shape, dtype = image.shape[0], image.shape[1:], image.dtype
-
-    def frames(batches):
-        number, frame = 0, np.zeros(shape, dtype)
+    run = max(1, _RUN_PIXELS // max(1, prod(shape)))
+    runs = -(-count // run)
+    folder = f"{path}.{uuid.uuid4().hex}.runs"
+
+    def pages(batches):
+        def pieces():
+            for batch in batches:
+                if batch.num_rows:
+                    d0, d1, d2 = (batch.column(c).to_numpy() for c in ("d0", "d1", "d2"))
+                    yield d0, d1, d2, np.array(batch.column("value").to_pylist(), dtype)
+
+        rows = pieces()
+        first = next(rows, None)
+        if first is None:
+            return
+        # A task has one run.
+        number = int(first[0][0]) // run
+        start, upto = number * run, min(count, (number + 1) * run)
+        _write(f"{folder}/{number}", big_tiff(_run_frames(shape, dtype, start, upto, chain([first], rows)), count, start))
+        yield pa.RecordBatch.from_pydict({"run": pa.array([number], pa.int64())})
+
+    def whole():
+        for number in range(runs):
+            with open_ranges(f"{folder}/{number}") as file:
+                while piece := file.read(_COPIED):
+                    yield piece
+
+    def join(batches):
         for batch in batches:
-            d0, d1, d2 = (batch.column(c).to_numpy() for c in ("d0", "d1", "d2"))
-            value = np.array(batch.column("value").to_pylist(), dtype)
-            cuts = [0, *(np.flatnonzero(np.diff(d0)) + 1).tolist(), len(d0)]
-            for a, b in zip(cuts, cuts[1:]):
-                if d0[a] != number:
-                    yield frame
-                    number, frame = number + 1, np.zeros(shape, dtype)
-                frame[d1[a:b], d2[a:b]] = value[a:b]
-        yield frame
-
-    def run(batches):
-        _write(path, big_tiff(frames(b for b in batches if b.num_rows), count))
-        yield pa.RecordBatch.from_pydict({"frames": pa.array([count], pa.int64())})
+            if batch.num_rows:
+                _write(path, whole())
+            yield pa.RecordBatch.from_pydict({"frames": pa.array([count] * batch.num_rows, pa.int64())})
 
-    rows = image.df.select("d0", "d1", "d2", "value").repartition(1).sortWithinPartitions("d0")
-    rows.mapInArrow(run, "frames bigint").agg(F.sum("frames")).collect()
+    def clear(batches):
+        store, place = store_of(folder)
+        for batch in batches:
+            if batch.num_rows and store.get_file_info(place).type == fs.FileType.Directory:
+                store.delete_dir(place)
+            yield pa.RecordBatch.from_pydict({"frames": pa.array([count] * batch.num_rows, pa.int64())})
+
+    rows = image.df.select("d0", "d1", "d2", "value").withColumn("run", F.floor(F.col("d0") / run).cast("int"))
+    dealt = rows.repartitionById(runs, "run").drop("run").sortWithinPartitions("d0")
+    dealt.mapInArrow(pages, "run bigint").write.format("noop").mode("overwrite").save()
+    for last in (join, clear):
+        image.spark.range(0, 1, 1, 1).mapInArrow(last, "frames bigint").write.format("noop").mode("overwrite").save()

@@ -212,6 +212,26 @@ def test_written_frames_and_stacks(spark, tmp_path):
         write_stack(Image.from_numpy(spark, np.zeros(3)), f"{tmp_path}/x.tif")
 
 
+def test_a_stack_is_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Pages are made by a task a run of frames, and the runs' files are gone afterwards."""
+    from gridloom.sources import imwrite
+
+    monkeypatch.setattr(imwrite, "_RUN_PIXELS", 3 * 20)
+    a = np.random.default_rng(10).integers(0, 200, (11, 4, 5)).astype("int32")
+    monkeypatch.setattr(imwrite, "_run_frames", lambda shape, dtype, number, upto, pieces, made=imwrite._run_frames: _noted(tmp_path, number, upto, made(shape, dtype, number, upto, pieces)))
+    write_stack(Image.from_numpy(spark, a), f"{tmp_path}/stack.tif")
+    sizes = sorted(tuple(int(n) for n in p.name.split("-")) for p in (tmp_path / "noted").iterdir())
+    assert sizes == [(0, 3), (3, 6), (6, 9), (9, 11)]
+    np.testing.assert_array_equal(decode_tiff((tmp_path / "stack.tif").read_bytes()), a)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["noted", "stack.tif"]
+
+
+def _noted(folder, number, upto, frames):
+    (folder / "noted").mkdir(exist_ok=True)
+    (folder / "noted" / f"{number}-{upto}").touch()
+    return frames
+
+
 def test_the_data_source_by_itself(spark, tmp_path):
     frames = np.arange(24, dtype="uint8").reshape(4, 2, 3)
     (tmp_path / "a.tif").write_bytes(encode_tiff(frames))
