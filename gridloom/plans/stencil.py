@@ -1,8 +1,9 @@
 """Neighbourhood operations on a pixel table, in one of four ways.
 
-``scatter``: every pixel sends its value to the places it is a neighbour of, and one aggregation
-gathers them. All of it is Spark expressions, and sums, minima and maxima are combined before
-the shuffle. Best for small neighbourhoods.
+``scatter``: pixels are dealt to tiles that overlap by the neighbourhood's reach; there every pixel
+sends its value to the places it is a neighbour of, and one aggregation gathers them. All of it is
+Spark expressions, with one shuffle of little more than the image, and a task gathers a bounded
+number of pixels. Best for small neighbourhoods.
 
 ``tiles``: pixels are dealt to square tiles that overlap by the neighbourhood's reach, and a
 NumPy kernel works on each tile. One shuffle of little more than the image, where the reach is
@@ -32,6 +33,8 @@ from .image import Image
 #: Neighbours up to which scatter is taken.
 SCATTER_TAPS = 25
 _TILE_PIXELS = 1 << 16
+#: Tiles whose pixels one task gathers when it scatters.
+_TASK_TILES = 4
 
 
 def reach(taps: np.ndarray) -> tuple[tuple[int, ...], tuple[int, ...]]:
@@ -57,17 +60,27 @@ def scatter(image: Image, taps: np.ndarray, weights: np.ndarray, aggs: Callable[
     if keep and not centre:
         rows.append(([0] * n, [0.0] * len(rows[0][1]), len(rows), True, False))
     structs = [F.struct(*[F.lit(u).cast("bigint").alias(f"u{k}") for k, u in enumerate(tap)], *[F.lit(float(x)).alias(f"w{j}") for j, x in enumerate(w)], F.lit(number).alias("tap"), F.lit(own).alias("own"), F.lit(use).alias("use")) for tap, w, number, own, use in rows]
-    spread = padded(image, low, high, mode, cval).withColumn("t", F.explode(F.array(*structs)))
-    spread = spread.select(*[(F.col(f"v{k}") - F.col(f"t.u{k}")).alias(f"o{k}") for k in range(n)], *[F.col(f"v{k}") for k in range(n)], "value", "t", *keep)
+    edge = tile_edge(n)
+    dealt = _dealt(padded(image, low, high, mode, cval).select(*[f"v{k}" for k in range(n)], "value", *keep), image.shape, low, high, edge)
+    number, tiles_held = F.lit(0).cast("bigint"), 1
     for k, size in enumerate(image.shape):
-        spread = spread.filter((F.col(f"o{k}") >= 0) & (F.col(f"o{k}") < size))
+        count = -(-size // edge)
+        number, tiles_held = number * F.lit(count).cast("bigint") + F.col(f"t{k}"), tiles_held * count
+    tasks = max(1, -(-tiles_held // _TASK_TILES))
+    # All that a pixel is made from is in its tile's task, so the aggregation needs no other exchange.
+    dealt = dealt.withColumn("task", F.pmod(number, F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
+    spread = dealt.withColumn("t", F.explode(F.array(*structs)))
+    spread = spread.select("task", *[F.col(f"t{k}") for k in range(n)], *[(F.col(f"v{k}") - F.col(f"t.u{k}")).alias(f"o{k}") for k in range(n)], *[F.col(f"v{k}") for k in range(n)], "value", "t", *keep)
+    for k, size in enumerate(image.shape):
+        first = F.col(f"t{k}") * edge
+        spread = spread.filter((F.col(f"o{k}") >= first) & (F.col(f"o{k}") < F.least(first + edge, F.lit(size).cast("bigint"))))
     value = F.col("value") if all(r[4] for r in rows) else F.when(F.col("t.use"), F.col("value"))
     made = aggs(value, [F.col(f"t.w{j}") for j in range(len(rows[0][1]))], F.col("t.tap"))
     itself = F.col("t.own")
     for k in range(n):
         itself = itself & (F.col(f"v{k}") == F.col(f"o{k}"))
     kept = [F.max(F.when(itself, F.col(c))).alias(c) for c in keep]
-    return spread.groupBy(*[F.col(f"o{k}").alias(f"d{k}") for k in range(n)]).agg(*made, *kept)
+    return spread.groupBy("task", *[F.col(f"o{k}").alias(f"d{k}") for k in range(n)]).agg(*made, *kept).drop("task")
 
 
 #: Places of a line that one window partition holds beside its halo.
@@ -101,6 +114,16 @@ def tile_edge(ndim: int) -> int:
     return max(8, int(round(_TILE_PIXELS ** (1 / ndim))))
 
 
+def _dealt(spread: DataFrame, shape: Sequence[int], low: Sequence[int], high: Sequence[int], edge: int) -> DataFrame:
+    """Places v0, ... with the numbers t0, ... of each tile of ``edge`` pixels a side that needs them."""
+    for k, size in enumerate(shape):
+        last = (size - 1) // edge
+        first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col(f"v{k}") - high[k]) / edge))
+        upto = F.least(F.lit(last).cast("bigint"), F.floor((F.col(f"v{k}") + low[k]) / edge))
+        spread = spread.filter(first <= upto).withColumn(f"t{k}", F.explode(F.sequence(first, upto)))
+    return spread
+
+
 def tiles(image: Image | Blocks, low: Sequence[int], high: Sequence[int], mode: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], cval: float = 0.0, edge: int | None = None) -> DataFrame | Blocks:
     """Coordinates and a double value of ``kernel`` over tiles of ``edge`` pixels a side; of a block table, blocks.
 
@@ -114,12 +137,7 @@ def tiles(image: Image | Blocks, low: Sequence[int], high: Sequence[int], mode:
         return Blocks.from_image(image, edge_for(low, high)).with_halo(low, high, mode, kernel, cval, "float64").pixels()
     edge = edge or tile_edge(n)
     low, high = tuple(low), tuple(high)
-    spread = padded(image, low, high, mode, cval).select(*[f"v{k}" for k in range(n)], "value")
-    for k in range(n):
-        last = (shape[k] - 1) // edge
-        first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col(f"v{k}") - high[k]) / edge))
-        upto = F.least(F.lit(last).cast("bigint"), F.floor((F.col(f"v{k}") + low[k]) / edge))
-        spread = spread.filter(first <= upto).withColumn(f"t{k}", F.explode(F.sequence(first, upto)))
+    spread = _dealt(padded(image, low, high, mode, cval).select(*[f"v{k}" for k in range(n)], "value"), shape, low, high, edge)
 
     def run(key, table):
         at = [int(k.as_py()) * edge for k in key]

@@ -188,3 +188,31 @@ def test_large_neighbourhoods_plan_at_once_and_copy_strips(spark, monkeypatch):
         got = getattr(nf, name)(image, (7, 5), strategy="tiles", origin=(1, -1), mode="mirror").to_numpy()
         near = ref.neighbours(a, mask, [1, -1], "mirror", 0.0)
         np.testing.assert_array_equal(got, np.array([least(v) for v in near]).reshape(a.shape))
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_scatter_over_many_tiles(spark, monkeypatch, mode):
+    """Tiles of 8 pixels a side, whose borders every neighbourhood crosses; a row for each pixel."""
+    from gridloom.plans import stencil
+
+    monkeypatch.setattr(stencil, "_TILE_PIXELS", 64)
+    array = np.random.default_rng(3).integers(0, 50, (21, 17)).astype(float)
+    image = Image.from_numpy(spark, array)
+    w = np.array([[1.0, -2, 3], [0, 5, -1]])
+    found = nf.correlate(image, w, mode=mode, cval=2.5, origin=(0, 1), strategy="scatter")
+    assert found.df.count() == array.size
+    np.testing.assert_allclose(found.to_numpy(), ref.correlate(array, w, mode, 2.5, [0, 1]))
+    wide = nf.maximum_filter(image, (3, 7), mode=mode, cval=2.5, origin=(-1, 3), strategy="scatter")
+    np.testing.assert_allclose(wide.to_numpy(), nf.maximum_filter(image, (3, 7), mode=mode, cval=2.5, origin=(-1, 3), strategy="tiles").to_numpy())
+
+
+def test_scatter_gathers_a_bounded_number_of_pixels_in_a_task(spark):
+    """Tasks grow with the image, whatever the shuffle partitions, and the pixels move once."""
+    from gridloom.plans.image import grid
+
+    shape = (1500, 1100)
+    image = Image(grid(spark, shape).withColumn("value", F.col("d0") + F.col("d1")).withColumn("value", F.col("value").cast("double")), shape)
+    found = nf.correlate(image, np.ones((3, 3)), strategy="scatter").df
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1500 * 1100 and max(sizes) <= 4 << 16
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
