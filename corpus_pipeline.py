@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, minhash, packing, secret_scan, toxicity
+from gridloom.llm import exact_dedup, near_copies, packing, secret_scan, toxicity
 from gridloom.llm.common import materialize
 
 
@@ -26,8 +26,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 0.8 or more in the Jaccard of 5-word shingles join."""
-    return minhash.deduplicate(docs, threshold=0.8, words=5)
+    """One document of each group that links of 0.8 or more in the Jaccard of 5-word shingles join.
+
+    SimHash's grid finds groups, exact Jaccard verifies them, and an exact pass adds the links that
+    lie beyond its 4 bits.
+    """
+    return near_copies.deduplicate(docs, threshold=0.8, words=5, bits=4)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

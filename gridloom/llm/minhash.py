@@ -230,19 +230,23 @@ def set_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]
     return links
 
 
-def class_links(classes: DataFrame, threshold: float = 0.8, block: int = 1000, shingles: int = 1 << 21) -> DataFrame:
+def class_links(classes: DataFrame, threshold: float = 0.8, block: int = 1000, shingles: int = 1 << 21, groups: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between rows (id, hashes, bands) with the same connected parts as all pairs
     that share a band and have a Jaccard of ``threshold`` or more.
 
     Of band keys that hold the same rows one is taken. The rows of a key are compared in one
     task; a key of more than ``block`` rows, or of ``shingles`` in all, is dealt over parts, and each
-    two parts meet in a task.
+    two parts meet in a task. ``groups`` (id, root) are rows joined already: the links found join
+    the rest to these, and a key all of whose rows are in one group is left out.
     """
     size = F.octet_length("hashes") / 4
-    sized = classes.select("id", size.cast("bigint").alias("size"), F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("at"))
-    banded = sized.drop("size")
+    known = [F.col("id").alias("group")] if groups is None else [F.coalesce("root", "id").alias("group")]
+    own = classes if groups is None else classes.join(groups, "id", "left")
+    sized = own.select("id", *known, size.cast("bigint").alias("size"), F.posexplode("bands").alias("band", "key")).select("id", "group", "size", F.xxhash64("band", "key").alias("at"))
+    banded = classes.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("at"))
     digest = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    held = sized.groupBy("at").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("least"), *digest).filter("n > 1")
+    spans = [F.min("group").alias("first"), F.max("group").alias("last")]
+    held = sized.groupBy("at").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("least"), *spans, *digest).filter("n > 1 and first < last")
     once = held.groupBy("n", "size", "least", "x0", "x1").agg(F.min("at").alias("at"))
     parts = F.greatest(F.ceil(F.col("n") / block), F.least(F.col("n"), F.ceil(F.col("size") / shingles)))
     shared = materialize(once.select("at", parts.cast("int").alias("parts")))
