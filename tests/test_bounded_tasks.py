@@ -14,6 +14,7 @@ PIXELS = SUPPLIERS * WEEKS
 TILE, TASK = 1024, 4096
 NAMES = (
     "filter_prewitt",
+    "filter_laplace",
 )
 
 
