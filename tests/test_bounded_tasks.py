@@ -15,6 +15,7 @@ TILE, TASK = 1024, 4096
 NAMES = (
     "filter_prewitt",
     "filter_laplace",
+    "filter_sobel",
 )
 
 
