@@ -16,6 +16,7 @@ NAMES = (
     "filter_prewitt",
     "filter_laplace",
     "filter_sobel",
+    "filter_convolve",
 )
 
 
