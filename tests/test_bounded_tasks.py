@@ -17,6 +17,7 @@ NAMES = (
     "filter_laplace",
     "filter_sobel",
     "filter_convolve",
+    "filter_maximum",
 )
 
 
