@@ -18,6 +18,7 @@ NAMES = (
     "filter_sobel",
     "filter_convolve",
     "filter_maximum",
+    "morph_closing",
 )
 
 
