@@ -19,6 +19,7 @@ NAMES = (
     "filter_convolve",
     "filter_maximum",
     "morph_closing",
+    "morph_dilation",
 )
 
 
