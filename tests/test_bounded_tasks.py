@@ -20,6 +20,7 @@ NAMES = (
     "filter_maximum",
     "morph_closing",
     "morph_dilation",
+    "morph_erosion",
 )
 
 
