@@ -21,6 +21,7 @@ NAMES = (
     "morph_closing",
     "morph_dilation",
     "morph_erosion",
+    "morph_opening",
 )
 
 
