@@ -22,6 +22,7 @@ NAMES = (
     "morph_dilation",
     "morph_erosion",
     "morph_opening",
+    "filter_minimum",
 )
 
 
