@@ -23,6 +23,7 @@ NAMES = (
     "morph_erosion",
     "morph_opening",
     "filter_minimum",
+    "filter_threshold_local_gaussian",
 )
 
 
