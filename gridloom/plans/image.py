@@ -34,6 +34,8 @@ SPARK_TYPES = {
 
 #: Pixels that a task joins or gathers, about.
 _TASK_PIXELS = 1 << 18
+#: Pixels of the grid that a task makes at most; a shuffle to many tasks holds them until it spills.
+_GRID_PIXELS = 1 << 20
 
 
 def tasks_for(shape: Sequence[int]) -> int:
@@ -165,4 +167,5 @@ class Image:
 def grid(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
     """Every coordinate of a box."""
     digits = [F.expr(f"(id div {prod(shape[k + 1 :])}) % {shape[k]}").alias(f"d{k}") for k in range(len(shape))]
-    return spark.range(prod(shape)).select(*digits)
+    pixels = prod(shape)
+    return spark.range(0, pixels, 1, max(spark.sparkContext.defaultParallelism, -(-pixels // _GRID_PIXELS))).select(*digits)

@@ -55,3 +55,9 @@ def test_a_task_holds_a_bounded_number_of_pixels(spark, tables, monkeypatch, nam
     assert sum(sizes) == PIXELS and max(sizes) <= 1.25 * TASK
     filled = rows_by_task(supplier_weeks(spark, tables).df)
     assert sum(filled) == PIXELS and max(filled) <= 1.25 * TASK
+
+
+def test_a_task_makes_a_bounded_part_of_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(image, "_GRID_PIXELS", 1000, raising=False)
+    sizes = rows_by_task(image.grid(spark, (100, 200)))
+    assert sum(sizes) == 20_000 and max(sizes) <= 1000
