@@ -28,6 +28,8 @@ ASYMMETRIC = [[1, 2, 0], [-1, 3, 1], [0, -2, 4]]
 WIDE = [[1, -2, 3], [0, 4, -1]]
 PLUS = [[0, 1, 0], [1, 1, 1], [0, 1, 0]]
 MATRIX, OFFSET = [[1, 0.25], [-0.25, 1]], [2, 8]
+#: Tasks up to which Spark shuffles into a file each; for more, rows are held and sorted by task.
+UNHELD_TASKS = 200
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _shipped(spark: SparkSession, sf_dir: str, keys: list[Column], shape: tuple[int, ...]) -> Image:
     """The quantity shipped by pixel. There are about as many lineitems as pixels, so these are dealt
-    by pixel as they are: sums made before would hold all the pixels of a file's part in one task."""
-    names = [f"d{k}" for k in range(len(shape))]
-    rows = _table(spark, sf_dir, "lineitem").select(*keys, "l_quantity").repartition(tasks_for(shape), *names)
+    by pixel as they are: sums made before would hold all the pixels of a file's part in one task.
+    A shuffle to many tasks holds a file's part, too, so rows go to tasks by way of a few then."""
+    names, tasks = [f"d{k}" for k in range(len(shape))], tasks_for(shape)
+    rows = _table(spark, sf_dir, "lineitem")
+    if tasks > UNHELD_TASKS:
+        rows = rows.repartition(UNHELD_TASKS, "l_suppkey", "l_shipdate", "l_quantity")
+    rows = rows.select(*keys, "l_quantity").repartition(tasks, *names)
     return Image.from_sparse(rows.groupBy(*names).agg(F.sum("l_quantity").alias("value")), shape)
 
 

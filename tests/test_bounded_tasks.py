@@ -1,5 +1,7 @@
 """The pixels that a task of a query holds don't grow with the image, whatever the shuffle partitions."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -61,3 +63,12 @@ def test_a_task_makes_a_bounded_part_of_the_grid(spark, monkeypatch):
     monkeypatch.setattr(image, "_GRID_PIXELS", 1000, raising=False)
     sizes = rows_by_task(image.grid(spark, (100, 200)))
     assert sum(sizes) == 20_000 and max(sizes) <= 1000
+
+
+def test_a_task_that_reads_shuffles_to_few_tasks(spark, tables, monkeypatch):
+    monkeypatch.setattr(image, "_TASK_PIXELS", 256, raising=False)
+    raster = supplier_weeks(spark, tables)
+    plan = raster.df._jdf.queryExecution().executedPlan().toString()
+    above = re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan[: plan.index("l_quantity", plan.index("FileScan parquet"))])
+    assert image.tasks_for(raster.shape) > 200 and int(above[-1]) <= 200
+    assert raster.df.agg(F.sum("value")).first()[0] == spark.read.parquet(f"{tables}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
