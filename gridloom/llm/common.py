@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
@@ -12,19 +14,46 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize, scratch_dir
 from ..plans.spread import spread_lookup
 
-__all__ = ["keeps_columns", "map_batches", "materialize", "met_in_tiles", "scratch_dir", "spread_lookup", "texts_of"]
+__all__ = ["kept_by_worker", "keeps_columns", "let_go", "map_batches", "materialize", "met_in_tiles", "scratch_dir", "spread_lookup", "texts_of"]
 
 #: Rows of one Arrow batch: texts are long, so a batch of the default 10,000 rows may not fit a worker.
 BATCH_ROWS = 256
+#: What this worker process keeps for further tasks of the same kind.
+_KEPT: dict[tuple, object] = {}
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
+def kept_by_worker(key: tuple, make: Callable[[], object]):
+    """``make()``, once in a worker process: it stays for further tasks with the same ``key``, and for ``map_batches`` to let go."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Gives back what this worker process keeps: it outlives its tasks, and an executor's other tasks need the memory."""
+    if not _KEPT:
+        return
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)  # what native libraries have freed stays with the process otherwise
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` with batches small enough for long texts.
+
+    A task begins by letting go what an earlier one left in its worker (see ``kept_by_worker``), but for
+    those that ``keeps`` says go on with it.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
+        if not keeps:
+            let_go()
         yield from fn(batches)
         pa.default_memory_pool().release_unused()  # workers outlive their tasks
 

@@ -135,4 +135,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, max
         packer.recut()
         yield out()
 
-    return map_batches(texts_of(docs), run, SCHEMA)
+    return map_batches(texts_of(docs), run, SCHEMA, keeps=True)

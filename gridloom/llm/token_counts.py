@@ -105,4 +105,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 8192, overl
             counts[at] = [count_by_resync(t, memo.tokenizer, chunk_chars, overlap_chars) for t in texts.filter(huge).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return map_batches(texts_of(docs), run, SCHEMA)
+    return map_batches(texts_of(docs), run, SCHEMA, keeps=True)

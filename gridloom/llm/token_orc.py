@@ -42,7 +42,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, strip
 
     texts = texts_of(docs)
     dealt = texts.repartitionByRange(texts["doc_id"].asc_nulls_first()).sortWithinPartitions(texts["doc_id"].asc_nulls_first(), texts["text"])
-    writer = map_batches(dealt, run, FILE_SCHEMA).write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_index_stride).option("orc.create.index", "true")
+    writer = map_batches(dealt, run, FILE_SCHEMA, keeps=True).write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_index_stride).option("orc.create.index", "true")
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("compression", "zstd").orc(path)
     return path
 

@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept_by_worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -41,8 +43,6 @@ _LETTERS_ONLY = re.compile(f" ?[{_LETTERS}]+")
 #: The parts of a text that holds a special string.
 _SPACED = re.compile("[\\s\\S]+?(?=(?<=\\S) |\\Z)")
 
-_LOADED: dict[tuple, "WordMemo"] = {}
-
 # The known pre-tokenizers and normalisers, as the library spells them.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _CLASSES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -74,10 +74,8 @@ def pre_tokenizer_of(tokenizer) -> str | None:
 
 
 def memo_for(path: str, limit: int) -> "WordMemo":
-    """One memo for each worker process and tokenizer file."""
-    if (path, limit) not in _LOADED:
-        _LOADED[path, limit] = WordMemo(path, limit)
-    return _LOADED[path, limit]
+    """A worker process's memo for a tokenizer file; it holds one at a time."""
+    return kept_by_worker(("words", path, limit), lambda: WordMemo(path, limit))
 
 
 def parts_of(text: str) -> list[str]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from gridloom.llm import packing, token_counts, token_orc
-from gridloom.llm.common import scratch_dir
+from gridloom.llm.common import map_batches, scratch_dir
 from gridloom.llm.words import WordMemo, key_of, load_tokenizer, part_of, parts_of
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -198,3 +198,19 @@ def test_orc_files_have_stripes_and_row_indexes(spark, tmp_path):
             footer = rows.readStripeFooter(stripe)
             streams = [footer.getStreams(k) for k in range(footer.getStreamsCount())]
             assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= {x.getKind().toString() for x in streams if x.getColumn() == column}
+
+
+def test_workers_let_go_of_the_memo(documents):
+    """Workers outlive their tasks: the memo of a packing must not stay in them while other operators run."""
+
+    def held(batches):
+        import gc
+
+        memos = sum(type(o).__name__ == "WordMemo" for o in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([memos] * len(batch), pa.int64())], names=["n"])
+
+    docs = documents.repartition(8).select("doc_id", "text")
+    packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {r["n"] for r in map_batches(docs, held, "n bigint", keeps=True).collect()} == {1}
+    assert {r["n"] for r in map_batches(docs, held, "n bigint").collect()} == {0}
